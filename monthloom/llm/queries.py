@@ -8,6 +8,7 @@ from .op03_vectors import op3_vectors
 from .op04_shard import op4_shard
 from .op05_quality import op5_quality
 from .op06_suffix import op6_suffix
+from .op07_license import op7_license
 from .op08_minhash import op8_minhash
 from .op09_fingerprint import op9_fingerprint
 from .op10_pack import op10_pack
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_shard": op4_shard,
     "op5_quality": op5_quality,
     "op6_suffix": op6_suffix,
+    "op7_license": op7_license,
     "op8_minhash": op8_minhash,
     "op9_fingerprint": op9_fingerprint,
     "op10_pack": op10_pack,
