@@ -1,19 +1,73 @@
-"""A corpus from documents: quality, line dedup, near-dedup, mixing, packing."""
+"""A corpus from documents: quality, line dedup, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the
+last return the columns of documents; extra columns of the input pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from monthloom.llm.common import Scratch
+from monthloom.llm.op01_mix import mix_to_weights
 from monthloom.llm.op02_lines import drop_boilerplate
+from monthloom.llm.op05_quality import THRESHOLD, fit_quality, quality_score
+from monthloom.llm.op08_minhash import near_duplicates
+from monthloom.llm.op10_pack import pack_best_fit
 
-STAGES: list = []
+#: Several stages can't be written in SQL; the tests compare the rows with brute force.
 ORACLE_SQL = None
+#: Documents of at least this similarity (in percent) are near-duplicates.
+NEAR_PERCENT = 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it is fitted on labelled documents of the input."""
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality_score(spark, model, F.col("text")) >= THRESHOLD)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that stand on many sources."""
+    cut = drop_boilerplate(docs)
+    text = F.col("kept_text")
+    return cut.withColumns({"text": text, "n_chars": F.char_length(text).cast("long")}).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id; null ids stay."""
+    found = Scratch(spark).cut(near_duplicates(docs, NEAR_PERCENT).where("doc_id is not null").select("doc_id", "kept"))
+    out = docs.join(found.where("not kept").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = not found.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    mixed = mix_to_weights(docs)
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
+    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return pack_best_fit(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mix", mix),
+    ("pack", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents through all stages."""
+    """documents through all stages, each written and read again."""
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = scratch.cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
