@@ -62,9 +62,12 @@ def group_key(*parts: Column) -> Column:
 def first_class(s: Column, *marks: str) -> Column:
     """First item of a comma list with the first mark that any item has; else the first item."""
     items = F.transform(F.split(s, ","), lambda x: F.trim(x))
-    marked = [F.try_element_at(F.filter(items, lambda x, m=m: x.contains(m)), F.lit(1)) for m in marks]
+
+    def marked(mark: str) -> Column:
+        return F.try_element_at(F.filter(items, lambda x: x.contains(mark)), F.lit(1))
+
     first = F.try_element_at(items, F.lit(1))
-    return F.coalesce(*marked, F.when(first != "", first))
+    return F.coalesce(*map(marked, marks), F.when(first != "", first))
 
 
 def keyword_class(s: Column, rules=REASONS, other: str = "other") -> Column:

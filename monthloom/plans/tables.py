@@ -9,7 +9,8 @@ from ..operators import tables as A
 from ..operators import windows as W
 from .base import query
 
-Y = F.floor(F.col("ym") / 12)
+def _year():
+    return F.floor(F.col("ym") / 12)
 
 
 @query("flt01_whitelist", "select c_custkey as k from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
@@ -100,7 +101,7 @@ def _(t):
 
 @query("agg02_count_distinct", "select l_partkey as part, ym // 12 as yr, count(distinct l_suppkey)::bigint as suppliers from li group by all")
 def _(t):
-    return t.lines().groupBy(F.col("l_partkey").alias("part"), Y.alias("yr")).agg(F.countDistinct("l_suppkey").alias("suppliers"))
+    return t.lines().groupBy(F.col("l_partkey").alias("part"), _year().alias("yr")).agg(F.countDistinct("l_suppkey").alias("suppliers"))
 
 
 @query("agg03_collect", "select l_partkey as part, array_to_string(list(distinct l_suppkey order by l_suppkey), ',') as suppliers from li group by all")
@@ -183,7 +184,7 @@ def _(t):
     df = t.lines().join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nk")), "l_suppkey")
     c = df.groupBy(F.col("l_partkey").alias("part"), "nk").agg(F.count("*").alias("k"))
     c = c.withColumn("n", F.sum("k").over(Window.partitionBy("part")))
-    e = df.where("l_returnflag = 'R'").groupBy("nk", Y.alias("yr")).agg(F.count("*").alias("r"))
+    e = df.where("l_returnflag = 'R'").groupBy("nk", _year().alias("yr")).agg(F.count("*").alias("r"))
     x = c.join(e, "nk").groupBy("part", "yr")
     return x.agg(
         F.round(F.sum(F.col("k") * F.col("r")).cast("double") / F.max("n").cast("double"), 4).alias("exposure"),
@@ -242,7 +243,7 @@ def _(t):
 @query("agg22_fold_stability", """with y as (select brand, ym // 12 as yr, avg(state) as rate from gs group by all)
 select brand, round(avg(rate), 9) as mean, round(stddev_samp(rate), 9) as std, count(*)::bigint as folds from y group by all""")
 def _(t):
-    y = t.group_state().groupBy("brand", Y.alias("yr")).agg(F.avg("state").alias("rate"))
+    y = t.group_state().groupBy("brand", _year().alias("yr")).agg(F.avg("state").alias("rate"))
     return y.groupBy("brand").agg(F.round(F.avg("rate"), 9).alias("mean"), F.round(F.stddev_samp("rate"), 9).alias("std"), F.count("*").alias("folds"))
 
 
@@ -301,7 +302,7 @@ _A, _B = "select distinct part from pm where ym // 12 = 1996", "select distinct
 
 
 def _keys(t, yr):
-    return t.part_month().where(Y == yr).select("part").distinct()
+    return t.part_month().where(_year() == yr).select("part").distinct()
 
 
 query("set02_intersect", f"select * from (({_A}) intersect ({_B}))")(lambda t: _keys(t, 1996).intersect(_keys(t, 1999)))
