@@ -9,6 +9,7 @@ from ..operators import tables as A
 from ..operators import windows as W
 from .base import query
 
+
 def _year():
     return F.floor(F.col("ym") / 12)
 
