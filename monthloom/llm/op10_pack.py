@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,20 +14,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, col
+from .texthash import _BASE, _BASE_INV, _BYTE, mixed, powers
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 #: Salts that divide the pieces of one length, so that a length held by many documents is ranked by many tasks.
 SALTS = 64
-#: Tokens of distinct words that a task keeps.
-CACHE_WORDS = 200_000
+#: Distinct words whose ids a worker keeps.
+CACHE_WORDS = 500_000
 #: Characters tokenised at once.
-CHUNK_CHARS = 2_000_000
-
-# Texts of these characters only are in NFC, lower-case character by character, and split alike by
-# Python's re and by the tokenizer's own pattern; all other texts go to the tokenizer whole.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÿ]*\Z")
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^\sa-zà-öø-ÿ0-9]+")
+CHUNK_CHARS = 1_500_000
+
+# Texts of these characters only (as Latin-1 bytes) are in NFC, lower-case character by character, and
+# split where the class of character changes; all other texts go to the tokenizer whole.
+_LETTERS = [*range(65, 91), *range(97, 123), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))]
+_PLAIN = bytes([9, 10, 13, *(c for c in range(32, 127) if c != 39), *range(0xC0, 0x100)])
+_KIND = np.full(256, 3, np.uint8)  # other signs
+_KIND[[9, 10, 13, 32]], _KIND[_LETTERS], _KIND[48:58] = 0, 1, 2
+_LOWER = bytes(range(256)).translate(
+    bytes.maketrans(bytes(c for c in _LETTERS if c < 91 or 0xC0 <= c < 0xDF), bytes(c + 32 for c in _LETTERS if c < 91 or 0xC0 <= c < 0xDF))
+)
+#: The byte-level alphabet: bytes without a visible Latin-1 sign stand for themselves plus 256 and up, in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b >= 174)]
+_SHOWN = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+_encoders: dict[str, "Encoder"] = {}
 
 
 def tokenizer_path() -> str:
@@ -49,38 +58,64 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-
-    def _learn(self, words: list[str]) -> None:
-        start = len(self.ids)
-        for e in self.tokenizer.encode_batch(words, add_special_tokens=False):
-            self.ids.append(np.array(e.ids, "<u4"))
-        self.known.update(zip(words, range(start, len(self.ids))))
-        self._flat = None
+        self.known: dict[int, int] = {}  # a word's hash: its number
+        self.start, self.length, self.table = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "<u4")
+
+    def _learn(self, hashes: list[int], words: list[str]) -> None:
+        self.known.update(zip(hashes, range(len(self.known), len(self.known) + len(hashes))))
+        cut = self.tokenizer.model.tokenize
+        ids = [np.array([t.id for t in cut(w.encode().decode("latin-1").translate(_SHOWN))], "<u4") for w in words]
+        n = np.array([len(x) for x in ids], "i8")
+        self.start = np.concatenate([self.start, len(self.table) + np.cumsum(n) - n])
+        self.length = np.concatenate([self.length, n])
+        self.table = np.concatenate([self.table, *ids])
+
+    def _plain(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of plain texts in Latin-1: runs of letters, single digits, and runs of other signs are words."""
+        joined = b"\n".join([*texts, b""]).translate(_LOWER)
+        data = np.frombuffer(joined, np.uint8)
+        kind = _KIND[data]
+        edge = kind == 2
+        edge[1:] |= kind[1:] != kind[:-1]
+        edge[:1] = True
+        start = np.flatnonzero(edge & (kind > 0))
+        edge = kind == 2
+        edge[:-1] |= kind[1:] != kind[:-1]
+        end = np.flatnonzero(edge & (kind > 0)) + 1
+        offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        first = np.searchsorted(start, offsets)
+        if not len(start):
+            return [self.table[:0]] * len(texts)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=sums[1:])
+        h = mixed((sums[end] - sums[start]) * powers(_BASE_INV, len(data) + 1)[start] + (end - start).astype(np.uint64))
+        seen, at, back = np.unique(h, return_index=True, return_inverse=True)
+        seen = seen.tolist()
+        if new := [i for i, x in enumerate(seen) if x not in self.known]:
+            a, b = start[at[new]].tolist(), end[at[new]].tolist()
+            self._learn([seen[i] for i in new], [joined[x:y].decode("latin-1") for x, y in zip(a, b)])
+        word = np.fromiter(map(self.known.__getitem__, seen), "i8", len(seen))[back]
+        n = self.length[word]
+        ends = np.cumsum(n)
+        ids = self.table[np.repeat(self.start[word] - (ends - n), n) + np.arange(ends[-1])]
+        edges = np.concatenate([[0], ends])[first]
+        return [ids[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_WORDS:
             self._clear()
-        plain = [i for i, t in enumerate(texts) if _PLAIN.match(t)]
-        split = [_SPLIT.findall(texts[i].lower()) for i in plain]
-        counts = np.array([len(s) for s in split], "i8")
-        flat = [w for s in split for w in s]
-        if new := list({*flat} - self.known.keys()):
-            self._learn(new)
         out: list = [None] * len(texts)
-        if plain:
-            lengths = np.array([len(x) for x in self.ids], "i8")
-            table = np.concatenate([np.empty(0, "<u4"), *self.ids])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
-            at = np.fromiter(map(self.known.__getitem__, flat), "i8", len(flat))
-            n = lengths[at] if len(at) else at
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = table[np.repeat(starts[at] - (ends - n), n) + np.arange(total)] if total else table[:0]
-            edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-            for i, a, b in zip(plain, edges, edges[1:]):
-                out[i] = ids[a:b]
+        plain, at = [], []
+        for i, t in enumerate(texts):
+            try:
+                b = t.encode("latin-1")
+            except UnicodeEncodeError:
+                continue
+            if not b.translate(None, _PLAIN):
+                plain.append(b)
+                at.append(i)
+        for i, x in zip(at, self._plain(plain)):
+            out[i] = x
         other = [i for i, x in enumerate(out) if x is None]
         for i, e in zip(other, self.tokenizer.encode_batch([texts[i] for i in other], add_special_tokens=False)):
             out[i] = np.array(e.ids, "<u4")
@@ -105,7 +140,9 @@ def tokenised_pieces(docs: DataFrame, id_col: str, text_col: str, path: str, cap
     schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)  # its words stay for the worker's next tasks
+        encoder = _encoders[path]
         for batch in batches:
             names, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in chunks(texts):
