@@ -205,3 +205,16 @@ def _(t):
 @query("ml12_case_control")
 def _(t):
     return H.case_control(t.scored(), ["g", "ym"], 2).select("g", "ym", "event", F.col("__w").alias("weight"))
+
+
+@query("ml04_focal")
+def _(t):
+    df = risk_features(t).select("g", "ym", "event", *FEATURES).cache()
+    return H.focal_boost(df, FEATURES, 3).select("g", "ym", "event", F.round("pred", 6).alias("pred"))
+
+
+@query("ml08_tuning")
+def _(t):
+    df = risk_features(t).select("ym", "event", *FEATURES).cache()
+    cut = df.agg(F.percentile("ym", F.lit(0.7))).first()[0]
+    return H.tune(df.where(F.col("ym") < cut), df.where(F.col("ym") >= cut), FEATURES, [0.01, 0.1, 1.0])
