@@ -17,8 +17,9 @@ from .texthash import shingle_sets
 
 #: Sorted orders, and hashes in each order's key.
 TREES, DEPTH = 16, 8
-#: Keys that agree on so many hashes are neighbours; regions with more rows than CAP go deeper.
+#: Keys that agree on the first of these are a region; for the order alone, regions with more rows than CAP go deeper.
 DEPTHS = (4, 6, 8)
+#: Rows of a region that are searched in one task; a larger region is searched in so many blocks as it takes.
 CAP = 1024
 #: Neighbours on each side of a row in its region that are compared at once.
 WINDOW = 4
@@ -89,34 +90,76 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _between(percent: int):
-    def links(region: pd.DataFrame) -> pd.DataFrame:
-        """Links that join different components of a region: members outside the largest one against all others.
-
-        Intersections of a member with all others are counted on an index from shingles to members. A link is
-        reported if it joins what no earlier one joined, so a region reports fewer links than it has members.
+    def links(block: pd.DataFrame) -> pd.DataFrame:
+        """Links that join different components: members to probe with against the members to search.
+
+        Sets as similar as asked share one of any |x| - ceil(percent * |x| / 100) + 1 shingles of x, so the rarest
+        ones of a probe find all candidates; their intersections are counted on an index from shingles to members.
+        A link is reported if it joins what no earlier one joined, so a block reports fewer links than it has
+        members. A probe that has joined its region's largest component (null) needs no search: whatever else it
+        is linked with is in that component too, or is a probe itself.
         """
-        region = region.sort_values("set_id")
-        ids, sets = region["set_id"].to_numpy(), region["shingles"].to_numpy()
-        part = region["component"].factorize()[0]
+        block = block.sort_values(["set_id", "probe"])
+        ids, sets = block["set_id"].to_numpy(), block["shingles"].to_numpy()
+        part = block["component"].factorize()[0]  # -1: the largest
         sizes = np.array([len(x) for x in sets])
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        there = np.flatnonzero(block["searched"].to_numpy(bool))
+        if not len(there):
+            return pd.DataFrame([], columns=["a", "b"])
+        flat, owner = np.concatenate(sets[there]), np.repeat(there, sizes[there])
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        outside, out = np.flatnonzero(part != np.bincount(part).argmax()), []
-        for i in outside:
-            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            n = hi - lo
-            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            same = np.bincount(owner[at], minlength=len(sets))
-            for j in np.flatnonzero((100 * same >= percent * (sizes + sizes[i] - same)) & (part != part[i])):
+
+        def owners(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+        out = []
+        for i in np.flatnonzero(block["probe"].to_numpy(bool)):
+            if part[i] == -1:
+                continue
+            lo = np.searchsorted(flat, sets[i], "left")
+            n = np.searchsorted(flat, sets[i], "right") - lo
+            rare = np.argsort(n, kind="stable")[: sizes[i] + (-percent * sizes[i]) // 100 + 1]
+            if (part[owners(lo[rare], n[rare])] == part[i]).all():
+                continue
+            same = np.bincount(owners(lo, n), minlength=len(sets))
+            for j in np.flatnonzero((same > 0) & (100 * same >= percent * (sizes + sizes[i] - same)) & (part != part[i])):
                 if part[j] != part[i]:
-                    part[part == part[j]] = part[i]
+                    into, gone = min(part[i], part[j]), max(part[i], part[j])
+                    part[part == gone] = into
                     out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return links
 
 
+def _blocks(region: DataFrame, parts: DataFrame) -> DataFrame:
+    """(tree, near, x, y, set_id, component, probe, searched): what is left to search in regions of several components.
+
+    Members outside a region's largest component are searched for among all its members. Where they don't fit
+    one block, the former are dealt into x, all into y, and each x meets each y.
+    """
+    placed = region.join(parts, F.col("set_id") == F.col("node"), "left")
+    placed = placed.select("tree", "near", "set_id", F.coalesce("component", "set_id").alias("component"))
+    sizes = placed.groupBy("tree", "near", "component").count()
+    top = sizes.groupBy("tree", "near").agg(F.sum("count").alias("n"), F.max(F.struct("count", "component")).alias("top"))
+    half = max(1, CAP // 2)
+    xs, ys = F.ceil((F.col("n") - F.col("top.count")) / half).cast("int"), F.ceil(F.col("n") / half).cast("int")
+    one = F.col("n") <= CAP
+    top = top.where("n > top.count").select(
+        "tree", "near", F.col("top.component").alias("top"), F.when(one, 1).otherwise(xs).alias("xs"), F.when(one, 1).otherwise(ys).alias("ys")
+    )
+    open_ = placed.join(top, ["tree", "near"]).withColumn("out", F.col("component") != F.col("top"))
+    dealt = lambda n, seed: F.pmod(F.xxhash64("set_id", "tree", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tags = "tree", "near", "set_id", F.when(F.col("out"), F.col("component")).alias("component")
+    small = open_.where("xs = 1 and ys = 1").select(*tags, F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("out").alias("probe"), F.lit(True).alias("searched"))
+    large = open_.where("xs > 1 or ys > 1")
+    probes = large.where("out").select(*tags, dealt("xs", 1).alias("x"), F.explode(every("ys")).alias("y"), F.lit(True).alias("probe"), F.lit(False).alias("searched"))
+    others = large.select(*tags, F.explode(every("xs")).alias("x"), dealt("ys", 2).alias("y"), F.lit(False).alias("probe"), F.lit(True).alias("searched"))
+    return small.unionByName(probes).unionByName(others)
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -124,11 +167,13 @@ def near_duplicates(
 
     A document is the set of its ``width``-word shingles (lower-cased ASCII; all words if fewer). Documents
     with equal sets are one class. Each class has a key in each of TREES sorted orders; classes whose keys
-    share a prefix form a region, and a region with more than CAP classes is divided by a longer prefix,
-    at the full key by a salt that differs by tree. Neighbours in a region's order are compared on their
-    full sets. Regions that then still hold more than one component are searched whole: classes of
-    different components are compared there on their full sets. So within a region no link between
-    components is missed, and no group is expanded into rows for all its pairs.
+    share a prefix form a region, however many. Neighbours in a region's order are compared on their full
+    sets; for this order alone, a region with more than CAP classes is divided by a longer prefix, at the
+    full key by a salt that differs by tree. In such a region all classes are also compared with the one
+    that has most links so far. Regions that then still hold more than one component are searched whole, in
+    blocks: classes outside the largest component against all, on their full sets. So within a region no
+    link between components is missed. A region costs rows in proportion to its classes, and beyond CAP
+    also to those times the classes outside the largest component, over CAP / 2.
 
     Null or empty text, or no words: size 0, linked with nothing. Repeated rows share a class. A component
     without any id has a null component_id. An empty table gives an empty result; other columns are unused.
@@ -148,7 +193,7 @@ def near_duplicates(
     near = F.substring("key", 1, 2 * DEPTHS[0])
     keyed = keys.select("set_id", "tree", "key", near.alias("near"))
     crowd = keyed.groupBy("tree", "near").count().where("count > 1")
-    keyed = scratch.cut(keyed.join(crowd, ["tree", "near"]))
+    region = keyed = scratch.cut(keyed.join(crowd, ["tree", "near"]))
     for d, deeper in zip(DEPTHS, [*DEPTHS[1:], None]):
         full = keyed.where(F.col("count") > CAP).select("tree", "near", "count").distinct()
         if full.isEmpty():
@@ -160,7 +205,8 @@ def near_duplicates(
             name = F.when(F.col("count") > CAP, F.concat("near", salt.cast("string").cast("binary"))).otherwise(F.col("near"))
         again = keyed.select("set_id", "tree", "key", name.alias("near"))
         before, keyed = keyed, scratch.cut(again.join(again.groupBy("tree", "near").count().where("count > 1"), ["tree", "near"]))
-        scratch.drop(before)
+        if before is not region:
+            scratch.drop(before)
     order = Window.partitionBy("tree", "near").orderBy("key", "set_id")
     beside = keyed.select("set_id", *[F.lag("set_id", k).over(order).alias(f"b{k}") for k in range(1, WINDOW + 1)])
     beside = beside.select("set_id", F.explode(F.array(*[f"b{k}" for k in range(1, WINDOW + 1)])).alias("b"))
@@ -169,18 +215,25 @@ def near_duplicates(
     )
     # the text of one document of each wanted class: rows with that class's least id
     source = docs.select(col(id_col).alias("__id"), col(text_col))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    ids = region.select("set_id").distinct()
     wanted = scratch.cut(classes.join(ids, "set_id").select(F.col("least").alias("__want")).distinct())
     found = _sets(source, text_col, width, F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted)
     sets = scratch.cut(found.dropDuplicates(["set_id"]))
     links = scratch.cut(_confirmed(pairs, sets, percent))
     parts = scratch.cut(connected_components(links, scratch))
-    # regions with several components: whatever the neighbours alone did not settle
-    placed = keyed.where(F.col("count") > WINDOW + 1).join(parts, F.col("set_id") == F.col("node"), "left")
-    placed = placed.select("tree", "near", "set_id", F.coalesce("component", "set_id").alias("component"))
-    mixed = placed.groupBy("tree", "near").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    open_ = placed.join(mixed.select("tree", "near"), ["tree", "near"]).join(sets, "set_id")
-    more = scratch.cut(open_.groupBy("tree", "near").applyInPandas(_between(percent), "a binary, b binary").distinct())
+    full = region.where(F.col("count") > CAP).select("set_id", "tree", "near")
+    if not full.isEmpty():
+        # the middle of a star is a neighbour of few, but linked with most of those
+        degree = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("links"))
+        hubs = full.join(degree, "set_id").groupBy("tree", "near").agg(F.max(F.struct("links", "set_id"))["set_id"].alias("hub"))
+        pairs = full.join(hubs, ["tree", "near"]).where("set_id <> hub")
+        pairs = pairs.select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
+        links = scratch.cut(links.unionByName(_confirmed(pairs, sets, percent)))
+        parts = scratch.cut(connected_components(links, scratch))
+    # regions with several components: whatever this did not settle; the smallest ones are all neighbours
+    left = scratch.cut(_blocks(region.where(F.col("count") > min(CAP, WINDOW + 1)), parts))
+    found = left.join(sets, "set_id").groupBy("tree", "near", "x", "y").applyInPandas(_between(percent), "a binary, b binary")
+    more = scratch.cut(found.distinct())
     if not more.isEmpty():
         parts = scratch.cut(connected_components(links.unionByName(more), scratch))
     named = classes.select("set_id", "least").join(parts, F.col("set_id") == F.col("node"), "left")

@@ -212,6 +212,40 @@ def test_minhash(spark, docs, none, cap, window, monkeypatch):
         assert o8.near_duplicates(none).count() == 0
 
 
+def star(seed, n, r, words_each=100, changed=1):
+    """A text and n copies of it, each with other words changed."""
+    base = words(words_each, seed).split(" ")
+    out = [base]
+    for _ in range(n):
+        w = list(base)
+        for k in r.sample(range(5, words_each - 5), changed):
+            w[k] = f"edit{r.random()}"
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("cap,window", [(3, 1), (16, 2)])
+def test_minhash_crowded(spark, cap, window, monkeypatch):
+    """Stars, a chain, bridges between two groups and groups that are no copies, with all regions crowded."""
+    monkeypatch.setattr(o8, "CAP", cap)
+    monkeypatch.setattr(o8, "WINDOW", window)
+    r = random.Random(9)
+    texts = star(31, 60, r) + star(32, 30, r, 60) + star(33, 40, r, 100, 2)  # the third: edits of two words, 0.82 to the original
+    chain = words(100, 34).split(" ")
+    for k in range(20):
+        texts.append(" ".join(chain))
+        chain[5 * k % 100] = f"step{k}"
+    left = star(35, 12, r)
+    far = left[0].split(" ")
+    far[20], far[70] = "far", "off"  # below the threshold to the first group's original
+    half = left[0].split(" ")
+    half[20] = "far"  # the bridge, near to both
+    texts += left + [" ".join(far), " ".join(half)] + [" ".join(["more", *far[1:]])]
+    rows = [(i, t) for i, t in enumerate(r.sample(texts, len(texts)))]
+    got = o8.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, got.collect())) == brute_near(rows, 85)
+
+
 def test_fingerprints(docs, none):
     got = o9.fingerprint_edits(docs).collect()
     order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
