@@ -11,7 +11,7 @@ from .common import Scratch, col
 MIN_SITES = 10
 #: Spreads this near the threshold, as a share of it, are counted exactly; about 15 standard errors of the sketch.
 BAND = 0.25
-#: A document whose boilerplate makes up more than this share of its characters is a copy of a document and stays whole.
+#: OP2_SQL leaves documents with a larger share of boilerplate whole; the operator does not.
 MAX_SHARE = 0.75
 #: Boilerplate hashes up to this many (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -41,7 +41,6 @@ def boilerplate_lines(docs: DataFrame, scratch: Scratch, min_sites: int, text_co
 def drop_boilerplate(
     docs: DataFrame,
     min_sites: int = MIN_SITES,
-    max_share: float = MAX_SHARE,
     id_col: str = "doc_id",
     text_col: str = "text",
     site_col: str = "source",
@@ -49,8 +48,8 @@ def drop_boilerplate(
     """All input rows and columns, with kept_text, n_lines and n_removed.
 
     Lines end at newlines; empty ones count for nothing and stay. A line that stands on min_sites or more
-    distinct sites goes from every document, unless such lines make up more than max_share of the
-    characters of the document's lines: then the document itself was copied, which is left to document dedup.
+    distinct sites goes from every document, unless the document holds nothing else and its very text
+    stands on several sites: then the document itself was copied, which is left to document dedup.
 
     Null text: kept_text null, no lines. Empty text: kept whole. Repeated rows are treated alike. An empty
     table gives an empty result. Input columns named like a result column are replaced.
@@ -61,27 +60,30 @@ def drop_boilerplate(
         *[col(c).alias(f"__c{i}") for i, c in enumerate(keep)],
         col(text_col).alias("__text"),
         F.xxhash64(col(id_col), col(text_col)).alias("__row"),
+        F.xxhash64(col(text_col)).alias("__hash"),
     )
+    sites = docs.select(F.xxhash64(col(text_col)).alias("__hash"), col(site_col).cast("string").alias("site"))
+    copied = sites.groupBy("__hash").agg(F.min("site").alias("x"), F.max("site").alias("y")).where("x <> y")
     boiler = boilerplate_lines(docs, scratch, min_sites, text_col, site_col)
     if boiler.count() <= BROADCAST_ROWS:
         boiler = F.broadcast(boiler)
-    lines = base.select("__row", F.explode(F.array_distinct(F.split("__text", "\n"))).alias("line"))
+    lines = base.select("__row", "__hash", F.explode(F.array_distinct(F.split("__text", "\n"))).alias("line"))
     found = (
         lines.where("line <> ''")
-        .select("__row", F.xxhash64("line").alias("line"))
+        .select("__row", "__hash", F.xxhash64("line").alias("line"))
         .join(boiler, "line", "left_semi")
-        .groupBy("__row")
+        .groupBy("__row", "__hash")
         .agg(F.collect_set("line").alias("__found"))  # at most the lines of one document
+        .join(copied.select("__hash", F.lit(True).alias("__copied")), "__hash", "left")
     )
-    # two rows with the same __row but other texts would lose boilerplate only: __found holds nothing else
+    # two rows with the same hashes but other texts would lose boilerplate only: __found holds nothing else
     whole = F.split("__text", "\n")
     left = F.filter(whole, lambda x: (x == "") | ~F.array_contains("__found", F.xxhash64(x)))
-    chars = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.char_length(x))
-    out = base.join(found, "__row", "left").withColumn(
+    out = base.join(found, ["__row", "__hash"], "left").withColumn(
         "__left", F.when(F.col("__found").isNull(), whole).otherwise(left)
     )
-    stays = (chars(whole) - chars("__left")) > F.lit(max_share) * chars(whole)
-    out = out.withColumn("__left", F.when(F.col("__found").isNotNull() & stays, whole).otherwise(F.col("__left")))
+    stays = F.col("__copied") & ~F.exists("__left", lambda x: x != "")
+    out = out.withColumn("__left", F.when(stays, whole).otherwise(F.col("__left")))
     count = lambda xs: F.coalesce(F.size(F.filter(xs, lambda x: x != "")), F.lit(0)).cast("long")
     return out.select(
         *[F.col(f"__c{i}").alias(c) for i, c in enumerate(keep)],
