@@ -262,6 +262,15 @@ def test_minhash_crowded(spark, cap, window, monkeypatch):
     assert Counter(map(tuple, got.collect())) == brute_near(rows, 85)
 
 
+def test_minhash_near_group_in_crowd(spark, monkeypatch):
+    """The eight near copies that test_minhash leaves out at the small cap."""
+    monkeypatch.setattr(o8, "CAP", 3)
+    monkeypatch.setattr(o8, "WINDOW", 1)
+    rows = ROWS + [(200 + i, near(near(near(BASE, 3 * i), 7 * i + 1), 40), "en", "s", 1, 1, "") for i in range(8)]
+    got = o8.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert Counter(map(tuple, got.collect())) == brute_near(rows, 85)
+
+
 def test_fingerprints(docs, none):
     got = o9.fingerprint_edits(docs).collect()
     order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
