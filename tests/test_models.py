@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from monthloom.models import hazard
 from monthloom.operators.metrics import auroc
+from monthloom.plans.survival import FEATURES
 
 
 def test_focal_and_case_control(spark):
@@ -17,3 +19,26 @@ def test_focal_and_case_control(spark):
     sample = hazard.case_control(df, ["id"], 2)
     w = sample.groupBy("event").agg(F.sum("__w").alias("w")).collect()
     assert {x["event"]: round(x["w"], 6) for x in w} == {e: df.where(f"event = {e}").count() for e in (0, 1)}
+
+
+def test_permutation_of_all_features_on_later_rows(spark, monkeypatch):
+    seen, whole = {}, hazard.permutation_importance
+    fit = hazard.logistic
+
+    class Watched:
+        def __init__(self, *args):
+            self.inner = fit(*args)
+
+        def fit(self, df):
+            seen["fitted"] = df.agg(F.max("ym")).first()[0]
+            return self.inner.fit(df)
+
+    def watch(model, df, features):
+        seen["scored"] = df.agg(F.min("ym")).first()[0]
+        return whole(model, df, features)
+
+    monkeypatch.setattr(hazard, "logistic", Watched)
+    monkeypatch.setattr(hazard, "permutation_importance", watch)
+    got = entry.queries()["ml11_permutation"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["feature"] for r in got) == sorted(FEATURES)
+    assert seen["fitted"] < seen["scored"]
