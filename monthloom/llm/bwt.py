@@ -6,19 +6,19 @@ import numpy as np
 
 
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and its inverse by prefix doubling; symbols are below 2**16 and the last is unique."""
+    """Suffix array and its inverse by prefix doubling; symbols are below 2**32 - 1 and the last is unique."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(3, text.dtype)]).astype(np.uint64) + np.uint64(1)
+    width = 4 if text.max() < (1 << 16) - 1 else 2
+    padded = np.concatenate([text, np.zeros(width - 1, text.dtype)]).astype(np.uint64) + np.uint64(1)
     key = np.zeros(n, np.uint64)
-    for j in range(4):
-        key = key << np.uint64(16) | padded[j : j + n]
+    for j in range(width):
+        key = key << np.uint64(64 // width) | padded[j : j + n]
     order = np.argsort(key, kind="stable")
     new = np.ones(n, bool)
     new[1:] = key[order][1:] != key[order][:-1]
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's first place is its rank
     rank = np.empty(n, np.int64)
     rank[order] = first
-    width = 4
     while True:
         alone = new & np.append(new[1:], True)
         open_ = np.flatnonzero(~alone)
@@ -37,8 +37,8 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         width *= 2
 
 
-def repeated_starts(text: np.ndarray, least: int) -> np.ndarray:
-    """Where a string of ``least`` symbols starts that also starts elsewhere in text.
+def repeated_starts(text: np.ndarray, least: int, whose: np.ndarray | None = None) -> np.ndarray:
+    """Where a string of ``least`` symbols starts that also starts elsewhere in text; with whose, at a place of another.
 
     Breadth first from the empty string: the intervals of all strings of one length are extended to the
     left through the transform (the last-to-first map), and each new interval end that has no common
@@ -72,17 +72,30 @@ def repeated_starts(text: np.ndarray, least: int) -> np.ndarray:
             break
         unknown[high + 1] = False
     out = np.zeros(n, bool)
-    out[order[unknown[:-1] | unknown[1:]]] = True
+    if whose is None:
+        out[order[unknown[:-1] | unknown[1:]]] = True
+        return out
+    first = np.flatnonzero(~unknown[:-1])  # suffixes from one of these to the next share ``least`` symbols
+    own = whose[order]
+    several = np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first)
+    out[order[np.repeat(several, np.diff(np.append(first, n)))]] = True
     return out
 
 
-def repeated_in(pieces: list[bytes], least: int) -> list[np.ndarray]:
-    """For each piece, a mask of the places where a string of ``least`` bytes starts that starts elsewhere too.
+def repeated_in(pieces: list[np.ndarray], least: int, owners: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each piece, a mask of the places where a string of ``least`` symbols starts that starts elsewhere too.
 
-    Elsewhere is another place of the same or of any other piece; strings do not cross pieces, which end
-    in marks of their own. At most 65,000 pieces.
+    Elsewhere is another place of the same or of any other piece; with owners (a number per piece), a piece of
+    another owner. Strings do not cross pieces, which end in marks of their own.
     """
-    ends = np.cumsum([len(p) + 1 for p in pieces])
-    text = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8).astype(np.int64) + len(pieces)
-    text[ends - 1] = np.arange(len(pieces))
-    return np.split(repeated_starts(text, least), ends[:-1])
+    sizes = np.array([len(p) for p in pieces])
+    ends = np.cumsum(sizes + 1)
+    flat = np.concatenate(pieces)
+    if flat.dtype != np.uint8:
+        flat = np.unique(flat, return_inverse=True)[1]
+    inside = np.ones(ends[-1], bool)
+    inside[ends - 1] = False
+    text = np.empty(ends[-1], np.int64)
+    text[inside] = flat.astype(np.int64) + len(pieces)
+    text[~inside] = np.arange(len(pieces))
+    return np.split(repeated_starts(text, least, None if owners is None else np.repeat(owners, sizes + 1)), ends[:-1])

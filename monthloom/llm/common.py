@@ -62,6 +62,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A row that more rows than this meet in a join is broadcast instead; more where partitions are larger anyway.
+HEAVY = 4000
+
+
+def met(left: DataFrame, right: DataFrame, on: list[str], times: str, how: str = "inner") -> DataFrame:
+    """left joined with right (one row per key, in a scratch table) where single keys may hold any share of left.
+
+    times: a column of right that says how many rows of left have its key; it is not in the result. Rows of right
+    over a limit are broadcast, so no task meets all their partners. They are at most 8 for each shuffle partition, since
+    the limit grows with the sum of times.
+    """
+    total = right.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0]
+    limit = max(HEAVY, total // (8 * partitions(left.sparkSession)))
+    heavy = right.where(F.col(times) > limit)
+    if heavy.isEmpty():
+        return left.join(right.drop(times), on, how)
+    light, few = right.where(F.col(times) <= limit).drop(times), F.broadcast(heavy.drop(times))
+    rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how)
+    return rest if how == "left_anti" else rest.unionByName(left.join(few, on, "inner" if how == "left" else how))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of an undirected graph.
 

@@ -2,119 +2,179 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .bwt import repeated_in
-from .common import Scratch, col
-from .texthash import _BASE, _BASE_INV, _BYTE, mixed, powers
+from .common import Scratch, col, met
+from .texthash import _BASE, _BASE_INV, _BYTE, chunks, mixed, powers, word_hashes
 
 LEAST = 400
-#: Bytes of an anchor; with half of the rest of a LEAST-byte string on one side it makes a group's key.
-ANCHOR = 32
-#: Contexts that one group may bring into a transform; larger groups are dealt by their strings' hashes.
+#: A passage is so many words that also stand in another document.
+PASSAGE = 51
+#: Contexts that one group may bring into a transform; larger groups are divided by where their strings start.
 GROUP = 2000
-#: Bytes that one transform should hold.
+#: Bytes of contexts that one transform should hold.
 BATCH_BYTES = 1_000_000
 #: Document keys (16 bytes each) up to so many are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 500_000
+#: Bits of a packed anchor that hold its place; more in a text of over 256 MB.
+PLACE_BITS = 28
 
 
-def _sums(data: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=out[1:])
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of (bytes or words), their length, and that of an anchor.
+
+    across: a string must also start in another document, not only elsewhere. halves: a group shares, besides
+    the anchor, half of the rest of a string on one side.
+    """
+
+    words: bool
+    least: int
+    anchor: int
+    across: bool
+    halves: bool
+
+    def symbols(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All texts' symbols, their 64-bit codes, and each text's first symbol (one entry more than texts)."""
+        if self.words:
+            h, first = word_hashes(texts)
+            return h, h, first
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        return data, _BYTE[data], np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+
+    @property
+    def bands(self) -> list[tuple[int, int]]:
+        """Least and most symbols that a string may have before its anchor, by group."""
+        most, half = self.least - self.anchor, (self.least - self.anchor) // 2
+        return [(half, most), (0, half - 1)] if self.halves else [(0, most)]
+
+
+BYTES = Unit(False, LEAST, 32, False, True)
+WORDS = Unit(True, PASSAGE, 16, True, False)
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * powers(_BASE, len(codes)), out=out[1:])
     return out
 
 
 def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] from the running sums."""
+    """64-bit hashes of codes[start:end] from the running sums."""
     return mixed((sums[end] - sums[start]) * powers(_BASE_INV, len(sums))[start])
 
 
-def anchors(text: bytes, least: int = LEAST) -> np.ndarray | None:
-    """Rows (key, context hash, first start, last start): the strings of ``least`` bytes of a text, in groups.
+def _rows(sums: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, band: tuple[int, int], unit: Unit) -> tuple[np.ndarray, ...]:
+    """(which, key, context, lo, hi, off) of the strings around each place ``at`` that have as many symbols before it as the band says.
 
-    Every such string has one anchor, the leftmost of its ANCHOR-byte substrings with the smallest hash,
-    so equal strings have equal anchors at equal offsets. The strings of one anchor start in a row. Those
-    with at least half of the other bytes before the anchor share a key made of these bytes and the
-    anchor, the rest one made of the anchor and as many bytes after it. Equal strings have equal keys. The
-    context is all that the row's strings cover.
+    The key is made of what these strings share: all that lies in each of them wherever it starts.
     """
-    n = len(text)
-    if n < least:
-        return None
-    data = np.frombuffer(text, np.uint8)
-    sums = _sums(data)
-    grams = np.arange(n - ANCHOR + 1)
-    h = _hash(sums, grams, grams + ANCHOR)
-    span = least - ANCHOR + 1  # anchors that a string may have
-    low, width = h, 1
+    low, high = band
+    lo, hi = np.maximum(first, at - high), np.minimum(last, at - low)
+    k = np.flatnonzero(lo <= hi)
+    lo, hi, p = lo[k], hi[k], at[k]
+    key = _hash(sums, p - low, p - high + unit.least)
+    context = _hash(sums, lo, hi + unit.least) + (p - lo).astype(np.uint64) * np.uint64(4096) + (hi - lo).astype(np.uint64)
+    return k, mixed(key + np.uint64(low * 1024 + high)).view("i8"), mixed(context).view("i8"), lo, hi, p - lo
+
+
+def anchors(texts: list[bytes], unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
+    """(text, key, context, lo, hi, off): the strings of all texts, in groups; lo and hi are first and last start.
+
+    Every string has one anchor, the leftmost of its ``anchor``-symbol substrings with the smallest hash, so
+    equal strings have equal anchors at equal offsets. The strings of one anchor start in a row. Those of one
+    band of offsets share a key. Equal strings have equal keys. The context is all that the row's strings
+    cover; off is its symbols before the anchor.
+    """
+    _, codes, first = unit.symbols(texts)
+    n, out = len(codes), [np.zeros(0, "i8") for _ in range(6)]
+    if n < unit.least:
+        return tuple(out)
+    sums, span = _sums(codes), unit.least - unit.anchor + 1
+    at, bits = np.arange(n - unit.anchor + 1), np.uint64(max(PLACE_BITS, n.bit_length()))
+    low = _hash(sums, at, at + unit.anchor) >> bits << bits | at.astype(np.uint64)  # of equal ones, the leftmost is the least
+    width = 1
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    low = np.minimum(low[: len(h) - span + 1], low[span - width :])
-    edge = np.append(np.flatnonzero(np.append(True, low[1:] != low[:-1])), len(low))
-    rows = []
-    for a, b in zip(edge.tolist(), edge[1:].tolist()):
-        start = a
-        for p in (a + np.flatnonzero(h[a : b + span - 1] == low[a])).tolist():
-            if p >= start:
-                rows.append((p, start, min(p, b - 1)))
-                start = p + 1
-            if start >= b:
-                break
-    at, first, last = np.array(rows, "i8").T
-    half = (least - ANCHOR) // 2
-    out = []
-    for left in (True, False):
-        lo, hi = (first, np.minimum(last, at - half)) if left else (np.maximum(first, at - half + 1), last)
-        k = np.flatnonzero(lo <= hi)
-        lo, hi, p = lo[k], hi[k], at[k]
-        key = _hash(sums, p - half if left else p, p + ANCHOR if left else p + ANCHOR + half - 1)
-        context = mixed(_hash(sums, lo, hi + least) + (p - lo).astype(np.uint64) * np.uint64(4096) + (hi - lo).astype(np.uint64))
-        out.append(np.stack([mixed(key + np.uint64(left)).view("i8"), context.view("i8"), lo, hi], axis=1))
-    return np.concatenate(out)
-
-
-def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """docs: (ka, kb, text). Rows (ka, kb, key, context, lo, hi) of all texts."""
+    low = np.minimum(low[: n - unit.least + 1], low[span - width :])
+    step = np.zeros(n + 1, np.int8)
+    long = np.flatnonzero(np.diff(first) >= unit.least)
+    step[first[long]] += 1
+    step[first[long + 1] - unit.least + 1] -= 1
+    start = np.flatnonzero(np.cumsum(step[: len(low)], dtype=np.int8) > 0)  # strings that don't cross texts
+    if not len(start):
+        return tuple(out)
+    place = (low[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype("i8")
+    edge = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)))
+    lo, hi, p = start[edge], start[np.append(edge[1:], len(start)) - 1], place[edge]
+    owner = np.searchsorted(first, lo, "right") - 1
+    found = [_rows(sums, p, lo, hi, band, unit) for band in unit.bands]
+    k, key, context, lo, hi, off = (np.concatenate(x) for x in zip(*found))
+    base = first[owner[k]]
+    return owner[k], key, context, lo - base, hi - base, off
+
+
+_ROW = "key long, context long, lo int, hi int, off int"
+
+
+def _batch(ids: list, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    of = pa.array(found[0])
+    return pa.RecordBatch.from_arrays(
+        [*(c.take(of) for c in ids), pa.array(found[1]), pa.array(found[2]), *(pa.array(x.astype("i4")) for x in found[3:])],
+        names=["ka", "kb", "key", "context", "lo", "hi", "off"],
+    )
+
+
+def _anchor_rows(docs: DataFrame, unit: Unit) -> DataFrame:
+    """docs: (ka, kb, text). Rows (ka, kb, key, context, lo, hi, off) of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, owner, held = [], [], 0
-            for i, t in enumerate(batch.column(2).to_pylist()):
-                if (x := anchors(t)) is not None:
-                    found.append(x)
-                    owner.append(np.full(len(x), i))
-                    held += len(x)
-                if found and (held > 200_000 or i == batch.num_rows - 1):
-                    yield out(batch, found, owner)
-                    found, owner, held = [], [], 0
-            if found:
-                yield out(batch, found, owner)
-
-    def out(batch: pa.RecordBatch, found: list, owner: list) -> pa.RecordBatch:
-        rows, of = np.concatenate(found), pa.array(np.concatenate(owner))
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).take(of),
-                batch.column(1).take(of),
-                pa.array(rows[:, 0]),
-                pa.array(rows[:, 1]),
-                pa.array(rows[:, 2].astype("i4")),
-                pa.array(rows[:, 3].astype("i4")),
-            ],
-            names=["ka", "kb", "key", "context", "lo", "hi"],
-        )
+            texts = batch.column(2).to_pylist()
+            for a, b in chunks(texts):
+                yield _batch([batch.column(i).slice(a, b - a) for i in (0, 1)], anchors(texts[a:b], unit))
+
+    return docs.select("ka", "kb", "text").mapInArrow(run, "ka long, kb long, " + _ROW)
+
+
+def _parts(band: tuple[int, int]) -> list[tuple[int, int]]:
+    """The band in four; none of a single offset."""
+    low, high = band
+    step = -(-(high - low + 1) // 4)
+    return [(x, min(x + step - 1, high)) for x in range(low, high + 1, step)] if low < high else []
+
+
+def _narrower(contexts: DataFrame, bands: list[tuple[int, int]], unit: Unit) -> DataFrame:
+    """contexts: (ka, kb, text, off, copies, owner), text being symbols. Rows as of _anchor_rows, for narrower bands, with copies and owner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = [_symbols(d, unit) for d in batch.column(2).to_pylist()]
+            if not pieces:
+                continue
+            first = np.concatenate([[0], np.cumsum([len(x) for x in pieces])])
+            codes = np.concatenate(pieces)
+            sums = _sums(codes if unit.words else _BYTE[codes])
+            at = first[:-1] + batch.column(3).to_numpy()
+            found = [_rows(sums, at, first[:-1], first[1:] - unit.least, band, unit) for band in bands]
+            k, key, context, lo, hi, off = (np.concatenate(x) for x in zip(*found))
+            of, rows = pa.array(k), _batch([batch.column(0), batch.column(1)], (k, key, context, lo - first[k], hi - first[k], off))
+            yield rows.append_column("copies", batch.column(4).take(of)).append_column("owner", batch.column(5).take(of))
 
-    return docs.select("ka", "kb", "text").mapInArrow(run, "ka long, kb long, key long, context long, lo int, hi int")
+    return contexts.mapInArrow(run, "ka long, kb long, " + _ROW + ", copies long, owner long")
+
+
+def _symbols(data: bytes, unit: Unit) -> np.ndarray:
+    return np.frombuffer(data, np.uint64 if unit.words else np.uint8)
 
 
 def _runs(mask: np.ndarray) -> tuple[list[int], list[int]]:
@@ -126,130 +186,178 @@ def _runs(mask: np.ndarray) -> tuple[list[int], list[int]]:
 RANGES = "key long, context long, a array<int>, b array<int>"
 
 
-def _transformed(group: pd.DataFrame) -> pd.DataFrame:
-    found = [_runs(m) for m in repeated_in(list(group["data"]), LEAST)]
-    out = pd.DataFrame({"key": group["key"].to_numpy(), "context": group["context"].to_numpy(), "a": [f[0] for f in found], "b": [f[1] for f in found]})
-    return out[out["a"].str.len() > 0]
+def _transformed(unit: Unit):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        pieces = [_symbols(d, unit) for d in group["data"]]
+        owners = np.unique(group["owner"].to_numpy(), return_inverse=True)[1] if unit.across else None
+        found = [_runs(m) for m in repeated_in(pieces, unit.least, owners)]
+        out = pd.DataFrame({"key": group["key"].to_numpy(), "context": group["context"].to_numpy(), "a": [f[0] for f in found], "b": [f[1] for f in found]})
+        return out[out["a"].str.len() > 0]
 
+    return run
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all LEAST-byte strings of each context."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            data = np.frombuffer(batch.column(2)[i].as_py(), np.uint8)
-            at = np.arange(len(data) - LEAST + 1)
-            of = pa.array(np.full(len(at), i))
-            h = _hash(_sums(data), at, at + LEAST).view("i8")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(of), batch.column(1).take(of), pa.array(at.astype("i4")), pa.array(h)],
-                names=["key", "context", "at", "h"],
-            )
-
-
-def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([w["key"] for w in wanted], "int64"),
-                    pa.array([w["context"] for w in wanted], "int64"),
-                    pa.array([text[w["lo"] : w["hi"] + LEAST] for w in wanted], "binary"),
-                ],
-                names=["key", "context", "data"],
-            )
+
+#: What goes with a context: where its anchor is, the different contexts of its key, documents that hold it, and whose it is.
+_TAGS = {"key": "long", "context": "long", "off": "long", "contexts": "long", "copies": "long", "owner": "long"}
+
+
+def _cut_contexts(unit: Unit, is_data: bool):
+    """(text, wanted) -> (key, context, off, data): the wanted ranges of symbols; is_data: text is symbols already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = _symbols(text, unit) if is_data else unit.symbols([text])[0]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array([w[c] for w in wanted], "int64") for c, t in _TAGS.items()),
+                        pa.array([x[w["lo"] : w["hi"] + unit.least].tobytes() for w in wanted], "binary"),
+                    ],
+                    names=[*_TAGS, "data"],
+                )
+
+    return run
 
 
 def _keyed(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose (ka, kb) is (left_semi) or is not (left_anti) in keys, a scratch table."""
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, ["ka", "kb"], how)
-
-
-def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs: (ka, kb, text), text binary and not null. (ka, kb, spans): starts of repeated strings, first and last."""
-    rows = _anchor_rows(docs.where(F.octet_length("text") >= LEAST))
-    shared = scratch.cut(rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n"))
-    places = scratch.cut(shared.groupBy("ka", "kb", "key", "context", "lo", "hi").count())
-    scratch.drop(shared)
-    contexts = places.groupBy("key", "context").agg(
-        F.sum("count").alias("times"), F.min(F.struct("ka", "kb", "lo", "hi")).alias("one")
+    """Rows of docs whose (ka, kb) is (left_semi) or is not (left_anti) in keys: (ka, kb, copies), a scratch table."""
+    if keys.count() <= BROADCAST_KEYS:
+        return docs.join(F.broadcast(keys), ["ka", "kb"], how)
+    return met(docs, keys, ["ka", "kb"], "copies", how)
+
+
+def _decided(docs: DataFrame, rows: DataFrame, unit: Unit, bands: list[tuple[int, int]], scratch: Scratch, is_data: bool) -> DataFrame:
+    """(ka, kb, lo, a, b, copies): ranges lo + a to lo + b of starts of repeated strings, in a scratch table.
+
+    docs: (ka, kb, text). rows: (ka, kb, key, context, lo, hi, off, copies, owner) of one row for each of a text's
+    anchors; copies: documents that hold the text. A string can only repeat within its key. Contexts that are
+    equal are one, and all their strings repeat; different ones of a key are compared on a transform. Keys of more than
+    GROUP contexts are divided by bands of offsets, whose strings share more, until there is one offset a key: then
+    its strings share all they have, so no such key has two contexts.
+    """
+    least_most = [F.min("owner").alias("o1"), F.max("owner").alias("o2"), F.max("copies").alias("most")]
+    contexts = rows.groupBy("key", "context").agg(
+        F.sum("copies").alias("times"), F.count("*").alias("places"), *least_most, F.min(F.struct("ka", "kb", "lo", "hi", "off")).alias("one")
+    )
+    several = (F.col("o1") < F.col("o2")) | (F.col("most") > 1) if unit.across else F.col("times") > 1
+    contexts = scratch.cut(contexts.withColumn("whole", several))
+    differ = scratch.cut(contexts.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1").withColumn("n", F.col("contexts")))
+    wanted = scratch.cut(
+        met(contexts, differ, ["key"], "n").select(
+            "key", "context", "contexts", "one.*", F.when(F.col("whole"), 2).otherwise(1).alias("copies"),
+            F.when(F.col("whole"), F.xxhash64("key", "context")).otherwise(F.col("o1")).alias("owner"),
+        )
+    )
+    lists = scratch.cut(
+        wanted.groupBy("ka", "kb").agg(F.collect_list(F.struct("lo", "hi", *_TAGS)).alias("wanted"), F.lit(1).alias("copies"))
     )
-    differ = contexts.groupBy("key").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    contexts = scratch.cut(contexts.join(differ, "key", "left"))
-    whole = contexts.where("times > 1").select("key", "context")
-    # one text for each set of contexts that must be compared
-    wanted = contexts.where("contexts > 1").select("key", "context", "contexts", "one.*")
-    lists = scratch.cut(wanted.groupBy("ka", "kb").agg(F.collect_list(F.struct("key", "context", "lo", "hi")).alias("wanted")))
-    texts = _keyed(docs, lists.select("ka", "kb"), "left_semi").groupBy("ka", "kb").agg(F.first("text").alias("text"))
+    texts = _keyed(docs, lists.select("ka", "kb", "copies"), "left_semi")
+    if not is_data:  # copies of a text are cut once; those of a hot one meet as partial aggregates
+        texts = texts.groupBy("ka", "kb").agg(F.first("text").alias("text"))
     cut = texts.join(lists, ["ka", "kb"]).select("text", "wanted").mapInArrow(
-        _cut_contexts, "key long, context long, data binary"
+        _cut_contexts(unit, is_data), ", ".join(f"{c} {t}" for c, t in _TAGS.items()) + ", data binary"
     )
-    size = wanted.where(F.col("contexts") <= GROUP).agg(F.sum(F.col("hi") - F.col("lo") + LEAST + 1)).first()[0] or 0
-    cut = scratch.cut(cut.join(differ.withColumnRenamed("contexts", "c"), "key"))
-    batch = F.pmod(F.xxhash64("key"), F.lit(max(1, size // BATCH_BYTES))).alias("batch")
-    few = cut.where(F.col("c") <= GROUP).select("key", "context", "data", batch)
-    compared = few.groupBy("batch").applyInPandas(_transformed, RANGES)
-    many = cut.where(F.col("c") > GROUP).select("key", "context", "data")
-    strings = many.mapInArrow(_windows, "key long, context long, at int, h long")
-    again = strings.groupBy("key", "h").agg(F.count("*").alias("n"), F.min(F.struct("context", "at")).alias("x")).where("n > 1")
-    hit = strings.join(again.select("key", "h"), ["key", "h"], "left_semi")
-    hit = hit.groupBy("key", "context").agg(F.collect_list("at").alias("a")).select("key", "context", "a", F.col("a").alias("b"))
-    partial = compared.unionByName(hit).join(whole, ["key", "context"], "left_anti")
-    partial = scratch.cut(partial)
-    spans = places.join(partial, ["key", "context"]).select(
-        "ka", "kb", F.explode(F.arrays_zip("a", "b")).alias("r"), "lo"
-    ).select("ka", "kb", (F.col("lo") + F.col("r.a")).alias("a"), (F.col("lo") + F.col("r.b")).alias("b"))
-    spans = spans.unionByName(
-        places.join(whole, ["key", "context"], "left_semi").select("ka", "kb", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    cut = scratch.cut(cut)
+    few, many = cut.where(F.col("contexts") <= GROUP), cut.where(F.col("contexts") > GROUP)
+    size = few.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    batches = int(max(1, size // BATCH_BYTES))
+    batch = F.pmod(F.xxhash64("key"), F.lit(batches)).alias("batch")
+    dealt = few.select("key", "context", "data", "owner", batch).repartition(min(batches, 20_000), "batch")
+    found = scratch.cut(dealt.groupBy("batch").applyInPandas(_transformed(unit), RANGES))
+    parts = [found.select("key", "context", F.explode(F.arrays_zip("a", "b")).alias("r")).select("key", "context", "r.a", "r.b")]
+    narrower = [part for band in bands for part in _parts(band)]
+    if narrower and not many.isEmpty():
+        some = scratch.cut(many.select(F.col("key").alias("ka"), F.col("context").alias("kb"), F.col("data").alias("text"), "off", "copies", "owner"))
+        below = scratch.cut(_narrower(some, narrower, unit))
+        deeper = _decided(some.select("ka", "kb", "text"), below, unit, narrower, scratch, True)
+        at = [(F.col("lo") + F.col(c)).alias(c) for c in ("a", "b")]
+        parts.append(deeper.select(F.col("ka").alias("key"), F.col("kb").alias("context"), *at))
+    ranges = parts[0]
+    for x in parts[1:]:
+        ranges = ranges.unionByName(x)
+    ranges = ranges.groupBy("key", "context").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    known = contexts.where(~F.col("whole")).join(ranges, ["key", "context"])
+    width = F.array(F.struct(F.lit(0).alias("a"), (F.col("one.hi") - F.col("one.lo")).alias("b")))
+    known = known.select("key", "context", "places", "ranges").unionByName(contexts.where("whole").select("key", "context", "places", width.alias("ranges")))
+    known = scratch.cut(known)
+    out = met(rows.select("ka", "kb", "key", "context", "lo", "copies"), known, ["key", "context"], "places")
+    return scratch.cut(out.select("ka", "kb", "lo", "copies", F.explode("ranges").alias("r")).select("ka", "kb", "lo", "r.a", "r.b", "copies"))
+
+
+def repeated_ranges(docs: DataFrame, unit: Unit, scratch: Scratch) -> DataFrame:
+    """docs: (ka, kb, text), text binary and not null. (ka, kb, spans, copies): starts of repeated strings, first and last."""
+    rows = scratch.cut(_anchor_rows(docs.where(F.octet_length("text") >= (2 * unit.least - 1 if unit.words else unit.least)), unit))
+    keys = scratch.cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = met(rows, keys, ["key"], "n", "left_semi")
+    places = scratch.cut(shared.groupBy("ka", "kb", "key", "context", "lo", "hi", "off").agg(F.count("*").alias("copies")))
+    scratch.drop(rows, keys)
+    places = places.withColumn("owner", F.xxhash64("ka", "kb"))
+    found = _decided(docs, places, unit, unit.bands, scratch, False)
+    return scratch.cut(
+        found.groupBy("ka", "kb").agg(F.collect_list(F.struct((F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b")).alias("b"))).alias("spans"), F.max("copies").alias("copies"))
     )
-    return scratch.cut(spans.groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+
+
+def _covered(n: int, spans: list | None, least: int) -> np.ndarray:
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, [s["a"] for s in spans or ()], 1)
+    np.add.at(step, [s["b"] + least for s in spans or ()], -1)
+    return np.cumsum(step[:-1]) > 0
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, spans) -> (id, n_bytes, kept, removed spans)."""
+    """(id, text, spans, passages) -> (id, kept, removed spans, words in passages)."""
     for batch in batches:
-        kept, starts, ends = [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            step = np.zeros(len(text) + 1, np.int32)
-            np.add.at(step, [s["a"] for s in spans], 1)
-            np.add.at(step, [s["b"] + LEAST for s in spans], -1)
-            gone = np.cumsum(step[:-1]) > 0
+        kept, starts, ends, words = [], [], [], []
+        for text, spans, passages in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            gone = _covered(len(text), spans, LEAST)
             kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             a, b = _runs(gone)
             starts.append(a)
             ends.append([x + 1 for x in b])
+            last = max((s["b"] for s in passages or ()), default=-PASSAGE)
+            words.append(int(_covered(last + PASSAGE, passages, PASSAGE).sum()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(kept, "binary"), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))],
-            names=["doc_id", "kept", "starts", "ends"],
+            [batch.column(0), pa.array(kept, "binary"), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(words, "int64")],
+            names=["doc_id", "kept", "starts", "ends", "n_passage_words"],
         )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, kept, starts, ends), one row per input row: remaining bytes, and the removed byte ranges.
+    """(doc_id, n_bytes, kept, starts, ends, n_passage_words), one row per input row.
 
-    Every byte goes that a LEAST-byte string covers which also starts anywhere else in any text (UTF-8
-    bytes; strings don't cross texts). Strings meet by anchor keys, of which only those held more than
-    once go on; equal contexts of a key are one with a count. Contexts that differ within a key are
-    compared by interval expansion on a Burrows-Wheeler transform (bwt.py), in batches of whole keys. A
-    key with more than GROUP different contexts is dealt out by the hashes of its strings instead, so no
-    key grows past one task.
+    kept: the remaining bytes; starts, ends: the removed byte ranges. Every byte goes that a LEAST-byte string
+    covers which also starts anywhere else in any text (UTF-8 bytes; strings don't cross texts).
+    n_passage_words: words (lower-cased ASCII) covered by PASSAGE words in a row that another document holds
+    too; nothing is removed for them, they are told where they are too short for LEAST bytes.
+
+    Strings meet by anchor keys, of which only those held more than once go on; equal contexts of a key
+    are one with a count. Contexts that differ within a key are compared by interval expansion on a
+    Burrows-Wheeler transform (bwt.py), in batches of whole keys.
 
     Null text is empty. Texts under LEAST bytes stay whole. Repeated rows remove each other where long
-    enough. Null or repeated ids are rows like others. An empty table gives no rows.
+    enough. Null or repeated ids are rows like others. An empty table gives no rows. Other columns, of whatever
+    name, are not used.
     """
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(col(id_col).alias("doc_id"), text.alias("text")).select(
         "doc_id", "text", F.xxhash64("text").alias("ka"), F.xxhash64(F.lit("repeat"), "text").alias("kb")
     )
-    spans = repeated_ranges(rows.select("ka", "kb", "text"), scratch)
-    keys = spans.select("ka", "kb")
+    texts = rows.select("ka", "kb", "text")
+    passages = repeated_ranges(texts, WORDS, scratch).withColumnsRenamed({"spans": "passages", "copies": "c"})
+    spans = repeated_ranges(texts, BYTES, scratch).join(passages, ["ka", "kb"], "full")
+    spans = scratch.cut(spans.withColumn("copies", F.coalesce(F.greatest("copies", "c"), "copies", "c")).drop("c"))
+    keys = spans.select("ka", "kb", "copies")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    some = _keyed(rows, keys, "left_semi").join(spans, ["ka", "kb"]).select("doc_id", "text", "spans")
-    some = some.mapInArrow(_removed, f"doc_id {kind}, kept binary, starts array<int>, ends array<int>")
+    some = met(_keyed(rows, keys, "left_semi"), spans, ["ka", "kb"], "copies").select("doc_id", "text", "spans", "passages")
+    some = some.mapInArrow(_removed, f"doc_id {kind}, kept binary, starts array<int>, ends array<int>, n_passage_words long")
     none = F.array().cast("array<int>")
-    rest = _keyed(rows, keys, "left_anti").select("doc_id", F.col("text").alias("kept"), none.alias("starts"), none.alias("ends"))
+    rest = _keyed(rows, keys, "left_anti").select(
+        "doc_id", F.col("text").alias("kept"), none.alias("starts"), none.alias("ends"), F.lit(0).cast("long").alias("n_passage_words")
+    )
     n = F.octet_length("kept") + F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda x, y: x + y)
-    return some.unionByName(rest).select("doc_id", n.cast("long").alias("n_bytes"), "kept", "starts", "ends")
+    return some.unionByName(rest).select("doc_id", n.cast("long").alias("n_bytes"), "kept", "starts", "ends", "n_passage_words")
 
 
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,4 +368,5 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("starts").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        "n_passage_words",
     )

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from monthloom.llm import bwt
+from monthloom.llm import bwt, common
 from monthloom.llm import op01_mix as o1
 from monthloom.llm import op02_lines as o2
 from monthloom.llm import op03_vectors as o3
@@ -161,8 +161,15 @@ def test_repeats_in_transform():
         ps = [bytes(r.integers(97, 97 + r.integers(1, 4), r.integers(0, 60)).astype("u1")) for _ in range(r.integers(1, 6))]
         n = int(r.integers(1, 9))
         c = Counter(p[i : i + n] for p in ps for i in range(len(p) - n + 1))
-        for p, m in zip(ps, bwt.repeated_in(ps, n)):
+        arrays, owners = [np.frombuffer(p, "u1") for p in ps], r.integers(0, 3, len(ps))
+        for p, m in zip(ps, bwt.repeated_in(arrays, n)):
             assert m.tolist() == [i + n <= len(p) and c[p[i : i + n]] > 1 for i in range(len(p) + 1)]
+        held = defaultdict(set)
+        for p, o in zip(ps, owners):
+            for i in range(len(p) - n + 1):
+                held[p[i : i + n]].add(o)
+        for p, m in zip(ps, bwt.repeated_in([a.astype("u8") << np.uint64(50) for a in arrays], n, owners)):
+            assert m.tolist() == [i + n <= len(p) and len(held[p[i : i + n]]) > 1 for i in range(len(p) + 1)]
 
 
 def brute_repeats(texts, n=400):
@@ -176,13 +183,35 @@ def brute_repeats(texts, n=400):
         yield len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("group", [2000, 1])
-def test_suffix(docs, none, group, monkeypatch):
-    monkeypatch.setattr(o6, "GROUP", group)  # 1: every compared key takes the way of large groups
+def brute_passages(texts, n=51):
+    """Words of each text that stand in a run of n words which another text holds too."""
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t)) for t in texts]
+    held = defaultdict(set)
+    for k, w in enumerate(texts):
+        for i in range(len(w) - n + 1):
+            held[tuple(w[i : i + n])].add(k)
+    for w in texts:
+        covered = np.zeros(len(w), bool)
+        for i in range(len(w) - n + 1):
+            if len(held[tuple(w[i : i + n])]) > 1:
+                covered[i : i + n] = True
+        yield int(covered.sum())
+
+
+@pytest.mark.parametrize("group,heavy", [(2000, 4000), (1, 1)])
+def test_suffix(docs, none, group, heavy, monkeypatch):
+    monkeypatch.setattr(o6, "GROUP", group)  # 1: every compared key is divided by offsets
+    monkeypatch.setattr(common, "HEAVY", heavy)  # 1: all rows that several others meet are broadcast
+    if heavy == 1:
+        monkeypatch.setattr(common, "partitions", lambda spark: 1)
+        monkeypatch.setattr(o6, "BROADCAST_KEYS", 0)
     from pyspark.sql import functions as F
 
-    out = o6.remove_repeats(docs).select("doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("starts"), F.sha2("kept", 256))
-    want = Counter((r[0], *b) for r, b in zip(ROWS, brute_repeats([(r[1] or "").encode() for r in ROWS])))
+    out = o6.remove_repeats(docs).select(
+        "doc_id", "n_bytes", F.col("n_bytes") - F.octet_length("kept"), F.size("starts"), F.sha2("kept", 256), "n_passage_words"
+    )
+    texts = [r[1] or "" for r in ROWS]
+    want = Counter((r[0], *b, p) for r, b, p in zip(ROWS, brute_repeats([t.encode() for t in texts]), brute_passages(texts)))
     assert Counter(map(tuple, out.collect())) == want
     assert o6.remove_repeats(none).count() == 0
 
