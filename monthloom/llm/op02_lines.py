@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, col
+from .common import Scratch, col, met
 
 #: Boilerplate stands on at least so many sites.
 MIN_SITES = 10
 #: Spreads this near the threshold, as a share of it, are counted exactly; about 15 standard errors of the sketch.
 BAND = 0.25
-#: OP2_SQL leaves documents with a larger share of boilerplate whole; the operator does not.
-MAX_SHARE = 0.75
 #: Boilerplate hashes up to this many (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -63,7 +61,8 @@ def drop_boilerplate(
         F.xxhash64(col(text_col)).alias("__hash"),
     )
     sites = docs.select(F.xxhash64(col(text_col)).alias("__hash"), col(site_col).cast("string").alias("site"))
-    copied = sites.groupBy("__hash").agg(F.min("site").alias("x"), F.max("site").alias("y")).where("x <> y")
+    copied = sites.groupBy("__hash").agg(F.min("site").alias("x"), F.max("site").alias("y"), F.count("*").alias("__n"))
+    copied = scratch.cut(copied.where("x <> y").select("__hash", F.lit(True).alias("__copied"), "__n"))
     boiler = boilerplate_lines(docs, scratch, min_sites, text_col, site_col)
     if boiler.count() <= BROADCAST_ROWS:
         boiler = F.broadcast(boiler)
@@ -74,8 +73,8 @@ def drop_boilerplate(
         .join(boiler, "line", "left_semi")
         .groupBy("__row", "__hash")
         .agg(F.collect_set("line").alias("__found"))  # at most the lines of one document
-        .join(copied.select("__hash", F.lit(True).alias("__copied")), "__hash", "left")
     )
+    found = met(found, copied, ["__hash"], "__n", "left")
     # two rows with the same hashes but other texts would lose boilerplate only: __found holds nothing else
     whole = F.split("__text", "\n")
     left = F.filter(whole, lambda x: (x == "") | ~F.array_contains("__found", F.xxhash64(x)))
@@ -109,9 +108,9 @@ with w as (select row_number() over () as r, doc_id, source, text, string_split(
 l as (select r, source, unnest(xs) as line from w),
 b as (select line from l where line <> '' and source is not null group by line having count(distinct source) >= {MIN_SITES}),
 f as (select r, list(distinct l.line) as found from l join b using (line) group by r),
+c as (select text from documents where source is not null group by text having count(distinct source) > 1),
 k as (select w.*, case when found is null then xs else list_filter(xs, lambda x: not list_contains(found, x)) end as kept from w left join f using (r)),
-c as (select *, list_sum(list_transform(xs, lambda x: length(x))) as n, list_sum(list_transform(kept, lambda x: length(x))) as m from k),
-e as (select *, case when n - coalesce(m, 0) > {MAX_SHARE}::double * n then xs else kept end as left_over from c),
+e as (select k.*, case when c.text is not null and len(list_filter(kept, lambda x: x <> '')) = 0 then xs else kept end as left_over from k left join c on c.text = k.text),
 t as (select *, case when text is null then null when len(left_over) = 0 then '' else array_to_string(left_over, chr(10)) end as kept_text from e)
 select doc_id, coalesce(len(list_filter(xs, lambda x: x <> '')), 0)::bigint as n_lines,
        coalesce(len(list_filter(xs, lambda x: x <> '')) - len(list_filter(left_over, lambda x: x <> '')), 0)::bigint as n_removed,

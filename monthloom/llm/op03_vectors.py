@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, connected_components, partitions
+from .common import Scratch, col, connected_components, met, partitions
 
-#: Sorted orders, and random sign bits in each order's key.
-PASSES, BITS = 16, 32
+#: Random sign bits in each order's key.
+BITS = 32
+#: Orders are as many as meet a pair at the threshold with this probability (see passes), at most so many.
+RECALL, MOST_PASSES = 0.99, 64
 #: A row is compared with at least so many rows after it in each order, at most with twice as many.
 WINDOW = 512
 #: Rows of an order that one task compares (with WINDOW rows of the next).
@@ -22,24 +25,50 @@ PART = 1024
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
+    """Vectors of length 1; the largest component is made 1 first, so that no square over- or underflows."""
     x = np.stack(vectors.to_numpy()).astype("f8")
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def passes(n: int, mean_cosine: float, threshold: float, window: int) -> int:
+    """Orders for a label of n vectors with this mean cosine.
+
+    A pair at the threshold meets in an order if its keys agree in as many bits as leave a window of rows. A bit
+    agrees with 1 - angle / pi, for other pairs at the mean cosine. One order is enough where a window holds all.
+    """
+    if n <= window:
+        return 1
+    agree = lambda c: 1 - math.acos(min(1.0, max(-1.0, c))) / math.pi
+    others = min(agree(mean_cosine), 0.95)
+    once = agree(threshold) ** (math.log(n / window) / -math.log(others))
+    return min(MOST_PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-once))) if once < 1 else 1
+
+
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(label, dim, n, at, x): number and components of the sum of unit vectors, by label and length, of a batch."""
+    for df in batches:
+        for (label, d), part in df.groupby(["label", "dim"]):
+            x = _unit(part["vector"]).sum(axis=0)
+            yield pd.DataFrame({"label": label, "dim": np.int32(d), "n": np.int64(len(part)), "at": np.arange(int(d), dtype="i4"), "x": x})
+
+
 def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per vector and pass: the signs of BITS random projections, most significant first."""
-    planes: dict[int, np.ndarray] = {}
+    planes: dict[tuple[int, int], np.ndarray] = {}
     for df in batches:
-        for d, part in df.groupby("dim"):
-            if d not in planes:
-                planes[d] = np.random.Generator(np.random.PCG64([3, int(d)])).standard_normal((int(d), PASSES * BITS))
-            bits = (_unit(part["vector"]) @ planes[d] > 0).reshape(len(part), PASSES, BITS)
-            h = bits @ (1 << np.arange(BITS - 1, -1, -1, dtype="i8"))
+        for (d, turns), part in df.groupby(["dim", "turns"]):
+            h = np.empty((len(part), turns), "i8")
+            x = _unit(part["vector"])
+            for t in range(turns):
+                if (d, t) not in planes:
+                    planes[(d, t)] = np.random.Generator(np.random.PCG64([3, int(d), t])).standard_normal((int(d), BITS))
+                h[:, t] = (x @ planes[(d, t)] > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype="i8"))
             yield pd.DataFrame(
                 {
-                    "node": part["node"].repeat(PASSES),
-                    "turn": np.tile(np.arange(PASSES, dtype="i4"), len(part)),
-                    "label": part["label"].repeat(PASSES),
+                    "node": part["node"].repeat(turns),
+                    "turn": np.tile(np.arange(turns, dtype="i4"), len(part)),
+                    "label": part["label"].repeat(turns),
                     "dim": np.int32(d),
                     "h": h.ravel(),
                 }
@@ -59,14 +88,14 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _linker(threshold: float):
+def _linker(threshold: float, window: int):
     def link(group: pd.DataFrame) -> pd.DataFrame:
         """Edges that join what is linked in one block: rows within the window, same pass, label and length."""
         group = group.sort_values("place")
         nodes, out = group["node"].to_numpy(), []
         for _, rows in group.assign(at=np.arange(len(group))).groupby(["turn", "label", "dim"], sort=False):
             at, x, place = rows["at"].to_numpy(), _unit(rows["vector"]), rows["place"].to_numpy()
-            piece, edges = place // WINDOW, []
+            piece, edges = place // window, []
             for p in np.unique(piece):
                 i, j = np.flatnonzero(piece == p), np.flatnonzero((piece == p) | (piece == p + 1))
                 a, b = np.nonzero(x[i] @ x[j].T >= threshold)
@@ -112,16 +141,19 @@ def near_vectors(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
-    Rows with equal label and vector are one class with so many copies. Each class gets PASSES keys of
-    random sign bits; every pass sorts all classes by (label, key), cuts the order into blocks and compares
-    each class with the WINDOW or more that follow it, block edges included. Blocks report only the edges
+    Rows with equal label and vector are one class with so many copies. Each class gets keys of random sign
+    bits, as many as ``passes`` says for the size and mean cosine of its label (both measured over all vectors);
+    every pass sorts all classes by (label, key), cuts the order into blocks and compares each class with the
+    WINDOW or more that follow it, block edges included. At most MOST_PASSES: beyond them (labels of over some
+    hundred million vectors, or whose vectors are nearly all alike) recall is below RECALL. Blocks report only the edges
     of a spanning forest, so a dense group costs no more rows than it has members. Components of the union
     of all passes are then counted exactly: every two members of a component are compared, a large one by
     pairs of parts in separate tasks, which also finds links that no window held.
 
     A vector that is null, zero, or holds a null or non-finite number, or whose label is null, links with
     nothing; nor do vectors of different lengths. Repeated rows are other vectors, linked with cosine 1.
-    Null ids: never the smallest of a component that has others. An empty table gives no rows.
+    Null ids: never the smallest of a component that has others. An empty table gives no rows. Other columns, of
+    whatever name, are not used.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
@@ -129,7 +161,8 @@ def near_vectors(
     as_double = F.transform(v, lambda x: x.cast("double"))
     finite = F.forall(as_double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = col(label_col).isNotNull() & v.isNotNull() & finite & F.exists(as_double, lambda x: x != 0)
-    name = F.md5(F.concat_ws(",", col(label_col).cast("string"), v.cast("array<string>")))
+    label = col(label_col).cast("string")
+    name = F.md5(F.concat(F.char_length(label).cast("string"), F.lit(":"), label, F.array_join(v.cast("array<string>"), ",")))
     rows = vectors.select(
         col(id_col).alias("vec_id"),
         col(label_col).cast("string").alias("label"),
@@ -144,7 +177,13 @@ def near_vectors(
         .select("node", "least", "copies", "x.label", "x.vector", F.size("x.vector").alias("dim"))
     )
     order = ["turn", "label", "dim", "h", "node"]
-    keys = classes.select("node", "label", "dim", "vector").mapInPandas(
+    sums = classes.select("label", "dim", "vector").mapInPandas(_sums, "label string, dim int, n long, at int, x double")
+    sums = sums.groupBy("label", "dim", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    kinds = sums.groupBy("label", "dim").agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("x"))
+    window = WINDOW
+    turns = F.udf(lambda n, x: passes(n, x / n / n, threshold, window), "int")  # once per label, not per row
+    kinds = scratch.cut(kinds.select("label", "dim", "n", turns("n", "x").alias("turns")))
+    keys = met(classes.select("node", "label", "dim", "vector"), kinds, ["label", "dim"], "n").mapInPandas(
         _keys, "node binary, turn int, label string, dim int, h long"
     )
     keys = keys.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
@@ -168,27 +207,27 @@ def near_vectors(
         "vector",
         F.explode(F.when(ahead, F.array(block, block - 1)).otherwise(F.array(block))).alias("block"),
     )
-    edges = scratch.cut(dealt.groupBy("block").applyInPandas(_linker(threshold), "a binary, b binary").distinct())
+    edges = scratch.cut(dealt.groupBy("block").applyInPandas(_linker(threshold, window), "a binary, b binary").distinct())
     scratch.drop(keys)
     parts = scratch.cut(connected_components(edges, scratch))
     sized = parts.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     members = parts.join(sized, "component").join(classes.select("node", "vector", "copies"), "node")
     members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     others = F.sequence(F.lit(0), F.col("parts") - 1)
-    met = members.select("component", "node", "vector", "copies", "part", F.explode(others).alias("other"))
-    met = met.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
-    counted = met.groupBy("component", "lo", "hi").applyInPandas(_counter(threshold), "node binary, links long")
+    spread = members.select("component", "node", "vector", "copies", "part", F.explode(others).alias("other"))
+    spread = spread.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    counted = spread.groupBy("component", "lo", "hi").applyInPandas(_counter(threshold), "node binary, links long")
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("node", "least", "copies").join(parts, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = scratch.cut(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
     named = scratch.cut(
-        named.join(least, "component")
+        met(named, least, ["component"], "n")
         .join(links, "node", "left")
-        .select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("node", "component_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    out = ids.join(named, "node", "left").select(
+    out = met(ids, named, ["node"], "copies", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),

@@ -18,8 +18,10 @@ KEYS_PER_RANGE = 32
 ROWS_PER_RANGE, MIN_RANGES, MAX_RANGES = 20_000, 64, 50_000
 #: A range over this many times its share is subdivided.
 OVERFULL = 2.0
+#: Most turns of subdivision.
+MAX_TURNS = 48
 #: Equal texts stay in one shard while together they have at most this share of a shard.
-GROUP_SHARE = 0.005
+GROUP_SHARE = 0.05
 
 
 def _placed(rows: DataFrame, high: np.ndarray, low: np.ndarray) -> DataFrame:
@@ -76,7 +78,7 @@ def shard_by_splitters(
     ranges = min(MAX_RANGES, max(MIN_RANGES, n // ROWS_PER_RANGE))
     splitters: list[tuple[int, int]] = []
     per_byte, sizes, over = KEYS_PER_RANGE * ranges / max(total, 1), {}, None
-    for turn in range(8):
+    for turn in range(MAX_TURNS):
         drawn = sorted(set(_drawn(slim if over is None else over, per_byte, turn)))
         if over is None:
             picked = drawn[KEYS_PER_RANGE // 2 :: KEYS_PER_RANGE]
@@ -96,6 +98,8 @@ def shard_by_splitters(
         full = [r for r, (b, k, one) in sizes.items() if b > OVERFULL * total / ranges and k > 1 and not one]
         if not full:
             break
+        if turn == MAX_TURNS - 1:
+            raise RuntimeError("ranges stay overfull")  # each turn draws twice as densely, until it draws every key
         over, per_byte = placed.where(F.col("__range").isin(full)).select("__size", "__h", "__d"), per_byte * 2
     starts, bytes_, count = [], 0, 0
     for r in sorted(sizes):

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, col, connected_components
+from .common import Scratch, col, connected_components, met
 from .texthash import shingle_sets
 
 #: Sorted orders, and hashes in each order's key.
@@ -45,7 +45,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, signature); set_id names the shingle set and is null for an empty one."""
+    """(doc_id, text_key, n_shingles, set_id, signature); set_id names the shingle set and is null for an empty one."""
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,15 +57,20 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
                 ids.append(_digest(x) if len(x) else None)
                 signs.append(signature(x) if len(x) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, "int64"), pa.array(ids, "binary"), pa.array(signs, "binary")],
-                names=["doc_id", "n_shingles", "set_id", "signature"],
+                [batch.column(0), batch.column(2), pa.array(sizes, "int64"), pa.array(ids, "binary"), pa.array(signs, "binary")],
+                names=["doc_id", "text_key", "n_shingles", "set_id", "signature"],
             )
 
-    return docs.select(col(id_col).alias("doc_id"), col(text_col).cast("binary").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, set_id binary, signature binary"
+    return docs.select(col(id_col).alias("doc_id"), col(text_col).cast("binary").alias("text"), row_key(id_col, text_col).alias("text_key")).mapInArrow(
+        run, f"doc_id {kind}, text_key long, n_shingles long, set_id binary, signature binary"
     )
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of id and text: what tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(col(id_col).cast("string"), F.lit("")), col(id_col).isNull(), F.coalesce(col(text_col), F.lit("")))
+
+
 def _sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
     """(set_id, shingles) of the wanted sets, once each."""
 
@@ -163,7 +168,38 @@ def _blocks(region: DataFrame, parts: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, percent: int = 85, width: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per input row.
+    """(doc_id, n_shingles, component_id, kept), one row per input row; see grouped for how."""
+    return grouped(docs, percent, width, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of docs, with all columns, of which one stays for each group of near-duplicates.
+
+    It is the one with the smallest id (null ids last; then by hash of id and text). Rows are told apart by id and
+    text, so different texts under one id are different documents; of rows equal in both, one stays, any of them.
+    Texts without words are no one's duplicates and stay, repeated rows included. An empty table stays empty.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.cut(grouped(docs, percent, width, id_col, text_col).groupBy("text_key").agg(
+        F.count("*").alias("rows"), F.min("stays").alias("stays"), F.max("n_shingles").alias("words")
+    ))
+    names = docs.columns
+    rows = docs.select(*[col(c).alias(f"__c{i}") for i, c in enumerate(names)], row_key(id_col, text_col).alias("text_key"))
+    gone = scratch.cut(found.where("not stays").select("text_key", "rows"))
+    rows = met(rows, gone, ["text_key"], "rows", "left_anti")
+    again = scratch.cut(found.where("stays and rows > 1 and words > 0").select("text_key", "rows"))
+    if not again.isEmpty():
+        one = met(rows, again, ["text_key"], "rows", "left_semi").dropDuplicates(["text_key"])
+        rows = met(rows, again, ["text_key"], "rows", "left_anti").unionByName(one)
+    return rows.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept, stays), one row per input row.
+
+    stays: whether the row is the one of its group that has the smallest id (null last), then the smallest text_key.
 
     A document is the set of its ``width``-word shingles (lower-cased ASCII; all words if fewer). Documents
     with equal sets are one class. Each class has a key in each of TREES sorted orders; classes whose keys
@@ -182,8 +218,12 @@ def near_duplicates(
     scratch = Scratch(spark)
     rows = scratch.cut(_signed(docs, id_col, text_col, width))
     classes = rows.where("set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("least"), F.min("signature").alias("signature")
+        F.min("doc_id").alias("least"),
+        F.min("signature").alias("signature"),
+        F.count("*").alias("rows"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("first"),
     )
+    classes = scratch.cut(classes)
     step = 2 * DEPTH
     keys = classes.select(
         "set_id",
@@ -236,16 +276,21 @@ def near_duplicates(
     more = scratch.cut(found.distinct())
     if not more.isEmpty():
         parts = scratch.cut(connected_components(links.unionByName(more), scratch))
-    named = classes.select("set_id", "least").join(parts, F.col("set_id") == F.col("node"), "left")
-    named = named.select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.cut(named.join(least, "component").select("set_id", "component_id"))
-    out = rows.drop("signature").join(named, "set_id", "left")
-    return out.select(
+    named = classes.select("set_id", "least", "rows", "first").join(parts, F.col("set_id") == F.col("node"), "left")
+    named = scratch.cut(named.select("set_id", "least", "rows", "first", F.coalesce("component", "set_id").alias("component")))
+    least = named.groupBy("component").agg(
+        F.count("*").alias("classes"), F.min("least").alias("component_id"), F.min("first").alias("one")
+    )
+    named = met(named.select("set_id", "rows", "component"), scratch.cut(least), ["component"], "classes")
+    named = scratch.cut(named.select("set_id", "component_id", "one", "rows"))
+    out = met(rows.drop("signature"), named, ["set_id"], "rows", "left").select(
         "doc_id",
+        "text_key",
         "n_shingles",
         F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        (F.col("set_id").isNull() | (F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_key") == F.col("one.text_key")))).alias("stays"),
+    )
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

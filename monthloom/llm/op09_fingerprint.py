@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, col
+from .common import Scratch, col, partitions
 from .texthash import _BYTE, _PLACE, chunks, mixed
 
 #: Rounds of parsing; phrases grow about threefold each.
@@ -21,6 +20,8 @@ LEVELS = 3
 SLOTS = 64
 #: Documents a range of ids should hold, and the most ranges.
 ROWS_PER_RANGE, MAX_RANGES = 500, 50_000
+#: Bytes of text that a task should read.
+TASK_BYTES = 32 << 20
 _WEIGHT = np.concatenate([_PLACE, mixed(_PLACE.copy()) | np.uint64(1)])
 
 
@@ -129,16 +130,18 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text")
     ).withColumn("__h", F.xxhash64("text"))
     ids = docs.select(col(id_col).alias("doc_id"))
-    n = max(1, docs.count())
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n, size = max(1, n), size or 0
     ranges = min(MAX_RANGES, n // ROWS_PER_RANGE + 1)
     dice = F.pmod(F.xxhash64("doc_id", F.lit("range")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     cuts = sorted(r[0] for r in ids.where(dice < ranges / n).where("doc_id is not null").distinct().collect())
 
+    edges = np.array(cuts, dtype="i8" if cuts and isinstance(cuts[0], int) else None if not cuts else object)
+
     def at(x: pd.Series) -> pd.Series:
-        out = np.full(len(x), len(cuts) + 1)
-        for i, v in enumerate(x.array):
-            if not pd.isna(v):
-                out[i] = len(cuts) - bisect_right(cuts, v)
+        out = np.full(len(x), len(edges) + 1)
+        real = ~pd.isna(x).to_numpy()
+        out[real] = len(edges) - np.searchsorted(edges, x.to_numpy()[real].astype(edges.dtype), "right") if len(edges) else 0
         return pd.Series(out)
 
     rows = rows.withColumn("__range", F.pandas_udf(at, "int")("doc_id"))
@@ -165,7 +168,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "__h",
     )
     copies = copies.select("p.__range", "p.__ahead", "doc_id", "text", "__h")
-    return copies.repartition("__range").sortWithinPartitions("__range", "__ahead", F.col("doc_id").desc_nulls_last(), "__h")
+    tasks = int(min(ranges, max(partitions(spark), size // TASK_BYTES)))
+    return copies.repartition(tasks, "__range").sortWithinPartitions("__range", "__ahead", F.col("doc_id").desc_nulls_last(), "__h")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,8 +18,8 @@ from .texthash import _BASE, _BASE_INV, _BYTE, mixed, powers
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
-#: Salts that divide the pieces of one length, so that a length held by many documents is ranked by many tasks.
-SALTS = 64
+#: Pieces of one length that one task ranks, about; a length with more is divided by salts.
+RANKED = 50_000
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 500_000
 #: Characters tokenised at once.
@@ -54,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]  # found in a text as one id
         self._clear()
 
     def _clear(self) -> None:
@@ -111,7 +111,7 @@ class Encoder:
                 b = t.encode("latin-1")
             except UnicodeEncodeError:
                 continue
-            if not b.translate(None, _PLAIN):
+            if not b.translate(None, _PLAIN) and not any(x in b for x in self.added):
                 plain.append(b)
                 at.append(i)
         for i, x in zip(at, self._plain(plain)):
@@ -214,20 +214,22 @@ def pack_best_fit(
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]), one row per piece.
 
     Only documents of over ``capacity`` ids are cut. The driver holds the histogram of piece lengths (at
-    most ``capacity`` numbers) and the plan; a piece takes the slot of its rank within its length. Ranks
-    are counted per length and salt, then offset, so no length meets in one task. Null text is empty: one
+    most ``capacity`` numbers, and one per RANKED pieces) and the plan; a piece takes the slot of its rank within its
+    length. Ranks are counted per length and salt, then offset, so no length meets in one task. Null text is empty: one
     piece of the closing 0. Null or repeated ids are documents like others. An empty table gives no rows.
     Columns other than id and text are not used.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    pieces = scratch.cut(
-        tokenised_pieces(docs, id_col, text_col, tokenizer or tokenizer_path(), capacity, with_ids).withColumn(
-            "__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-        )
-    )
+    pieces = scratch.cut(tokenised_pieces(docs, id_col, text_col, tokenizer or tokenizer_path(), capacity, with_ids))
+    many = {r[0]: r[1] // RANKED + 1 for r in pieces.groupBy("length").count().where(F.col("count") > RANKED).collect()}
+    salt = F.lit(0)
+    if many:  # at most capacity lengths
+        salts = F.element_at(F.create_map([F.lit(x).cast("long") for kv in many.items() for x in kv]), F.col("length"))
+        salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce(salts, F.lit(1))).cast("int")
+    pieces = pieces.withColumn("__salt", salt)
     held = pieces.groupBy("length", "__salt").count()
-    table = held.collect()  # at most capacity x SALTS rows
+    table = held.collect()  # at most capacity rows, and one per RANKED pieces
     counts: dict[int, int] = {}
     before = []
     for r in sorted(table):
