@@ -51,10 +51,42 @@ def dashed_package(s: Column) -> Column:
 
 
 def code_in_text(s: Column) -> Column:
-    """The first package code after the letters ndc, whatever dashes it has."""
-    plain = F.regexp_replace(s, "[‐-―−]", "-")
-    found = F.regexp_extract(plain, r"(?i)ndc\s*[:#]?\s*(\d{4,5}-\d{3,4}-\d{1,2})", 1)
-    return F.when(found != "", package_code(found))
+    """The first a-b-c after the letters ndc, as it stands there; dashes of any kind or blanks may part it."""
+    plain = F.regexp_replace(s, "[\u2013\u2014\u2212]", "-")
+    gap = r"[\-\u2010-\u2015\s]+"
+    rule = rf"(?i)ndc\s*([0-9]{{1,5}}){gap}([0-9]{{1,4}}){gap}([0-9]{{1,2}})"
+    part = lambda i: F.regexp_extract(plain, rule, i)
+    return F.when(part(1) != "", F.concat_ws("-", part(1), part(2), part(3)))
+
+
+def _strict(s: Column) -> Column:
+    """Runs between dashes of the digits and dashes."""
+    kept = F.regexp_replace(s, r"[^\d\-]", "")
+    return F.when(kept != "", F.split(kept, "-"))
+
+
+def strict_package_code(s: Column) -> Column:
+    """#####-####-## from one to three runs; a single one must have 11 digits, or 10, read as 5-4-1."""
+    p = _strict(s)
+    at = lambda i: F.try_element_at(p, F.lit(i))
+    made = lambda a, b, c: F.concat_ws("-", pad(a, 5), pad(b, 4), pad(c, 2))
+    one = at(1)
+    whole = made(F.substring(one, 1, 5), F.substring(one, 6, 4), F.substring(one, 10, 2))
+    return (
+        F.when(F.size(p) == 3, made(at(1), at(2), at(3)))
+        .when(F.size(p) == 2, made(at(1), at(2), F.lit("00")))
+        .when((F.size(p) == 1) & F.length(one).isin(10, 11), whole)
+    )
+
+
+def strict_product_code(s: Column) -> Column:
+    """#####-#### from the first two runs, or from nine or more digits in one."""
+    p = _strict(s)
+    at = lambda i: F.try_element_at(p, F.lit(i))
+    one = at(1)
+    return F.when(F.size(p) >= 2, F.concat_ws("-", pad(one, 5), pad(at(2), 4))).when(
+        (F.size(p) == 1) & (F.length(one) >= 9), F.concat_ws("-", F.substring(one, 1, 5), F.substring(one, 6, 4))
+    )
 
 
 def labeler(code: Column) -> Column:

@@ -45,3 +45,26 @@ def in_months(d: Column, first: tuple[int, int], last: tuple[int, int]) -> Colum
     """1 if d lies in the closed range of (year, month)."""
     lo, hi = (y * 12 + m - 1 for y, m in (first, last))
     return month_index(d).between(lo, hi).cast("int")
+
+
+def repaired(noted: Column, resolved: Column, year: Column) -> tuple[Column, Column]:
+    """Dates before 1990 are artefacts: a start becomes 1 January of the given year, an end becomes null."""
+    edge = F.lit("1990-01-01").cast("date")
+    start = F.when(noted < edge, F.make_date(year.cast("int"), F.lit(1), F.lit(1))).otherwise(noted)
+    return start, F.when(resolved >= edge, resolved)
+
+
+def month_or(month: Column, default: int = 6) -> Column:
+    """The month's number; the default where it is missing or no number."""
+    return F.coalesce(month.try_cast("double").cast("int"), F.lit(default))
+
+
+def calendar(d: Column) -> dict[str, Column]:
+    """Year, month, quarter, and whether the month lies in 2020-03 to 2021-06, and in June to November."""
+    return {
+        "year": F.year(d),
+        "month": F.month(d),
+        "quarter": F.quarter(d),
+        "covid_period": in_months(d, (2020, 3), (2021, 6)),
+        "hurricane_season": F.month(d).between(6, 11).cast("int"),
+    }

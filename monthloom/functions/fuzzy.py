@@ -7,8 +7,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def tokens(s: Column) -> Column:
+    return F.filter(F.split(F.lower(s), r"[^a-z0-9]+"), lambda x: x != "")
+
+
 def sorted_tokens(s: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(F.split(F.lower(s), r"[^a-z0-9]+"), lambda x: x != "")), " ")
+    return F.array_join(F.array_sort(tokens(s)), " ")
 
 
 def lcs(a: str, b: str) -> int:
@@ -24,16 +28,40 @@ def lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            None if x is None or y is None else 100.0 if not x and not y else 200.0 * lcs(x, y) / (len(x) + len(y))
-            for x, y in zip(a, b)
-        ],
-        dtype="float64",
-    )
+def ratio(a: str, b: str) -> float:
+    return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def set_ratio(a: str, b: str) -> float:
+    """Best ratio of the common tokens, these and the rest of a, and these and the rest of b; a subset gives 100."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both = " ".join(sorted(x & y))
+    one, two = (" ".join([both, *rest] if both else rest) for rest in (sorted(x - y), sorted(y - x)))
+    if both and both in (one, two):
+        return 100.0
+    return max(ratio(one, two), ratio(both, one), ratio(both, two)) if both else ratio(one, two)
+
+
+def _each(f):
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return run
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
     """200 x LCS / (length of a + length of b); 100 for two empty strings, null if one is null."""
-    return F.pandas_udf(_ratios, "double")(a, b)
+    return F.pandas_udf(_each(ratio), "double")(a, b)
+
+
+def token_set_ratio(a: Column, b: Column) -> Column:
+    """set_ratio of strings of sorted tokens."""
+    return F.pandas_udf(_each(set_ratio), "double")(a, b)
+
+
+def pairs_of_letters(s: Column) -> Column:
+    """Neighbouring letters of a string, each with how many times it has stood before, so that all differ."""
+    one = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: s.substr(i, F.lit(2)))
+    return F.transform(one, lambda x, i: F.concat(x, F.size(F.filter(F.slice(one, F.lit(1), i), lambda y: y == x)).cast("string")))

@@ -68,3 +68,160 @@ def episode_months(df: DataFrame, by: list[str], study_start: int, study_end: in
             "remaining": F.when(known, F.greatest(F.col("stop") - F.col("ym"), F.lit(0))),
         }
     )
+
+
+# Names and parts of names by which a feature belongs to a domain.
+SHORTAGE_HISTORY = (
+    "same_ingredient_in_shortage", "last_group_episode_duration", "mean_group_episode_duration", "max_group_episode_duration",
+    "recent_resolution_rebound", "repeat_shortage_flag", "episode_duration_memory", "recurrence_pressure",
+    "recurrence_x_peer_pressure", "rebound_risk", "ever_shortage_before", "shortage_starts_past_24m", "shortage_ends_past_24m",
+    "labeler_shortage_burden",
+)
+HISTORY_TOO = (
+    "time_since_last_shortage", "months_since_group_onset", "months_since_group_resolution", "peer_vulnerability_interaction",
+    "quality_peer_interaction",
+)
+HISTORY_PARTS = (
+    "peer_shortage", "peer_onset", "labeler_shortage", "ingredient_pressure", "contagion_stress", "rebound", "recurrence",
+    "repeat_shortage", "group_episode",
+)
+#: Domain, whole names, beginnings, parts; the first that fits counts.
+DOMAINS = (
+    ("outcome_target", (), ("future_", "onset_t"), ()),
+    (
+        "drug_characteristics",
+        (
+            "dosage_form", "route", "therapeutic_class", "marketing_category", "dea_schedule", "covid_period", "hurricane_season",
+            "year", "month", "quarter",
+        ),
+        ("is_", "active_ingredient"),
+        (),
+    ),
+    ("pricing", (), (), ("nadac", "asp", "price_shock")),
+    ("utilization", (), (), ("medicaid", "partd", "partb", "symphony", "utilization")),
+    ("recalls", (), (), ("recall",)),
+    ("regulatory_quality", (), (), ("inspection", "fda483", "oai", "warning_letter", "ae_", "adverse_event", "quality")),
+    (
+        "supply_chain_geography",
+        ("few_api_suppliers", "has_geo_data", "primary_country"),
+        ("facility_", "n_facilities", "n_countries", "is_domestic"),
+        ("api_", "supplier", "supply_chain", "india_china"),
+    ),
+    (
+        "market_structure",
+        (
+            "capacity_stress", "dominant_labeler_share_ndcs", "has_market_structure_data", "has_merger_data",
+            "labeler_product_count", "market_vulnerability", "n_ndcs", "n_routes_group", "n_therapeutic_classes_group",
+            "ob_match_flag", "peer_vulnerability_interaction",
+        ),
+        (),
+        (
+            "manufacturer", "application", "sole_source", "generic", "merger", "ownership", "commercial_risk", "low_competition",
+            "fragmentation", "labeler",
+        ),
+    ),
+    ("repackagers", (), (), ("repackager",)),
+    ("patents_exclusivity", (), (), ("patent", "exclusivity")),
+    ("geographic_disaster", ("disruption_signal",), (), ("disaster",)),
+    ("time_history", (), ("months_", "time_since", "years_on_market"), ()),
+)
+#: What each scenario leaves out: (licensed prescription features, history of the state).
+SCENARIOS = {
+    "all": (False, False),
+    "without_licensed_prescription": (True, False),
+    "without_shortage_history": (False, True),
+    "without_licensed_prescription_or_shortage_history": (True, True),
+}
+
+
+def feature_family(name: str) -> str:
+    """Domain of a feature by its name."""
+    low = name.lower()
+    if name == "time_index":
+        return "time_history"
+    if name.endswith("_missing"):
+        return "missingness_indicator"
+    if low in SHORTAGE_HISTORY or low.startswith("shortage_") or any(x in low for x in HISTORY_PARTS):
+        return "shortage_history"
+    fits = lambda whole, begin, part: name in whole or name.startswith(begin) or any(x in name for x in part)
+    return next((d for d, *rule in DOMAINS if fits(*rule)), "other")
+
+
+def is_history(name: str) -> bool:
+    """Whether a feature tells of the state's own history."""
+    low = name.lower()
+    return feature_family(name) == "shortage_history" or "in_shortage" in low or low in HISTORY_TOO
+
+
+def scenario_features(names: list[str], scenario: str) -> list[str]:
+    """Names that a sensitivity scenario keeps, in order; an unknown scenario is an error, as is one that leaves nothing."""
+    if scenario not in SCENARIOS:
+        raise ValueError(f"unknown feature scenario {scenario!r}")
+    licensed, past = SCENARIOS[scenario]
+    out = [f for f in names if not (licensed and "symphony" in f.lower()) and not (past and is_history(f))]
+    if names and not out:
+        raise ValueError(f"scenario {scenario!r} leaves no features")
+    return out
+
+
+def _zero(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+
+
+def _up_to_one(c: str) -> Column:
+    return F.least(F.greatest(_zero(c), F.lit(0.0)), F.lit(1.0))
+
+
+def composites() -> dict[str, Column]:
+    """The 17 engineered columns of an entity row; nulls count as 0, months to an expiry as 999."""
+    n, api, sole, inj = (_zero(c) for c in ("n_manufacturers", "n_api_suppliers", "sole_source", "is_injectable"))
+    few, few_api = ((x <= 2).cast("double") for x in (n, api))
+    signals = [_up_to_one(c) for c in ("warning_letter_12m", "oai_inspection_12m", "vai_inspection_12m", "recall_count_12m", "class1_recall_12m")]
+    count = sum(signals[1:], signals[0])
+    above = lambda c: F.greatest(c, F.lit(0.0))
+    soon = lambda c: F.coalesce(F.col(c), F.lit(999)).between(0, 12).cast("double")
+    return {
+        "few_manufacturers": few,
+        "few_api_suppliers": few_api,
+        "market_vulnerability": sole + few + inj,
+        "quality_signal_any": (count > 0).cast("double"),
+        "quality_signal_count": count,
+        "disruption_signal": F.log1p(_zero("disaster_count_12m")) + F.log1p(_zero("api_disaster_exposure_12m")) + _zero("api_major_disaster_12m"),
+        "price_shock": F.abs(_zero("nadac_pct_change_3m")) + 0.5 * F.abs(_zero("nadac_pct_change_12m")),
+        "supply_chain_risk": _zero("api_country_hhi") + _zero("api_india_china_share") + _zero("api_major_disaster_12m"),
+        "ingredient_pressure": _zero("same_ingredient_in_shortage") * (1.0 + few + few_api),
+        "manufacturer_exit_pressure": _up_to_one("recent_manufacturer_exit") + above(-_zero("net_manufacturer_change_12m")),
+        "patent_cliff_12m": soon("months_to_nearest_expiry"),
+        "exclusivity_loss_12m": soon("months_to_exclusivity_end"),
+        "injectable_sole_source": inj * sole,
+        "quality_stack": 1.3 * count + 0.8 * _zero("has_inspection_data") + 0.6 * above(_zero("ae_trend_12m")),
+        "capacity_stress": (3.0 - F.least(n, F.lit(3.0))) + (3.0 - F.least(api, F.lit(3.0))) + F.log1p(_zero("n_repackagers")),
+        "contagion_stress": 1.5 * _zero("same_ingredient_in_shortage") + _zero("labeler_shortage_burden"),
+        "commercial_risk": F.abs(_zero("nadac_pct_change_12m")) + above(-_zero("medicaid_rx_trend_4q")) + above(_zero("medicaid_rx_cv_4q")),
+    }
+
+
+def row_flags() -> dict[str, Column]:
+    """The 8 flags of an entity row that its group then averages."""
+    hit = lambda *cs: F.greatest(*[(_zero(c) > 0).cast("int") for c in cs])
+    return {
+        "quality_signal": hit("warning_letter_12m", "recall_count_12m", "class1_recall_12m", "oai_inspection_12m", "vai_inspection_12m"),
+        "low_api": (_zero("n_api_suppliers") <= 2).cast("int"),
+        "api_concentrated": (_zero("api_country_hhi") >= 0.6).cast("int"),
+        "india_china_exposed": (_zero("api_india_china_share") >= 0.8).cast("int"),
+        "low_competition": F.greatest(hit("sole_source", "sole_source"), (_zero("n_manufacturers") <= 2).cast("int")),
+        "price_shock": (F.abs(_zero("nadac_pct_change_12m")) >= 0.25).cast("int"),
+        "ae_spike": (_zero("ae_trend_12m") > 0.25).cast("int"),
+        "disaster_risk": hit("major_disaster_12m", "api_major_disaster_12m"),
+    }
+
+
+def interactions() -> dict[str, Column]:
+    """The 5 products and sums of a group row's peer, market and history columns."""
+    return {
+        "peer_vulnerability_interaction": _zero("therapeutic_class_peer_onset_rate_6m") * (1.0 + _zero("market_vulnerability") + _zero("share_low_competition_ndcs")),
+        "quality_peer_interaction": _zero("route_peer_shortage_burden_3m") * (1.0 + _zero("quality_signal_count") + _zero("share_quality_signal_ndcs")),
+        "recurrence_x_peer_pressure": _zero("recurrence_pressure") * (1.0 + _zero("dosage_form_peer_onset_rate_6m")),
+        "supplier_concentration_risk": _zero("dominant_labeler_share_ndcs") + _zero("dominant_application_share_ndcs") + _zero("share_api_concentrated_ndcs"),
+        "rebound_risk": _zero("recent_resolution_rebound") * (1.0 + _zero("episode_duration_memory") / 12.0),
+    }

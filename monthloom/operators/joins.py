@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.fuzzy import indel_ratio, sorted_tokens
+from ..functions import names as N
+from ..functions.fuzzy import indel_ratio, pairs_of_letters, sorted_tokens, token_set_ratio, tokens
 from .spine import expand_interval, spread_forward
 from .windows import first_by
 
@@ -51,14 +52,44 @@ def two_tier(left: DataFrame, right: DataFrame, exact: str, loose: str, value: s
     return out.withColumns({value: F.coalesce("__a", "__b"), "tier": tiers}).drop("__a", "__b")
 
 
-def fuzzy_best(left: DataFrame, right: DataFrame, name: str, choice: str, cutoff: float) -> DataFrame:
-    """Best choice by the ratio of sorted tokens, at least cutoff; candidates share a token, ties take the first name."""
-    tokens = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != "")
-    a = left.select(name).distinct().select(name, F.explode(F.array_distinct(tokens(name))).alias("__t"))
-    b = right.select(choice).distinct().select(choice, F.explode(F.array_distinct(tokens(choice))).alias("__t"))
-    pairs = a.join(b, "__t").select(name, choice).distinct()
-    scored = pairs.withColumn("score", indel_ratio(sorted_tokens(F.col(name)), sorted_tokens(F.col(choice))))
-    best = first_by(scored.where(F.col("score") >= cutoff), [name], F.col("score").desc(), F.col(choice))
+#: Names up to this long are compared with each other outright; longer ones must share letters.
+SHORT = 8
+
+
+def _rarest(names: DataFrame, counts: DataFrame, key: str, text: str, floor: float) -> DataFrame:
+    """(key, gram): of a name's pairs of letters, the rarest ones, so many that a similar name holds one of its own rarest among them."""
+    grams = names.select(key, text, F.explode(pairs_of_letters(F.col(text))).alias("gram")).join(counts, "gram")
+    few = grams.groupBy(key, text).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("g"))
+    n = F.size("g")
+    shared = F.ceil(F.lit(floor) * F.length(text) - 1)  # pairs that a similar name has in common with it, at least
+    return few.select(key, F.explode(F.slice("g", F.lit(1), F.greatest(n - F.greatest(shared, F.lit(1)) + 1, F.lit(1)).cast("int"))).alias("g")).select(key, "g.gram")
+
+
+def fuzzy_best(left: DataFrame, right: DataFrame, name: str, choice: str, cutoff: float, scorer: str = "sort") -> DataFrame:
+    """Best choice by the ratio of sorted tokens (or of token sets), at least cutoff, above 80; ties take the first name.
+
+    No pair that reaches the cutoff is missed. Of strings whose lengths sum to s, those with ratio c have
+    c * s / 2 letters in common order; leaving the others out breaks at most 2 pairs of neighbours each in one and
+    inserting them 1, so (3 c / 2 - 1) * s - 1 pairs stay common, and s is at least (1 + c / (2 - c)) times
+    the length of either. Of their pairs of letters in any one order, here the rarest first, the first few of both
+    therefore share one. Short names, which need not share any, meet each other. Token sets also meet by a token.
+    """
+    c = cutoff / 100
+    floor = (1.5 * c - 1) * (1 + c / (2 - c))
+    a = left.select(name).distinct().withColumn("__a", sorted_tokens(F.col(name)))
+    b = right.select(choice).distinct().withColumn("__b", sorted_tokens(F.col(choice)))
+    texts = a.select(F.col("__a").alias("x")).unionByName(b.select(F.col("__b").alias("x")))
+    counts = texts.select(F.explode(pairs_of_letters(F.col("x"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    met = _rarest(a, counts, name, "__a", floor).join(_rarest(b, counts, choice, "__b", floor), "gram").select(name, choice)
+    brief = lambda d, x: d.where(F.length(x) <= SHORT)
+    near = brief(a, "__a").withColumn("__k", F.explode(F.sequence(F.length("__a") - SHORT, F.length("__a") + SHORT)))
+    met = met.unionByName(near.join(brief(b, "__b").withColumn("__k", F.length("__b")), "__k").select(name, choice))
+    if scorer == "set":
+        word = lambda d, k: d.select(k, F.explode(F.array_distinct(tokens(F.col(k)))).alias("__t"))
+        met = met.unionByName(word(a, name).join(word(b, choice), "__t").select(name, choice))
+    score = token_set_ratio if scorer == "set" else indel_ratio
+    scored = met.distinct().join(a, name).join(b, choice).withColumn("score", score(F.col("__a"), F.col("__b")))
+    best = first_by(scored.where(F.col("score") >= cutoff).drop("__a", "__b"), [name], F.col("score").desc(), F.col(choice))
     return left.join(best, name, "left")
 
 
@@ -73,6 +104,15 @@ def resolve(names: DataFrame, passes: list[DataFrame], key: str, target: str) ->
     return names.join(hits, key, "left")
 
 
+def held_by_parts(listed: DataFrame, holders: DataFrame, by: str, names: str, api: str, holder: str, sep: str = ";") -> DataFrame:
+    """(by, holder): holders of a listed name; of a list, those of all its parts, which go before those of the list as a name."""
+    clean = lambda c: N.ingredient(c)
+    direct = listed.select(by, clean(F.col(names)).alias(api)).join(holders, api).select(by, holder)
+    parts = listed.where(F.col(names).contains(sep)).select(by, F.explode(F.split(names, sep)).alias("__p"))
+    multi = parts.select(by, clean(F.col("__p")).alias(api)).join(holders, api).select(by, holder)
+    return multi.unionByName(direct.join(multi.select(by).distinct(), by, "left_anti"))
+
+
 def keep_hits(df: DataFrame, by: list[str], hit: Column) -> DataFrame:
     """Rows with a hit, or all rows of a group that has none."""
     any_hit = F.max(hit.cast("int")).over(Window.partitionBy(*by))
@@ -85,3 +125,67 @@ def without(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def only_in(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "left_semi")
+
+
+#: Words that many substances share; they open no search unless a name has no others.
+COMMON_WORDS = (
+    "sodium", "chloride", "acid", "hydrochloride", "sulfate", "potassium", "calcium", "phosphate", "acetate", "citrate", "oxide",
+    "carbonate", "hydroxide", "bromide", "nitrate", "and", "for", "with", "the", "monohydrate", "dihydrate",
+)
+
+
+def _words(s: Column, edge: str) -> Column:
+    """Distinct words of over two characters, without the edge's characters around them."""
+    bare = F.transform(F.split(s, r"\s+"), lambda w: F.regexp_replace(w, f"^[{edge}]+|[{edge}]+$", ""))
+    return F.array_distinct(F.filter(bare, lambda w: F.length(w) > 2))
+
+
+def match_names(names: DataFrame, panel: DataFrame, aliases: DataFrame | None = None, name: str = "name", target: str = "target", form: str = "form") -> DataFrame:
+    """(name, target, form, pass_no): the panel's (target, form) rows for each distinct name, by the first pass that finds any.
+
+    Passes: 1 alias (aliases: (alias, target), both lower case), 2 name without brackets, 3 whole name, 4 base name, 5 base
+    name with / as and, 6 targets that begin with the base name's words (combinations only for combinations), 7 base
+    name without its last salt, 8 with an added salt, the first that exists, 9 best share of common words, 0.67 at least,
+    or all of a single one. Targets whose form the name hints at go before the others. Names without a match have no row.
+    """
+    low = F.regexp_replace(F.lower(F.trim(F.col(name))), r"\s+", " ")
+    n = names.select(name).where(F.col(name).isNotNull()).distinct()
+    plain = N.squeeze(F.regexp_replace(low, r"\([^)]*\)", ""))
+    n = n.withColumns({"__low": low, "__plain": plain, "__base": N.base_name(N.squeeze(F.col(name)))})
+    forms = panel.select(F.lower(F.trim(F.col(target))).alias("__key"), F.col(target).alias("target"), F.col(form).alias("form")).distinct()
+    keys = forms.select("__key").distinct()
+    base = F.col("__base")
+    hit = lambda no, key, extra=None: n.select(name, key.alias("__key")).join(keys, "__key").select(name, "__key", F.lit(no).alias("pass_no"))
+    found = hit(2, F.col("__plain")).unionByName(hit(3, F.col("__low"))).unionByName(hit(4, base))
+    found = found.unionByName(hit(5, F.when(base.contains("/"), F.regexp_replace(base, r"\s*/\s*", " and "))))
+    if aliases is not None:
+        short = lambda c: F.trim(F.regexp_replace(c, r"\s+\d+\s*(mg|mcg|ml|%)\b.*$", ""))
+        tries = F.array("__low", "__plain", short(F.col("__low")), short(F.col("__plain")))
+        tried = n.select(name, F.posexplode(tries).alias("__try", "alias")).join(aliases.select("alias", F.col("target").alias("__key")), "alias")
+        first = first_by(tried, [name], F.col("__try")).select(name, "__key")
+        found = found.unionByName(first.join(keys, "__key").select(name, "__key", F.lit(1).alias("pass_no")))
+    # every run of words that begins a target
+    words = F.split("__key", " ")
+    heads = keys.select("__key", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).alias("__base"))
+    begun = n.where(F.length(base) >= 4).select(name, "__base").join(heads, "__base").where(F.col("__base").contains(" and ") | ~F.col("__key").contains(" and "))
+    found = found.unionByName(begun.select(name, "__key", F.lit(6).alias("pass_no")))
+    bare = F.trim(F.regexp_replace(base, r"\s+(" + "|".join(N.SALT_TAILS) + r")\s*$", ""))
+    found = found.unionByName(hit(7, F.when(bare != base, bare)))
+    salted = F.transform(F.array(*map(F.lit, N.ADDED_SALTS)), lambda x: F.concat(base, F.lit(" "), x))
+    tried = n.select(name, F.posexplode(salted).alias("__try", "__key")).join(keys, "__key")
+    found = found.unionByName(first_by(tried, [name], F.col("__try")).select(name, "__key", F.lit(8).alias("pass_no")))
+    held = keys.select("__key", _words(F.col("__key"), ",()").alias("__theirs"))
+    own = n.select(name, _words(F.when(base != "", base).otherwise(F.col("__low")), ",/()-").alias("__own")).where(F.size("__own") > 0)
+    rare = F.array_except("__own", F.array(*map(F.lit, COMMON_WORDS)))
+    pairs = own.select(name, "__own", F.explode(F.when(F.size(rare) > 0, rare).otherwise(F.col("__own"))).alias("__t"))
+    pairs = pairs.join(held.withColumn("__t", F.explode("__theirs")), "__t").select(name, "__key", "__own", "__theirs").distinct()
+    share = F.size(F.array_intersect("__own", "__theirs")) / F.greatest(F.size("__own"), F.size("__theirs"))
+    top = F.max("__share").over(Window.partitionBy(name))
+    pairs = pairs.withColumn("__share", share).withColumn("__top", top)
+    enough = F.col("__top") >= F.when(F.size("__own") >= 2, 0.67).otherwise(1.0)
+    found = found.unionByName(pairs.where((F.col("__share") == F.col("__top")) & enough).select(name, "__key", F.lit(9).alias("pass_no")))
+    first = F.min("pass_no").over(Window.partitionBy(name))
+    hits = found.withColumn("__f", first).where("pass_no = __f").select(name, "__key", "pass_no").distinct().join(forms, "__key")
+    hints = n.select(name, N.form_hints(F.col("__low")).alias("__hints"))
+    hits = hits.join(hints, name)
+    return keep_hits(hits, [name], F.exists("__hints", lambda h: F.upper(F.col("form")).contains(h))).select(name, "target", "form", "pass_no").distinct()

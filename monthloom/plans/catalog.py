@@ -1,6 +1,6 @@
 """All registered queries of the panel."""
 
-from . import features, ingest, panel, scalars, survival, tables  # noqa: F401
+from . import features, ingest, matching, panel, scalars, survival, tables  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -43,15 +43,6 @@ def _(t):
     return s.select("g", "ym", F.lag("u", 6).over(w).alias("lag6"), F.round(F.col("u") / F.greatest(mean, F.lit(1.0)), 9).alias("ratio"))
 
 
-@query("feat_interactions", """with s as (select *, case when state = 1 and coalesce(lag(state) over (partition by g order by ym), 0) = 0 then 1 else 0 end as st from gs),
-m as (select g, ym, coalesce(sum(state) over b, 0) as m24, coalesce(sum(st) over b, 0) as s24, suppliers from s window b as (partition by g order by ym rows between 24 preceding and 1 preceding))
-select g, ym, ((s24 >= 2)::int * (1 + m24 / 24) * (1 + (suppliers <= 2)::int))::double as recurrence_vulnerability from m""")
-def _(t):
-    m = X.state_memory(t.group_state(), "state", ["g"], ["ym"])
-    v = F.col("recurrence") * (1 + (F.col("suppliers") <= 2).cast("int"))
-    return m.select("g", "ym", v.alias("recurrence_vulnerability"))
-
-
 @query("alg02_episodes", """with e as (select l_partkey as part, o_orderkey as k, (year(o_orderdate) * 12 + month(o_orderdate) - 1)::bigint as s, max(ym) as e, o_orderstatus as st from li join orders on o_orderkey = l_orderkey group by all),
 f as (select part, k, s, case st when 'O' then 24000 when 'P' then s else greatest(s, e) end as stop, (st <> 'F')::bigint as censored, (st = 'P')::bigint as imputed from e),
 m as (select *, unnest(range(greatest(s, 23952), least(stop, 24000) + 1))::bigint as ym from f where s <= 24000 and stop >= 23952)
@@ -67,12 +58,64 @@ def _(t):
     return out.select("part", "ym", "k", "started", "ended", "duration", "remaining", "censored", "imputed")
 
 
-@query("alg04_firm_matching", """select s_suppkey as k, s_name as name from supplier""")
+#: Stand-ins for the columns that composites, flags and interactions read: expressions over a part's number k and size z.
+PROXIES = {
+    "n_manufacturers": "k % 5", "n_api_suppliers": "k % 4", "sole_source": "k % 2", "is_injectable": "k % 3 % 2", "warning_letter_12m": "k % 7 % 3",
+    "oai_inspection_12m": "z % 3", "vai_inspection_12m": "z % 2", "recall_count_12m": "k % 11 - 5", "class1_recall_12m": "z % 13 - 9", "months_to_nearest_expiry": "k % 40 - 8",
+    "months_to_exclusivity_end": "z - 20", "disaster_count_12m": "k % 6", "api_disaster_exposure_12m": "z % 5", "api_major_disaster_12m": "k % 17 % 2",
+    "nadac_pct_change_3m": "(k % 21 - 10) / 16.0", "nadac_pct_change_12m": "(z % 17 - 8) / 8.0", "api_country_hhi": "(k % 9) / 8.0", "api_india_china_share": "(z % 9) / 8.0",
+    "same_ingredient_in_shortage": "z % 4 % 2", "recent_manufacturer_exit": "k % 3", "net_manufacturer_change_12m": "k % 9 - 4", "has_inspection_data": "k % 2",
+    "ae_trend_12m": "(k % 15 - 7) / 4.0", "n_repackagers": "z % 6", "labeler_shortage_burden": "k % 4", "medicaid_rx_trend_4q": "(z % 11 - 5) / 4.0", "medicaid_rx_cv_4q": "(k % 8) / 8.0",
+    "major_disaster_12m": "z % 7 % 2", "therapeutic_class_peer_onset_rate_6m": "(k % 16) / 16.0", "share_low_competition_ndcs": "(z % 8) / 8.0", "route_peer_shortage_burden_3m": "(k % 32) / 32.0",
+    "share_quality_signal_ndcs": "(z % 4) / 4.0", "recurrence_pressure": "(k % 3) / 2.0", "dosage_form_peer_onset_rate_6m": "(z % 16) / 8.0", "dominant_labeler_share_ndcs": "(k % 8) / 8.0",
+    "dominant_application_share_ndcs": "(z % 8) / 8.0", "share_api_concentrated_ndcs": "(k % 4) / 4.0", "recent_resolution_rebound": "k % 7", "episode_duration_memory": "z % 25",
+}
+
+
+def _proxied(t):
+    """Each column is missing on every so many parts, by its place in the list."""
+    p = t("part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("z"))
+    return p.select("k", *[F.expr(f"case when k % {23 + i} <> 0 then cast({e} as double) end").alias(c) for i, (c, e) in enumerate(PROXIES.items())])
+
+
+_PROXY_SQL = "x as (select k, " + ", ".join(f"case when k % {23 + i} <> 0 then ({e})::double end as {c}" for i, (c, e) in enumerate(PROXIES.items())) + " from (select p_partkey as k, p_size::bigint as z from part))"
+_Z = "z as (select k, months_to_nearest_expiry, months_to_exclusivity_end, " + ", ".join(f"coalesce({c}, 0) as {c}" for c in PROXIES if not c.startswith("months_to")) + " from x)"
+_ONE = lambda c: f"least(greatest({c}, 0), 1)"
+_COUNT = " + ".join(map(_ONE, ("warning_letter_12m", "oai_inspection_12m", "vai_inspection_12m", "recall_count_12m", "class1_recall_12m")))
+_FEW, _API = "(n_manufacturers <= 2)::int", "(n_api_suppliers <= 2)::int"
+
+
+def _rounded(columns):
+    return [F.round(c.cast("double"), 9).alias(n) for n, c in columns.items()]
+
+
+@query("fn_composites", f"""with {_PROXY_SQL}, {_Z} select k, {", ".join(f"round(({e})::double, 9) as {c}" for c, e in {
+    "few_manufacturers": _FEW, "few_api_suppliers": _API, "market_vulnerability": f"sole_source + {_FEW} + is_injectable", "quality_signal_any": f"({_COUNT} > 0)::int", "quality_signal_count": _COUNT,
+    "disruption_signal": "ln(1 + disaster_count_12m) + ln(1 + api_disaster_exposure_12m) + api_major_disaster_12m", "price_shock": "abs(nadac_pct_change_3m) + abs(nadac_pct_change_12m) / 2",
+    "supply_chain_risk": "api_country_hhi + api_india_china_share + api_major_disaster_12m", "ingredient_pressure": f"same_ingredient_in_shortage * (1 + {_FEW} + {_API})",
+    "manufacturer_exit_pressure": f"{_ONE('recent_manufacturer_exit')} + greatest(-net_manufacturer_change_12m, 0)", "patent_cliff_12m": "(coalesce(months_to_nearest_expiry, 999) between 0 and 12)::int",
+    "exclusivity_loss_12m": "(coalesce(months_to_exclusivity_end, 999) between 0 and 12)::int", "injectable_sole_source": "is_injectable * sole_source",
+    "quality_stack": f"1.3::double * ({_COUNT}) + 0.8::double * has_inspection_data + 0.6::double * greatest(ae_trend_12m, 0)",
+    "capacity_stress": "6 - least(n_manufacturers, 3) - least(n_api_suppliers, 3) + ln(1 + n_repackagers)", "contagion_stress": "1.5::double * same_ingredient_in_shortage + labeler_shortage_burden",
+    "commercial_risk": "abs(nadac_pct_change_12m) + greatest(-medicaid_rx_trend_4q, 0) + greatest(medicaid_rx_cv_4q, 0)",
+}.items())} from z""")
+def _(t):
+    return _proxied(t).select("k", *_rounded(X.composites()))
+
+
+@query("fn_row_flags", f"""with {_PROXY_SQL}, {_Z} select k, {", ".join(f"({e})::bigint as {c}" for c, e in {
+    "quality_signal": "warning_letter_12m > 0 or recall_count_12m > 0 or class1_recall_12m > 0 or oai_inspection_12m > 0 or vai_inspection_12m > 0", "low_api": "n_api_suppliers <= 2",
+    "api_concentrated": "api_country_hhi >= 0.6", "india_china_exposed": "api_india_china_share >= 0.8", "low_competition": "sole_source > 0 or n_manufacturers <= 2",
+    "price_shock": "abs(nadac_pct_change_12m) >= 0.25", "ae_spike": "ae_trend_12m > 0.25", "disaster_risk": "major_disaster_12m > 0 or api_major_disaster_12m > 0",
+}.items())} from z""")
 def _(t):
-    from ..functions.names import company
-    from ..operators.joins import fuzzy_best
+    return _proxied(t).select("k", *[c.alias(n) for n, c in X.row_flags().items()])
 
-    firms = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("choice"), company(F.col("s_name")).alias("norm"))
-    dirty = firms.select("k", company(F.concat(F.col("choice"), F.lit(", Inc."))).alias("name"))
-    best = fuzzy_best(dirty, firms.select(F.col("norm").alias("choice")), "name", "choice", 85.0)
-    return best.join(firms.select("norm", F.col("choice").alias("firm")), F.col("choice") == F.col("norm")).select("k", F.col("firm").alias("name"))
+
+@query("feat_interactions", f"""with {_PROXY_SQL}, {_Z} select k, round((therapeutic_class_peer_onset_rate_6m * (1 + sole_source + {_FEW} + is_injectable + share_low_competition_ndcs))::double, 9) as peer_vulnerability_interaction,
+round((route_peer_shortage_burden_3m * (1 + {_COUNT} + share_quality_signal_ndcs))::double, 9) as quality_peer_interaction, round((recurrence_pressure * (1 + dosage_form_peer_onset_rate_6m))::double, 9) as recurrence_x_peer_pressure,
+round((dominant_labeler_share_ndcs + dominant_application_share_ndcs + share_api_concentrated_ndcs)::double, 9) as supplier_concentration_risk, round((recent_resolution_rebound * (1 + episode_duration_memory / 12))::double, 9) as rebound_risk from z""")
+def _(t):
+    made = X.composites()
+    df = _proxied(t).withColumns({c: made[c] for c in ("market_vulnerability", "quality_signal_count")})
+    return df.select("k", *_rounded(X.interactions()))

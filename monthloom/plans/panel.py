@@ -436,41 +436,11 @@ def _(t):
     return t("supplier").select(F.col("s_suppkey").alias("supplier"), F.explode(F.sequence(F.lit(24000), F.lit(24011))).alias("ym"))
 
 
-@query("join16_fuzzy_top1")
-def _(t):
-    names = t("part").select(F.col("p_name").alias("choice")).distinct()
-    words = F.split("choice", " ")
-    dirty = names.select(F.concat_ws(" ", F.reverse(words)).alias("name"))
-    return J.fuzzy_best(dirty, names, "name", "choice", 85.0).select("name", "choice", F.round("score", 6).alias("score"))
-
-
-@query("join17_entity_resolution", """with n as (select distinct p_name as target from part), d as (select target, case when length(target) % 3 = 0 then target when length(target) % 3 = 1 then upper(target) else target || ' hcl' end as name from n),
-p as (select name, target, 1 as pass_no from d join n using (target) where name = target union all select d.name, n.target, 2 from d join n on lower(d.name) = lower(n.target) union all select d.name, n.target, 3 from d join n on regexp_replace(lower(d.name), ' hcl$', '') = n.target)
-select name, target, pass_no::bigint as pass_no from (select *, min(pass_no) over (partition by name) as f from p) where pass_no = f""")
-def _(t):
-    n = t("part").select(F.col("p_name").alias("target")).distinct()
-    k = F.length("target") % 3
-    d = n.select(F.when(k == 0, F.col("target")).when(k == 1, F.upper("target")).otherwise(F.concat("target", F.lit(" hcl"))).alias("name"))
-    lookup = n.select("target", F.col("target").alias("__k"))
-    on = lambda key: d.withColumn("__k", key).join(lookup, "__k").select("name", "target")
-    loose = d.withColumn("__k", F.lower("name")).join(n.select("target", F.lower("target").alias("__k")), "__k").select("name", "target")
-    passes = [on(F.col("name")), loose, on(F.regexp_replace(F.lower("name"), " hcl$", ""))]
-    return J.resolve(d, passes, "name", "target").select("name", "target", "pass_no")
-
-
 @query("join18_hint_filter", """select p_partkey as part, p_type as type from (select *, max((p_size > 25)::int) over (partition by p_name) as any_hit from part) where any_hit = 0 or p_size > 25""")
 def _(t):
     return J.keep_hits(t("part"), ["p_name"], F.col("p_size") > 25).select(F.col("p_partkey").alias("part"), F.col("p_type").alias("type"))
 
 
-@query("join19_multi_ingredient", """with c as (select p_partkey as part, unnest(string_split(p_name, ' ')) as w from part), k as (select w, count(distinct part) as n from c group by w)
-select part, array_to_string(list(distinct w order by w), ';') as words, sum(n)::bigint as n from c join k using (w) group by part""")
-def _(t):
-    c = t("part").select(F.col("p_partkey").alias("part"), F.explode(F.split("p_name", " ")).alias("w"))
-    k = c.groupBy("w").agg(F.countDistinct("part").alias("n"))
-    return c.join(k, "w").groupBy("part").agg(F.array_join(F.sort_array(F.collect_set("w")), ";").alias("words"), F.sum("n").alias("n"))
-
-
 @query("join20_align", """select a.g, a.ym, a.score as s1, 1 - a.score as s2 from sc a join (select g, ym from sc where score > 0.1) b using (g, ym)""")
 def _(t):
     s = t.scored()

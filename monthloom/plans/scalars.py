@@ -32,13 +32,6 @@ def _(t):
     )
 
 
-@query("fn_code_cases", """select * from (values ('0378-8700', '00378-8700', '00378-8700-00', '00378', null), ('378-8700-06', '00378-8700', '00378-8700-06', '00378', null), ('Tablet (NDC 0378-8700-06)', '00378-8700', '00378-8700-06', 'Tablet (NDC 0378', '00378-8700-06'), ('1234', null, null, '01234', null), ('none', null, null, '0none', null)) x(s, product, package, labeler, in_text)""")
-def _(t):
-    df = _values(t, [("0378-8700",), ("378-8700-06",), ("Tablet (NDC 0378-8700-06)",), ("1234",), ("none",)], "s string")
-    s = F.col("s")
-    return df.select("s", C.product_code(s).alias("product"), C.package_code(s).alias("package"), C.labeler(s).alias("labeler"), C.code_in_text(s).alias("in_text"))
-
-
 @query("fn_application", "select * from (values ('ANDA076432', '076432', 'ANDA'), ('nda 21', '000021', 'NDA'), ('BLA1234567', '234567', 'BLA'), ('part', null, null)) x(s, number, kind)")
 def _(t):
     df = _values(t, [("ANDA076432",), ("nda 21",), ("BLA1234567",), ("part",)], "s string")
@@ -50,21 +43,6 @@ def _(t):
     return t("part").select(F.col("p_partkey").alias("k"), C.pad(F.col("p_name"), 12).alias("padded"))
 
 
-@query("fn_company", r"""select s_suppkey as k, trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) as name from supplier""")
-def _(t):
-    return t("supplier").select(F.col("s_suppkey").alias("k"), N.company(F.concat(F.col("s_name"), F.lit(", Inc. d/b/a Other"))).alias("name"))
-
-
-@query("fn_drug_name", "select * from (values ('Cetirizine Hydrochloride and  Sodium', 'CETIRIZINE HCL/NA'), ('abc', 'ABC')) x(s, name)")
-def _(t):
-    return _values(t, [("Cetirizine Hydrochloride and  Sodium",), ("abc",)], "s string").select("s", N.drug(F.col("s")).alias("name"))
-
-
-@query("fn_base_name", "select * from (values ('Dextrose (large vial) 50 mg Injection and', 'dextrose'), ('Oral Solution', 'oral'), ('Sterile Water', 'sterile water')) x(s, name)")
-def _(t):
-    return _values(t, [("Dextrose (large vial) 50 mg Injection and",), ("Oral Solution",), ("Sterile Water",)], "s string").select("s", N.base_name(F.col("s")).alias("name"))
-
-
 @query("fn_group_key", "select p_partkey as k, lower(p_brand) || ' | ' || trim(lower(p_type), ' .,-') as key from part")
 def _(t):
     return t("part").select(F.col("p_partkey").alias("k"), N.group_key(F.col("p_brand"), F.col("p_type")).alias("key"))
@@ -75,11 +53,6 @@ def _(t):
     return _values(t, [("A [MoA], B [EPC], C [EPC]",), ("A [X], B [MoA]",), ("A, B",), ("",)], "s string").select("s", N.first_class(F.col("s"), "[EPC]", "[MoA]").alias("c"))
 
 
-@query("fn_reason", """select p_partkey as k, case when p_name ilike '%discontinu%' then 'discontinuation' when regexp_matches(lower(p_name), 'manufactur|quality|gmp') then 'manufacturing' when regexp_matches(lower(p_name), 'api|active ingredient|raw material') then 'ingredient' when p_name ilike '%demand%' then 'demand' when regexp_matches(lower(p_name), 'delay|shipping') then 'delay' when p_name ilike '%regulat%' then 'regulatory' else 'other' end as reason from part""")
-def _(t):
-    return t("part").select(F.col("p_partkey").alias("k"), N.keyword_class(F.col("p_name")).alias("reason"))
-
-
 @query("fn_item_count", "select p_partkey as k, len(string_split(p_name, ' '))::bigint as n from part")
 def _(t):
     return t("part").select(F.col("p_partkey").alias("k"), N.item_count(F.regexp_replace("p_name", " ", ";")).alias("n"))
@@ -135,23 +108,3 @@ def _(t):
         F.round(M.sigmoid(F.col("ret").cast("double")), 9).alias("sig"),
         F.round(M.per_period_hazard(F.least("ret", F.lit(1)) / 2, 6), 9).alias("hazard"),
     )
-
-
-_COMPOSITES = """select g, ym, (suppliers <= 2)::bigint as few, greatest(-(suppliers - coalesce(lag(suppliers, 12) over w, suppliers)), 0)::bigint as exit_pressure,
-round(ln(1 + ret) + ln(1 + parts), 9) as disruption, ((3 - least(suppliers, 3)) + (3 - least(parts, 3)))::bigint as capacity, (1.5 * state + 0.5 * (ret > 0)::int)::double as contagion from gs window w as (partition by g order by ym)"""
-
-
-@query("fn_composites", _COMPOSITES)
-def _(t):
-    from ..operators.windows import rows
-
-    w, s, p = rows(["g"], ["ym"]), F.col("suppliers"), F.col("parts")
-    return t.group_state().select(
-        "g",
-        "ym",
-        (s <= 2).cast("int").alias("few"),
-        F.greatest(-(s - F.coalesce(F.lag("suppliers", 12).over(w), s)), F.lit(0)).alias("exit_pressure"),
-        F.round(F.log1p("ret") + F.log1p("parts"), 9).alias("disruption"),
-        ((3 - F.least(s, F.lit(3))) + (3 - F.least(p, F.lit(3)))).alias("capacity"),
-        (1.5 * F.col("state") + 0.5 * (F.col("ret") > 0).cast("int")).alias("contagion"),
-    )
