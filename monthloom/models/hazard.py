@@ -71,11 +71,26 @@ def positive_weight(df: DataFrame, cap: float) -> DataFrame:
 
 
 def case_control(df: DataFrame, ident: list[str], per_case: int, seed: int = 42) -> DataFrame:
-    """All events and per_case controls for each, the first by hash, weighted back to all controls."""
+    """All events and per_case controls for each, the first by MD5 of their idents, weighted back to all controls.
+
+    Controls are counted by the first three digits of the hash; only those of the digits in which the wanted
+    number is reached are ordered.
+    """
+    key = F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.col(c).cast("string") for c in ident]))
+    rows_ = df.withColumns({"__key": key, "__head": F.substring(key, 1, 3)})
     n = df.agg(F.sum("event").cast("long").alias("p"), F.sum(1 - F.col("event")).cast("long").alias("q")).first()
-    want = min((n["p"] or 0) * per_case, n["q"] or 0)
-    controls = df.where("event = 0").orderBy(F.xxhash64(*ident, F.lit(seed)), *ident).limit(want)
-    return df.where("event = 1").withColumn("__w", F.lit(1.0)).unionByName(controls.withColumn("__w", F.lit((n["q"] or 0) / max(want, 1))))
+    p, q = n["p"] or 0, n["q"] or 0
+    want, seen, edge, controls = min(p * per_case, q), 0, "", rows_.where("event = 0")
+    for head, k in sorted(map(tuple, controls.groupBy("__head").count().collect())):  # at most 4096 rows
+        edge = head
+        if seen + k > want:
+            break
+        seen += k
+    last = F.row_number().over(Window.orderBy("__key", *ident))
+    few = controls.where(F.col("__head") == edge).withColumn("__r", last).where(F.col("__r") <= want - seen).drop("__r")
+    picked = controls.where(F.col("__head") < edge).unionByName(few) if want < q else controls
+    out = df.where("event = 1").withColumn("__w", F.lit(1.0))
+    return out.unionByName(picked.drop("__key", "__head").withColumn("__w", F.lit(q / max(want, 1))))
 
 
 def scored(model, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -107,19 +122,30 @@ def platt(cal: DataFrame, test: DataFrame, score: str = "score") -> DataFrame:
     return scored(model, made(test), test.columns).withColumnRenamed("pred", "calibrated")
 
 
+#: Rows among which a feature's values are exchanged.
+EXCHANGED = 10_000
+
+
 def permutation_importance(model, df: DataFrame, features: list[str], seed: int = 42) -> DataFrame:
-    """AUROC lost when a feature's values are dealt to other rows by a join on shuffled rank."""
-    base = auroc(scored(model, df.withColumn("__g", F.lit(1)), ["__g", "event"]).withColumnRenamed("pred", "score"), ["__g"])
-    base = base.first()["auroc"]
-    rank = lambda d, s, name: d.withColumn(name, F.row_number().over(Window.orderBy(F.xxhash64("__id", F.lit(s)))))
+    """AUROC lost when a feature's values are dealt to other rows by a join on shuffled rank.
+
+    Rows are first dealt at random to groups of about EXCHANGED, within which values change places, so no task
+    orders all rows.
+    """
+    one = F.lit(1).alias("__g")
+    score = lambda d: auroc(scored(model, d.select("*", one), ["__g", "event"]).withColumnRenamed("pred", "score"), ["__g"]).first()["auroc"]
+    groups = max(1, df.count() // EXCHANGED)
     rows_ = df.withColumn("__id", F.xxhash64(*df.columns))
-    lost = []
+
+    def rank(d: DataFrame, s: int) -> DataFrame:
+        d = d.withColumn("__b", F.pmod(F.xxhash64("__id", F.lit(f"group {s % 1000}")), F.lit(groups)))
+        return d.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(F.xxhash64("__id", F.lit(s)))))
+
+    base, lost = score(df), []
     for i, f in enumerate(features):
-        a = rank(rows_, seed, "__r")
-        b = rank(rows_.select("__id", F.col(f).alias("__v")), seed + 1 + i, "__r").select("__r", "__v")
-        mixed = a.join(b, "__r").withColumn(f, F.col("__v")).drop("__v", "__r").withColumn("__g", F.lit(1))
-        got = auroc(scored(model, mixed, ["__g", "event"]).withColumnRenamed("pred", "score"), ["__g"]).first()["auroc"]
-        lost.append((f, base - got))
+        b = rank(rows_.select("__id", F.col(f).alias("__v")), seed + 1000 * (i + 1)).select("__b", "__r", "__v")
+        mixed = rank(rows_, seed).join(b, ["__b", "__r"]).withColumn(f, F.col("__v")).drop("__v", "__r", "__b", "__id")
+        lost.append((f, base - score(mixed)))
     return df.sparkSession.createDataFrame(lost, "feature string, auroc_drop double")
 
 

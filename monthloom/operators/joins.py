@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import names as N
 from ..functions.fuzzy import indel_ratio, pairs_of_letters, sorted_tokens, token_set_ratio, tokens
-from .spine import expand_interval, spread_forward
+from .spine import expand_interval
 from .windows import first_by
 
 
@@ -19,11 +19,17 @@ def star_left(spine: DataFrame, *tables: tuple[DataFrame, list[str]]) -> DataFra
     return spine
 
 
-def event_window(spine: DataFrame, events: DataFrame, by: list[str], n: int, name: str, month: str = "ym") -> DataFrame:
-    """Events of the n months before each spine row: (entity, month) counts spread forward, then an equi-join."""
+def event_windows(spine: DataFrame, events: DataFrame, by: list[str], spans: dict[str, int], month: str = "ym") -> DataFrame:
+    """Events of the n months before each spine row, for each name and n of spans.
+
+    Monthly counts meet the spine once and are summed over ranges of months on one sort. Months with events
+    that the spine lacks take part in the sums and are then dropped.
+    """
     counts = events.groupBy(*by, month).agg(F.count("*").alias("__n"))
-    ahead = spread_forward(counts, month, n).groupBy(*by, month).agg(F.sum("__n").alias(name))
-    return spine.join(ahead, [*by, month], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    both = spine.withColumn("__in", F.lit(True)).join(counts, [*by, month], "full")
+    w = Window.partitionBy(*by).orderBy(month)
+    sums = {k: F.coalesce(F.sum("__n").over(w.rangeBetween(-n, -1)), F.lit(0)) for k, n in spans.items()}
+    return both.withColumns(sums).where("__in").drop("__in", "__n")
 
 
 def interval_months(spine: DataFrame, intervals: DataFrame, by: list[str], order: list[Column], month: str = "ym") -> DataFrame:

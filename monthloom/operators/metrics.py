@@ -1,6 +1,7 @@
 """Exact ranking and calibration metrics.
 
-Everything is reduced to (group, score) cells first, so windows run over distinct scores of a group.
+Everything is reduced to (group, score) cells first. Sums along the score run within ranges of scores, which
+many tasks share, and over the ranges' totals, which are few; so no task orders all scores of a large group.
 """
 
 from __future__ import annotations
@@ -14,23 +15,49 @@ def cells(df: DataFrame, by: list[str], score: str = "score", event: str = "even
     return df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(event).cast("long").alias("pos"))
 
 
+#: Ranges of scores along which sums run.
+RANGES = 64
+
+
+def before(c: DataFrame, by: list[str], value: str, descending: bool = False, score: str = "score") -> DataFrame:
+    """c with before: the sum of value over cells of the group with a lower (descending: higher) score."""
+    edges = c.agg(F.percentile_approx(score, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("__edges"))
+    at = F.size(F.filter("__edges", lambda e: e < F.col(score)))  # equal scores are in one range
+    c = c.join(F.broadcast(edges), F.lit(True)).withColumn("__range", -at if descending else at).drop("__edges")
+    order = F.desc(score) if descending else F.asc(score)
+    within = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = c.groupBy(*by, "__range").agg(F.sum(value).alias("__t"))
+    totals = totals.select(*by, "__range", F.coalesce(F.sum("__t").over(upto), F.lit(0)).alias("__t"))
+    c = c.withColumn("before", F.coalesce(F.sum(value).over(within), F.lit(0))).join(totals, [*by, "__range"])
+    return c.withColumn("before", F.col("before") + F.col("__t")).drop("__t", "__range")
+
+
 def auroc(df: DataFrame, by: list[str]) -> DataFrame:
     """Mid-rank AUROC per group, null for a single class."""
-    w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    c = cells(df, by).withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(w), F.lit(0)))
-    c = c.groupBy(*by).agg(
+    return auroc_of(cells(df, by), by)
+
+
+def auroc_of(c: DataFrame, by: list[str]) -> DataFrame:
+    """auroc of cells (by, score, n, pos); n and pos may be weighted."""
+    c = before(c.withColumn("neg", F.col("n") - F.col("pos")), by, "neg").groupBy(*by).agg(
         F.sum("pos").alias("p"),
-        F.sum(F.col("n") - F.col("pos")).alias("q"),
-        F.sum(2 * F.col("pos") * F.col("below") + F.col("pos") * (F.col("n") - F.col("pos"))).alias("u2"),
+        F.sum("neg").alias("q"),
+        F.sum(2 * F.col("pos") * F.col("before") + F.col("pos") * F.col("neg")).alias("u2"),
     )
     return c.select(*by, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u2") / (2 * F.col("p") * F.col("q"))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, by: list[str]) -> DataFrame:
     """Step-wise average precision per group, null without positives."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    c = cells(df, by).withColumns({"cp": F.sum("pos").over(w), "cn": F.sum("n").over(w)})
-    c = c.groupBy(*by).agg(F.sum(F.col("pos") * F.col("cp") / F.col("cn")).alias("s"), F.sum("pos").alias("p"))
+    return precision_of(cells(df, by), by)
+
+
+def precision_of(c: DataFrame, by: list[str]) -> DataFrame:
+    """average_precision of cells (by, score, n, pos)."""
+    c = before(c, by, "pos", True).withColumnRenamed("before", "cp")
+    c = before(c, by, "n", True).withColumns({"cp": F.col("cp") + F.col("pos"), "cn": F.col("before") + F.col("n")})
+    c = c.where("cn > 0").groupBy(*by).agg(F.sum(F.col("pos") * F.col("cp") / F.col("cn")).alias("s"), F.sum("pos").alias("p"))
     return c.select(*by, F.when(F.col("p") > 0, F.col("s") / F.col("p")).alias("ap"))
 
 
@@ -60,42 +87,68 @@ def ece(df: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def budget(df: DataFrame, by: list[str], ks: list[int], ident: str) -> DataFrame:
-    """Precision and recall of the top k of each group, pooled over groups."""
+    """Precision and recall of the top k of each group, pooled over groups; only the top max(ks) are ordered."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), ident))
-    ranked = df.withColumn("__r", rank).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    inside = F.col("__r") <= F.col("k")
-    return ranked.groupBy("k").agg(
-        F.sum(inside.cast("long")).alias("reviewed"),
-        F.sum(F.when(inside, F.col("event")).otherwise(0)).cast("long").alias("hits"),
-        F.sum("event").cast("long").alias("events"),
-    )
+    top = df.select(*by, "score", ident, "event").withColumn("__r", rank).where(F.col("__r") <= max(ks))
+    top = top.withColumn("k", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: k >= F.col("__r"))))
+    hits = top.groupBy("k").agg(F.count("*").alias("reviewed"), F.sum("event").cast("long").alias("hits"))
+    all_ = df.agg(F.sum("event").cast("long").alias("events"))
+    return hits.join(F.broadcast(all_), F.lit(True))
 
 
 def harrell_c(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
-    """Concordance under censoring from (time, risk) cells: a pair counts if the earlier time is an event."""
-    c = df.groupBy(F.col(time).alias("t"), F.col(risk).alias("r")).agg(
-        F.count("*").alias("n"), F.sum(event).cast("long").alias("e")
-    )
-    later = c.select(F.col("t").alias("t2"), F.col("r").alias("r2"), F.col("n").alias("n2"))
-    pairs = c.where("e > 0").join(later, F.col("t2") > F.col("t"))
-    w = F.col("e") * F.col("n2")
-    won = F.when(F.col("r") > F.col("r2"), 2 * w).when(F.col("r") == F.col("r2"), w).otherwise(0)
-    return pairs.agg((F.sum(won) / (2 * F.sum(w))).alias("c_index"), F.sum(w).alias("pairs"))
-
-
-def bootstrap(df: DataFrame, cluster: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(replicate, prevalence, brier) under Poisson resampling of clusters, weights from a hash of (cluster, replicate)."""
-    u = (F.pmod(F.xxhash64(cluster, "replicate", F.lit(seed)), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
-    steps, p, total = [], 0.36787944117144233, 0.0
-    for k in range(8):  # Poisson(1) by inversion
-        total += p
-        steps.append(total)
-        p /= k + 1
-    weight = sum(((u > s).cast("int") for s in steps), F.lit(0))
-    err = F.col("score") - F.col("event")
-    per = df.groupBy(cluster).agg(F.count("*").alias("n"), F.sum("event").alias("e"), F.sum(err * err).alias("s"))
-    reps = per.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
-    return reps.groupBy("replicate").agg(
-        (F.sum(F.col("w") * F.col("e")) / F.sum(F.col("w") * F.col("n"))).alias("prevalence"),
-        (F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("brier"),
+    """Concordance under censoring from (time, risk) cells: a pair counts if the earlier time is an event.
+
+    Cells are dealt to the event times at or before their own, which are as few as there are periods; within a time,
+    later subjects with less risk are a running sum.
+    """
+    c = df.groupBy(F.col(time).alias("t"), F.col(risk).alias("score")).agg(F.count("*").alias("n"), F.sum(event).cast("long").alias("e"))
+    times = c.where("e > 0").agg(F.collect_set("t").alias("__times"))  # one row
+    at = c.join(F.broadcast(times), F.lit(True)).withColumn("at", F.explode(F.filter("__times", lambda x: x <= F.col("t"))))
+    later = F.col("t") > F.col("at")
+    at = at.groupBy("at", "score").agg(F.sum(F.when(later, F.col("n")).otherwise(0)).alias("later"), F.sum(F.when(later, 0).otherwise(F.col("e"))).alias("e"))
+    totals = at.groupBy("at").agg(F.sum("later").alias("all"))
+    x = before(at, ["at"], "later").join(F.broadcast(totals), "at")  # one row per period
+    won = F.col("e") * (2 * F.col("before") + F.col("later"))
+    return x.agg((F.sum(won) / (2 * F.sum(F.col("e") * F.col("all")))).alias("c_index"), F.sum(F.col("e") * F.col("all")).alias("pairs"))
+
+
+def poisson_weight(key: Column) -> Column:
+    """Poisson(1) number of a text, by inversion of the first 32 bits of its MD5."""
+    u = (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
+    return sum(((u > s).cast("int") for s in POISSON), F.lit(0))
+
+
+#: Chances of at most 0, 1, 2 ... under Poisson(1).
+POISSON = (
+    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
+    0.9999167588507119, 0.9999897508033253,
+)
+
+
+def bootstrap(df: DataFrame, cluster: str, models: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(replicate, model, auroc, ap, brier) under resampling of clusters with Poisson weights, which are the same for all models.
+
+    Rows are reduced to (cluster, model, score) cells before they are repeated.
+    """
+    long = df.select(cluster, "event", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])).alias("x"))
+    c = cells(long.select(cluster, "event", "x.*"), [cluster, "model"])
+    weight = poisson_weight(F.concat_ws("/", F.lit(str(seed)), F.col(cluster).cast("string"), F.col("replicate").cast("string")))
+    reps = c.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight).where("w > 0")
+    by = ["replicate", "model"]
+    r = reps.groupBy(*by, "score").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos"))
+    s = F.col("score")
+    loss = r.groupBy(*by).agg((F.sum(F.col("pos") * (1 - s) * (1 - s) + (F.col("n") - F.col("pos")) * s * s) / F.sum("n")).alias("brier"))
+    return loss.join(auroc_of(r, by), by).join(precision_of(r, by), by)
+
+
+def intervals(boot: DataFrame, reference: str, metrics: tuple[str, ...] = ("auroc", "ap", "brier")) -> DataFrame:
+    """(model, metric, lo, hi, diff_lo, diff_hi): 2.5 % and 97.5 % points of the replicates and of paired differences to the reference."""
+    cols = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("x")
+    long = boot.select("replicate", "model", cols).select("replicate", "model", "x.*")
+    base = long.where(F.col("model") == reference).select("replicate", "metric", F.col("v").alias("base"))
+    q = lambda c, p: F.percentile(c, F.lit(p))
+    d = F.col("v") - F.col("base")
+    return long.join(base, ["replicate", "metric"]).groupBy("model", "metric").agg(
+        q("v", 0.025).alias("lo"), q("v", 0.975).alias("hi"), q(d, 0.025).alias("diff_lo"), q(d, 0.975).alias("diff_hi")
     )

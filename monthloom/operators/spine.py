@@ -53,3 +53,14 @@ def fill_missing(df: DataFrame, fills: dict[str, object]) -> DataFrame:
     """<c>_missing flags, then the fill."""
     flags = {f"{c}_missing": F.col(c).isNull().cast("int") for c in fills}
     return df.withColumns(flags).withColumns({c: F.coalesce(c, F.lit(v)) for c, v in fills.items()})
+
+
+def backfill(df: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """Columns of a feature table that has no row here, from what the spine itself tells."""
+    return df.withColumns({c: F.coalesce(F.col(c), d) for c, d in derived.items()})
+
+
+def group_totals(df: DataFrame, seen: DataFrame, group: list[str], volume: str, missing: Column) -> DataFrame:
+    """Rows of groups that were seen: own volume (0 where missing), the group's largest as group_<volume>, imputed 1 where missing."""
+    top = seen.groupBy(*group).agg(F.max(volume).alias(f"group_{volume}"))
+    return df.join(top, group).withColumns({volume: F.when(missing, F.lit(0)).otherwise(F.col(volume)), "imputed": missing.cast("int")})

@@ -87,3 +87,55 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     has = lambda c: F.count(F.when(c, 1))
     A, B = F.col("a").isNotNull(), F.col("b").isNotNull()
     return j.agg(has(A).alias("in_a"), has(B).alias("in_b"), has(A & B).alias("both"), has(A & ~B).alias("only_a"), has(B & ~A).alias("only_b"))
+
+
+def panel_gate(df: DataFrame, by: list[str], month: str, state: str, least_entities: int = 10_000, least_months: int = 60) -> DataFrame:
+    """One row: repeated keys, prevalence, entities, months, and issues, the list of what is wrong."""
+    n = df.groupBy(*by, month).agg(F.count("*").alias("n"), F.sum(state).alias("s"))
+    g = n.agg(
+        F.sum(F.col("n") - 1).alias("repeated"),
+        (F.sum("s") / F.sum("n")).alias("prevalence"),
+        F.countDistinct(*by).alias("entities"),
+        F.countDistinct(month).alias("months"),
+    )
+    checks = {
+        "repeated keys": F.col("repeated") > 0,
+        "prevalence above a half": F.col("prevalence") > 0.5,
+        "no events": F.coalesce(F.col("prevalence"), F.lit(0.0)) == 0,
+        "too few entities": F.col("entities") < least_entities,
+        "too few months": F.col("months") < least_months,
+    }
+    return g.withColumn("issues", F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()])))
+
+
+def require_panel(df: DataFrame, by: list[str], month: str, state: str, **limits: int) -> None:
+    """Fails with what panel_gate finds."""
+    issues = panel_gate(df, by, month, state, **limits).first()["issues"]
+    if issues:
+        raise ValueError("panel gate: " + "; ".join(issues))
+
+
+def completeness(df: DataFrame, panel: DataFrame, by: str, month: str, code: str, form: str, metrics: list[str], first: int, last: int) -> DataFrame:
+    """One row on a source: missing months of first..last, extent, repeated keys, codes not of the form, nulls, overlap with a panel's keys."""
+    keys = df.groupBy(by, month).agg(
+        F.count("*").alias("n"),
+        F.sum((~F.coalesce(F.col(code).rlike(form), F.lit(False))).cast("int")).alias("bad"),
+        *[F.sum(F.col(m).isNull().cast("int")).alias(f"__{m}") for m in metrics],
+    )
+    out = keys.agg(
+        F.min(month).alias("first_month"),
+        F.max(month).alias("last_month"),
+        F.countDistinct(month).alias("months"),
+        F.countDistinct(F.when(F.col(month).between(first, last), F.col(month))).alias("__have"),
+        F.sum("n").alias("n"),
+        F.sum(F.col("n") - 1).alias("repeated"),
+        F.sum("bad").alias("bad_keys"),
+        *[F.sum(f"__{m}").alias(f"{m}_missing") for m in metrics],
+    )
+    ours, theirs = keys.select(by, F.lit(1).alias("a")).distinct(), panel.select(by, F.lit(1).alias("b")).distinct()
+    both = ours.join(theirs, by, "full").agg(
+        F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("in_panel"),
+        F.count(F.when(F.col("b").isNull(), 1)).alias("not_in_panel"),
+        F.count(F.when(F.col("a").isNull(), 1)).alias("panel_only"),
+    )
+    return out.join(F.broadcast(both), F.lit(True)).withColumn("missing_months", F.lit(last - first + 1) - F.col("__have")).drop("__have")

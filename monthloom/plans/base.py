@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.dates import month_index
-from ..operators import spine
 from ..operators.windows import rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,20 +100,17 @@ class Tables:
         )
 
     def dense(self) -> DataFrame:
-        """All months of each part between its first and last, with sums filled by 0 and prices left null."""
-        pm = self.part_month()
-        return (
-            spine.densify(pm, ["part"])
-            .join(pm, ["part", "ym"], "left")
-            .select(
-                "part",
-                "ym",
-                F.coalesce("qty", F.lit(0)).alias("qty"),
-                F.coalesce("ret", F.lit(0)).alias("ret"),
-                "cents",
-                (F.col("cents") / F.col("qty")).alias("price"),
-            )
-        )
+        """All months of each part between its first and last, with sums filled by 0 and prices left null.
+
+        Each month with lines also makes the empty ones up to the next, so the lines are read once and the rows
+        leave partitioned by part.
+        """
+        pm = self.part_month().withColumn("__next", F.lead("ym").over(rows(["part"], ["ym"])))
+        x = pm.select("*", F.explode(F.sequence("ym", F.coalesce(F.col("__next") - 1, F.col("ym")))).alias("__m"))
+        here = lambda c: F.when(F.col("__m") == F.col("ym"), F.col(c))
+        x = x.select("part", F.col("__m").alias("ym"), *[here(c).alias(c) for c in ("qty", "ret", "cents")])
+        price = (F.col("cents") / F.col("qty")).alias("price")
+        return x.select("part", "ym", F.coalesce("qty", F.lit(0)).alias("qty"), F.coalesce("ret", F.lit(0)).alias("ret"), "cents", price)
 
     def group_month(self) -> DataFrame:
         """Brand-and-type months before the last, partial ones."""

@@ -104,6 +104,22 @@ def _(t):
     )
 
 
+@query("spn10_backfill", """select dn.part, dn.ym, coalesce(price, p_retailprice) as price, coalesce(cents, 0)::bigint as cents, p_brand as brand from dn join part on p_partkey = dn.part""")
+def _(t):
+    p = t("part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("derived"))
+    have = t.part_month().select("part", "ym", "cents", (F.col("cents") / F.col("qty")).alias("price"))
+    spine = t.dense().select("part", "ym").join(p, "part")
+    return S.backfill(spine.join(have, ["part", "ym"], "left"), {"price": F.col("derived"), "cents": F.lit(0)}).drop("derived")
+
+
+@query("spn11_group_totals", """with x as (select dn.part, ym, qty, cents, p_brand as brand from dn join part on p_partkey = dn.part), m as (select brand, ym, max(qty) as top from x where cents is not null group by all)
+select part, ym, (case when cents is null then 0 else qty end)::bigint as qty, coalesce(m.top, qty)::bigint as group_qty, (cents is null)::bigint as imputed from x join m using (brand, ym)""")
+def _(t):
+    brand = t("part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"))
+    x = t.dense().join(brand, "part")
+    return S.group_totals(x, x.where("cents is not null"), ["brand", "ym"], "qty", F.col("cents").isNull()).select("part", "ym", "qty", "group_qty", "imputed")
+
+
 @query("spn12_missing_flags", """select part, ym, coalesce(cents, 0) as cents, coalesce(price, -1) as price,
 (cents is null)::bigint as cents_missing, (price is null)::bigint as price_missing from dn""")
 def _(t):
@@ -362,10 +378,7 @@ select dn.part, dn.ym, count(*) filter (e.ym >= dn.ym - 3)::bigint as n3, count(
 from dn left join e on e.part = dn.part and e.ym >= dn.ym - 24 and e.ym < dn.ym group by all""")
 def _(t):
     e = t.lines().where("l_returnflag = 'R'").select(F.col("l_partkey").alias("part"), "ym")
-    out = t.dense().select("part", "ym")
-    for n in (3, 12, 24):
-        out = J.event_window(out, e, ["part"], n, f"n{n}")
-    return out
+    return J.event_windows(t.dense().select("part", "ym"), e, ["part"], {f"n{n}": n for n in (3, 12, 24)})
 
 
 @query("join10_expiry_lists", """with x as (select distinct l_partkey as part, (year(o_orderdate) * 12 + month(o_orderdate) - 1 + 24)::bigint as e from li join orders on o_orderkey = l_orderkey)
@@ -414,11 +427,13 @@ def _(t):
     sup = t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nk"))
     f = t.lines().join(sup, "l_suppkey").groupBy(F.col("l_partkey").alias("part"), "nk", "l_suppkey").agg(F.min("ym").alias("ym"))
     new = f.groupBy("part", "nk", "ym").agg(F.count("*").alias("k"))
-    grid = t.dense().select("part", "ym").join(f.select("part", "nk").distinct(), "part")
-    run = F.sum(F.coalesce("k", F.lit(0))).over(W.rows(["part", "nk"], ["ym"]).rowsBetween(W.START, 0))
-    c = grid.join(new, ["part", "nk", "ym"], "left").withColumn("k", run).where("k > 0")
-    total = F.sum("k")
-    return c.groupBy("part", "ym").agg(total.alias("suppliers"), (F.sum(F.col("k") * F.col("k")).cast("double") / (total * total).cast("double")).alias("hhi"))
+    # k more suppliers in a nation of c add k to the sum and 2ck + k^2 to the sum of squares
+    c = F.coalesce(F.sum("k").over(W.rows(["part", "nk"], ["ym"]).rowsBetween(W.START, -1)), F.lit(0))
+    step = new.select("part", "ym", "k", (2 * c * F.col("k") + F.col("k") * F.col("k")).alias("q"))
+    step = step.groupBy("part", "ym").agg(F.sum("k").alias("k"), F.sum("q").alias("q"))
+    w = W.rows(*P).rowsBetween(W.START, 0)
+    run = t.dense().select("part", "ym").join(step, ["part", "ym"], "left").withColumns({"k": F.sum("k").over(w), "q": F.sum("q").over(w)})
+    return run.where("k > 0").select("part", "ym", F.col("k").alias("suppliers"), (F.col("q").cast("double") / (F.col("k") * F.col("k")).cast("double")).alias("hhi"))
 
 
 @query("join14_asof_carry", """with q as (select distinct ym // 3 as qtr from li), x as (select qtr, last_value(case when qtr % 3 <> 1 then qtr end ignore nulls) over (order by qtr rows between unbounded preceding and current row) as ref from q)

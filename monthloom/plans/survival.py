@@ -103,6 +103,19 @@ def _(t):
     return j.select("g", "ym", F.coalesce((F.col("onset") - F.col("ym")).between(0, 5), F.lit(False)).cast("int").alias("within6"))
 
 
+@query("met10_metrics", """with o as (select g, min(ym) as onset from sc where event = 1 group by g), l as (select max(ym) as last from gs), y as (select score, (onset is not null and onset - sc.ym between 0 and 5)::bigint as e from sc cross join l left join o using (g) where sc.ym + 6 <= last),
+c as (select score, sum(e) as pos, count(*) as n from y group by score), x as (select *, coalesce(sum(n - pos) over (order by score rows between unbounded preceding and 1 preceding), 0) as below, sum(pos) over d as cp, sum(n) over d as cn from c window d as (order by score desc))
+select round(sum(2 * pos * below + pos * (n - pos))::double / (2 * sum(pos) * sum(n - pos))::double, 9) as auroc, round((sum(pos * cp::double / cn) / sum(pos))::double, 9) as ap, round(((sum(pos * cp::double / cn) / sum(pos)) / (sum(pos)::double / sum(n)::double))::double, 6) as lift from x""")
+def _(t):
+    from .base import QUERIES
+
+    label = QUERIES["met10_horizon6"](t.spark, t.dir).select("g", "ym", F.col("within6").alias("event"))
+    s = t.scored().drop("event").join(label, ["g", "ym"]).withColumn("all", F.lit(1))
+    p = s.groupBy("all").agg(F.avg("event").alias("p"))
+    out = M.auroc(s, ["all"]).join(M.average_precision(s, ["all"]), "all").join(p, "all")
+    return out.select(F.round("auroc", 9).alias("auroc"), F.round("ap", 9).alias("ap"), F.round(F.col("ap") / F.col("p"), 6).alias("lift"))
+
+
 @query("met11_subgroup", _AUROC.format("brand,", "brand", "(select *, string_split(g, ' | ')[1] as brand from sc)", "group by brand"))
 def _(t):
     return M.auroc(t.scored().withColumn("brand", F.split("g", r" \| ")[0]), ["brand"]).select("brand", "auroc")
@@ -125,15 +138,37 @@ def _(t):
     return M.average_precision(s, ["all"]).join(p, "all").select(F.round(F.col("ap") / F.col("p"), 6).alias("lift"))
 
 
-@query("rpt01_performance_row", "select 'score' as model, printf('%.3f / %d', round(avg(pow(score - event, 2)), 3), count(*)) as cell from sc")
+_W = "(" + " + ".join(f"(u > {x!r}::double)::int" for x in M.POISSON) + ")"
+_MODELS = """m as (select g, event, 'a' as model, score from sc union all select g, event, 'b', (1 + (round(score * 64)::bigint * 7) % 37)::double / 64 from sc),
+c as (select g, model, score, count(*) as n, sum(event) as pos from m group by all)"""
+_CELLS = "{0}, w as (select {1} score, n, pos, n - pos as neg from {2}), x as (select *, coalesce(sum(neg) over a, 0) as below, sum(pos) over d as cp, sum(n) over d as cn from w window a as (partition by {3} order by score rows between unbounded preceding and 1 preceding), d as (partition by {3} order by score desc rows between unbounded preceding and current row)), t as (select {3}, sum(pos * (1 - score) * (1 - score) + neg * score * score)::double / sum(n)::double as brier, case when sum(pos) > 0 and sum(neg) > 0 then sum(2 * pos * below + pos * neg)::double / (2 * sum(pos) * sum(neg))::double end as auroc, case when sum(pos) > 0 then sum(pos * cp::double / cn) / sum(pos) end as ap from x group by {3})"
+_BOOT = "with " + _CELLS.format(_MODELS + f", r as (select *, {_W} as k from (select c.*, i, (('0x' || substr(md5('42/' || g || '/' || i), 1, 8))::bigint + 0.5)::double / 4294967296.0::double as u from c, (select unnest(range(100)) as i))), s as (select i, model, score, sum(k * n) as n, sum(k * pos) as pos from r where k > 0 group by all)", "i, model,", "s", "i, model")
+_POINT = "with " + _CELLS.format(_MODELS + ", s as (select model, score, sum(n) as n, sum(pos) as pos from c group by all)", "model,", "s", "model")
+_LONG = "l as (select {0}, unnest(['auroc', 'ap', 'brier']) as metric, unnest([auroc, ap, brier]) as v from t)"
+
+
+def _two_models(t):
+    other = (1 + (F.round(F.col("score") * 64).cast("long") * 7) % 37).cast("double") / 64
+    return t.scored().select("g", "event", F.col("score").alias("a"), other.alias("b"))
+
+
+@query("met08_bootstrap", _BOOT + ", " + _LONG.format("i, model") + """, j as (select l.*, l.v - o.v as d from l join l o on o.i = l.i and o.metric = l.metric and o.model = 'a')
+select model, metric, round(quantile_cont(v, 0.025), 6) as lo, round(quantile_cont(v, 0.975), 6) as hi, round(quantile_cont(d, 0.025), 6) as diff_lo, round(quantile_cont(d, 0.975), 6) as diff_hi from j group by all""")
 def _(t):
-    e = F.col("score") - F.col("event")
-    return t.scored().agg(F.format_string("%.3f / %d", F.round(F.avg(e * e), 3), F.count("*")).alias("cell")).select(F.lit("score").alias("model"), "cell")
+    out = M.intervals(M.bootstrap(_two_models(t), "g", ["a", "b"], 100), "a")
+    return out.select("model", "metric", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "diff_lo", "diff_hi")])
 
 
-@query("met08_bootstrap")
+@query("rpt01_performance_row", _BOOT + ", " + _LONG.format("i, model") + ", q as (select model, metric, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from l group by all), p as (" + _POINT + ", " + _LONG.format("model") + """ select * from l)
+select model, metric, printf('%.3f (%.3f-%.3f)', round(v, 3), round(lo, 3), round(hi, 3)) as cell from p join q using (model, metric)""")
 def _(t):
-    return M.bootstrap(t.scored(), "g", 200)
+    df = _two_models(t)
+    ci = M.intervals(M.bootstrap(df, "g", ["a", "b"], 100), "a")
+    long = df.select("event", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in "ab"])).alias("x")).select("event", "x.*")
+    e = F.col("score") - F.col("event")
+    point = M.auroc(long, ["model"]).join(M.average_precision(long, ["model"]), "model").join(long.groupBy("model").agg(F.avg(e * e).alias("brier")), "model")
+    point = point.unpivot("model", ["auroc", "ap", "brier"], "metric", "v").join(ci, ["model", "metric"])
+    return point.select("model", "metric", F.format_string("%.3f (%.3f-%.3f)", *[F.round(c, 3) for c in ("v", "lo", "hi")]).alias("cell"))
 
 
 FEATURES = ["lag1", "mean6", "ret6", "since", "suppliers"]
@@ -204,7 +239,9 @@ def _(t):
     return H.permutation_importance(model, df.where(F.col("ym") >= cut), FEATURES)
 
 
-@query("ml12_case_control")
+@query("ml12_case_control", """with n as (select sum(event)::bigint as p, sum(1 - event)::bigint as q from sc), w as (select q, least(2 * p, q) as want from n),
+c as (select *, row_number() over (order by md5('42/' || g || '/' || ym), g, ym) as r from sc where event = 0)
+select g, ym, event, 1.0::double as weight from sc where event = 1 union all select g, ym, event, (q / greatest(want, 1))::double from c, w where r <= want""")
 def _(t):
     return H.case_control(t.scored(), ["g", "ym"], 2).select("g", "ym", "event", F.col("__w").alias("weight"))
 

@@ -138,7 +138,7 @@ def _(t):
 def _(t):
     p = t("part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_name").alias("name"))
     rules = {
-        "parts": F.countDistinct("part"),
+        "parts": F.count("*"),  # the grid has one row per part and month
         "state": F.max("ret"),
         "qty": F.sum("qty"),
         "price": F.round(F.percentile("price", F.lit(0.5)), 6),
@@ -336,15 +336,12 @@ def _(t):
     return v.unpivot("i", c, "name", "v").orderBy(F.desc("v"), "name").limit(2).select("name")
 
 
-@query("val01_panel_gate", """select (select count(*) from (select part, ym from dn group by all having count(*) > 1))::bigint as repeated, avg((ret > 0)::int) as prevalence, count(distinct part)::bigint as entities, count(distinct ym)::bigint as months,
-(avg((ret > 0)::int) > 0 and avg((ret > 0)::int) <= 0.5 and count(distinct ym) >= 60) as passed from dn""")
+@query("val01_panel_gate", """with g as (select count(*)::bigint as n, count(distinct (part, ym))::bigint as k, avg((ret > 0)::int) as prevalence, count(distinct part)::bigint as entities, count(distinct ym)::bigint as months from dn)
+select n - k as repeated, prevalence, entities, months, ((n > k)::int + (prevalence > 0.5 or prevalence = 0)::int + (entities < 150)::int + (months < 60)::int)::bigint as issues from g""")
 def _(t):
-    dn = t.dense()
-    dup = A.duplicate_keys(dn, ["part", "ym"]).agg(F.count("*").alias("repeated"))
-    rate, months = F.avg((F.col("ret") > 0).cast("int")), F.countDistinct("ym")
-    g = dn.agg(rate.alias("prevalence"), F.countDistinct("part").alias("entities"), months.alias("months"))
-    ok = (F.col("repeated") == 0) & (F.col("prevalence") > 0) & (F.col("prevalence") <= 0.5) & (F.col("months") >= 60)
-    return dup.join(g, F.lit(True)).select("repeated", "prevalence", "entities", "months", ok.alias("passed"))
+    dn = t.dense().withColumn("hit", (F.col("ret") > 0).cast("int"))
+    out = A.panel_gate(dn, ["part"], "ym", "hit", 150, 60)
+    return out.select("repeated", "prevalence", "entities", "months", F.size("issues").alias("issues"))
 
 
 @query("val02_lookahead_zero", """with w as (select part, ym, row_number() over w as rn, coalesce(sum(qty) over (partition by part order by ym rows between 12 preceding and 1 preceding), 0) as s, coalesce(lag(qty) over w, 0) as l from dn window w as (partition by part order by ym))
@@ -357,8 +354,12 @@ def _(t):
     )
 
 
-@query("val03_month_completeness", "select e as ym, (e in (select ym from pm where part = 1))::bigint as present from (select unnest(range(23940, 24024))::bigint as e)")
+@query("val03_month_completeness", """with e as (select unnest(range(23940, 24024))::bigint as e), k as (select part, ym, cents, lpad(part::varchar, case when part % 50 = 0 then 10 else 11 end, '0') as code from pm)
+select (select count(*) from e where e not in (select ym from k))::bigint as missing_months, min(ym) as first_month, max(ym) as last_month, count(distinct ym)::bigint as months, count(*)::bigint as n, (count(*) - count(distinct (part, ym)))::bigint as repeated,
+sum((not regexp_full_match(code, '\\d{11}'))::int)::bigint as bad_keys, sum((nullif(cents, 0) is null)::int)::bigint as cents_missing, count(distinct part) filter (part % 3 > 0)::bigint as in_panel, count(distinct part) filter (part % 3 = 0)::bigint as not_in_panel,
+(select count(*) from part where p_partkey % 3 > 0 and p_partkey not in (select part from k))::bigint as panel_only from k""")
 def _(t):
-    have = t.part_month().where("part = 1").select("ym").distinct().withColumn("present", F.lit(1))
-    grid = t.spark.range(23940, 24024).select(F.col("id").alias("ym"))
-    return grid.join(have, "ym", "left").select("ym", F.coalesce("present", F.lit(0)).alias("present"))
+    code = F.lpad(F.col("part").cast("string"), F.when(F.col("part") % 50 == 0, 10).otherwise(11), F.lit("0"))
+    k = t.part_month().select("part", "ym", F.nullif("cents", F.lit(0)).alias("cents"), code.alias("code"))
+    panel = t("part").where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("part"))
+    return A.completeness(k, panel, "part", "ym", "code", r"^\d{11}$", ["cents"], 23940, 24023)
