@@ -216,18 +216,63 @@ def test_suffix(docs, none, group, heavy, monkeypatch):
     assert o6.remove_repeats(none).count() == 0
 
 
+HEADS = {
+    "ISC": "ISC License\n\nCopyright (c) 2020, A. Person\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.",
+    "LGPL-2.1": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999",
+    "Apache-2.0": "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/",
+    "GPL-2.0-or-later WITH Classpath-exception-2.0": "// SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0\nint main() {}",
+    "CC-BY-4.0": "some text\nCC BY 4.0\nmore text of another kind",
+    "AGPL-3.0": "a long line with many words of code and prose before it " + words(60, 71).replace("é", "e") + " licensed under the GNU Affero General Public License, version 3. " + words(30, 72).replace("é", "e"),
+}
+
+
 def test_license(spark):
     rows = [
         ("a/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/x.py", "code"), ("a/b/c/y.py", "# Released under the MIT License.\n" + "code " * 30),
         ("a/b/z.py", None), ("q/w.py", ""), (None, "text"), ("a/x.py", "code"), ("a/b/COPYING", "All rights reserved."), ("r/s.py", "we license nothing in particular here"),
+        ("t/u.txt", "Released under the MIT License.\nand a few words more of this and that"), ("t/v.txt", "no notice"),
     ]
+    rows += [(f"heads/{k}/x", t) for k, t in HEADS.items()]
     got = {(r["path"]): (r["license"], r["origin"]) for r in o7.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got["a/LICENSE"] == ("Apache-2.0", "file") and got["a/x.py"] == ("Apache-2.0", "inherited")
     assert got["a/b/c/y.py"] == ("MIT", "header") and got["a/b/z.py"] == ("All-Rights-Reserved", "inherited")
-    assert got["q/w.py"] == got[None] == got["r/s.py"] == (None, None)
+    assert got["q/w.py"] == got[None] == got["r/s.py"] == got["t/v.txt"] == (None, None) and got["t/u.txt"] == ("MIT", "header")
+    assert {k: got[f"heads/{k}/x"][0] for k in HEADS} == {k: k for k in HEADS}
     assert o7.scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_license_cosine(spark):
+    """Every score against a cosine computed piece by piece, without markers."""
+    import math
+
+    texts = [words(12, i) + "\n" + h.replace(" a ", " one ") for i, h in enumerate(HEADS.values())] + [x for _, x in o7.TEMPLATES[::3]] + [words(30, 5)]
+    rows = [(f"d{i}/f", t) for i, t in enumerate(texts)]
+    got = {r["path"]: r["score"] for r in o7.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    df = Counter(t for x in texts for t in set(o7.terms(x)))
+    vectors, idf, unseen = o7.template_weights(df, len(texts))
+    for path, text in rows:
+        if re.search(o7.TAG, text):
+            assert got[path] == 1.0
+            continue
+        lines = text.split("\n")
+        pieces = [text, *lines, *[x for x in re.split(r"\n\s*\n", text) if "\n" in x]]
+        for x in lines:
+            w = x.split()
+            pieces += [" ".join(w[i : i + o7.WINDOW]) for i in range(0, max(len(w) - o7.WINDOW + o7.STEP, 1), o7.STEP)] if len(w) > o7.WINDOW else []
+        best = 0.0
+        for x in pieces:
+            v = {t: k * idf.get(t, unseen) for t, k in Counter(o7.terms(x)).items()}
+            norm = math.sqrt(sum(a * a for a in v.values()))
+            dots = defaultdict(float)
+            for i, _, t, weight in vectors:
+                dots[i] += weight * v.get(t, 0.0)
+            best = max(best, max(dots.values()) / norm if norm else 0.0)
+        assert abs(best - got[path]) < 1e-6 if best >= o7.LEAST + 1e-6 else got[path] is None
+
+
 def brute_near(rows, percent):
     sets = []
     for r in rows:
