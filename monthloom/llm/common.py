@@ -28,13 +28,15 @@ class Scratch:
     """Tables that cut lineage, in the shared folder that the session's spark.checkpoint.dir names.
 
     They are written as Parquet, so every executor can read them after the one that wrote them is lost.
-    Only where the setting is absent (single-machine tests) a temporary folder stands in.
+    Only where the setting is absent and all runs on one machine (tests) a temporary folder stands in.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="corpus-scratch-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
         self.base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
