@@ -15,9 +15,11 @@ from .base import query
 
 
 def _folder(t) -> str:
-    """A place that driver and executors share; a temporary folder only where none is named."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
+    """A place that driver and executors share; a temporary folder only where none is named and all run on one machine."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir()
     if not base:
+        if not t.spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="panel-scratch-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -31,6 +33,46 @@ def _(t):
     return readers.application_table(t.spark, path).withColumnRenamed("Appl_No", "number")
 
 
+@query("src02_csv_variant", "select p_partkey::varchar as k, p_name as name, case when length(p_size::varchar) >= 6 then p_size::varchar else lpad(p_size::varchar, 6, '0') end as number from part")
+def _(t):
+    path = _folder(t) + ".csv"
+    t("part").select(F.col("p_partkey").alias("Key"), F.col("p_name").alias("Trade Name"), F.col("p_size").alias("Number")).write.csv(path, header=True)
+    return readers.application_table(t.spark, path, "number", {"Key": "k", "Trade Name": "name", "Number": "number"})
+
+
+@query("src03_encodings", "select n_nationkey::varchar as k, n_name || ' é' as name, 'cp1252' as encoding from nation")
+def _(t):
+    path = _folder(t)
+    t("nation").select(F.col("n_nationkey").alias("k"), F.concat("n_name", F.lit(" é")).alias("name")).write.csv(path, sep="\t", header=True, encoding="cp1252")
+    found = readers.detect_encoding(t.spark, f"{path}/*.csv")
+    return readers.delimited(t.spark, path, "\t", found).withColumn("encoding", F.lit(found))
+
+
+@query("src12_quarter_of_file", "select 2021::bigint as year, 3::bigint as quarter, count(*)::bigint as n from region union all select 2020, 1, count(*) from nation")
+def _(t):
+    base = _folder(t)
+    t("region").write.csv(f"{base}/2021q3.csv")
+    t("nation").write.csv(f"{base}/jan-2020.csv")
+    files = t.spark.read.text([f"{base}/2021q3.csv", f"{base}/jan-2020.csv"])
+    return files.select(*readers.quarter_of_file(-2)).groupBy("year", "quarter").agg(F.count("*").alias("n"))
+
+
+@query("snk03_run_metadata", "select count(*)::bigint as n, 'onset' as task from orders")
+def _(t):
+    path = _folder(t)
+    sinks.metadata(t.spark, {"n": t("orders").count(), "task": "onset"}, path)
+    return flatten.parsed(t.spark.read.text(path), "value", "n long, task string").select("j.n", "j.task")
+
+
+@query("snk05_cached_table", "select count(*)::bigint as n, true as kept from region")
+def _(t):
+    path = _folder(t)
+    first = sinks.cached(t.spark, path, lambda: t("region"), "1").count()
+    kept = sinks.cached(t.spark, path, lambda: t("nation"), "1").count() == first  # the same stamp: not built anew
+    new = sinks.cached(t.spark, path, lambda: t("nation"), "2").count() == t("nation").count()
+    return t.spark.createDataFrame([(first, kept and new)], "n long, kept boolean")
+
+
 @query("src04_drifting_headers", "select n_nationkey::varchar as code, n_name as name from nation union all select r_regionkey::varchar, r_name from region")
 def _(t):
     a, b = _folder(t), _folder(t)
@@ -52,7 +94,8 @@ def _(t):
     return t("orders").where("o_totalprice > 100000").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("src10_footer_schema")
+@query("src10_footer_schema", """select * from (values ('l_orderkey', 'bigint'), ('l_partkey', 'bigint'), ('l_suppkey', 'bigint'), ('l_linenumber', 'int'), ('l_quantity', 'double'), ('l_extendedprice', 'double'), ('l_discount', 'double'),
+('l_tax', 'double'), ('l_returnflag', 'string'), ('l_linestatus', 'string'), ('l_shipdate', 'timestamp_ntz')) x(name, type)""")
 def _(t):
     s = readers.table_schema(t.spark, f"{t.dir}/lineitem.parquet")
     return t.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in s], "name string, type string")

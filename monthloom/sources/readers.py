@@ -10,11 +10,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.codes import pad
+from ..functions.codes import dashed_package, pad
 from ..functions.names import snake
 
 
@@ -101,6 +102,23 @@ def zipped_csv(spark: SparkSession, path: str, columns: list[str], tokens: list[
     return files.mapInPandas(read, ", ".join(f"`{c}` string" for c in columns))
 
 
+def measured_export(spark: SparkSession, path: str, code: str, month: str, measures: list[str], excluded: list[str] = ()) -> DataFrame:
+    """One-member zips of measures by month and code: months trimmed, codes as 11 digits, measures as numbers, null where none.
+
+    Columns without a name, and excluded ones, are not read; a file without month or code fails.
+    """
+    kept = [m for m in measures if snake(m) and not snake(m).startswith("unnamed_") and snake(m) not in map(snake, excluded)]
+    df = zipped_csv(spark, path, [month, code, *kept], header=rf"(?i){re.escape(code)}")
+    digits = pad(F.regexp_replace(F.col(f"`{code}`"), r"\D", ""), 11)
+    numbers = [F.col(f"`{m}`").try_cast("double").alias(snake(m)) for m in kept]
+    return df.select(F.trim(F.col(f"`{month}`")).alias("year_month"), digits.alias("code_11"), dashed_package(digits).alias("code"), *numbers)
+
+
+def found(spark: SparkSession, candidates: list[str], pattern: str) -> str | None:
+    """The first candidate that exists, else the newest file of the pattern."""
+    return next((c for c in candidates if newest(spark, c)), None) or newest(spark, pattern)
+
+
 def ragged(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:
     """Text with trailing separators: the first fields of each line that has enough."""
     parts = F.split("value", re.escape(sep), -1)
@@ -113,9 +131,9 @@ def table_schema(spark: SparkSession, path: str) -> T.StructType:
     return spark.read.parquet(path).schema
 
 
-def quarter_of_file() -> tuple:
-    """(year, quarter) columns from a name such as jan-2021.zip or 2021q1.csv."""
-    name = F.lower(F.element_at(F.split(F.input_file_name(), "/"), -1))
+def quarter_of_file(part: int = -1) -> tuple:
+    """(year, quarter) columns from a name such as jan-2021.zip or 2021q1.csv, a part of the path from its end."""
+    name = F.lower(F.element_at(F.split(F.input_file_name(), "/"), part))
     year = F.regexp_extract(name, r"(20\d\d)", 1).cast("int")
     q = F.regexp_extract(name, r"q([1-4])", 1)
     month = F.regexp_extract(name, r"(jan|apr|jul|oct)", 1)
@@ -125,6 +143,11 @@ def quarter_of_file() -> tuple:
 
 def newest(spark: SparkSession, pattern: str) -> str | None:
     """Path of the file last modified among those that match."""
-    df = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
+    try:
+        df = spark.read.format("binaryFile").load(pattern).select("path", "modificationTime")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
     r = df.orderBy(F.desc("modificationTime"), F.desc("path")).first()
     return r["path"] if r else None
