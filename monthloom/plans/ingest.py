@@ -40,10 +40,11 @@ def _(t):
     return readers.application_table(t.spark, path, "number", {"Key": "k", "Trade Name": "name", "Number": "number"})
 
 
-@query("src03_encodings", "select n_nationkey::varchar as k, n_name || ' é' as name, 'cp1252' as encoding from nation")
+@query("src03_encodings", "select n_nationkey::varchar as k, n_name || ' é “€' as name, 'cp1252' as encoding from nation")
 def _(t):
     path = _folder(t)
-    t("nation").select(F.col("n_nationkey").alias("k"), F.concat("n_name", F.lit(" é")).alias("name")).write.csv(path, sep="\t", header=True, encoding="cp1252")
+    # Latin-1 writes the control characters that stand for these signs in code page 1252
+    t("nation").select(F.col("n_nationkey").alias("k"), F.concat("n_name", F.lit(" é \x93\x80")).alias("name")).write.csv(path, sep="\t", header=True, encoding="ISO-8859-1")
     found = readers.detect_encoding(t.spark, f"{path}/*.csv")
     return readers.delimited(t.spark, path, "\t", found).withColumn("encoding", F.lit(found))
 

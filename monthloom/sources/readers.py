@@ -19,9 +19,19 @@ from ..functions.codes import dashed_package, pad
 from ..functions.names import snake
 
 
+#: Signs that code page 1252 has where Latin-1 has control characters.
+_LATIN = "".join(map(chr, range(0x80, 0xA0)))
+_CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
 def delimited(spark: SparkSession, path: str, sep: str = "~", encoding: str = "UTF-8", rename: dict[str, str] | None = None) -> DataFrame:
-    """Header and text columns, both trimmed of outer blanks."""
-    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """Header and text columns, both trimmed of outer blanks. cp1252, which Spark doesn't read, is read as Latin-1 and mended."""
+    page = encoding.lower() in ("cp1252", "windows-1252")
+    charset = "ISO-8859-1" if page or encoding.lower() == "latin-1" else encoding
+    df = spark.read.csv(path, sep=sep, header=True, inferSchema=False, encoding=charset, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    if page:
+        mended = str.maketrans(_LATIN, _CP1252)
+        df = df.select(*[F.translate(F.col("`" + c.replace("`", "``") + "`"), _LATIN, _CP1252).alias(c.translate(mended)) for c in df.columns])
     df = df.toDF(*[c.strip() for c in df.columns])
     return df.withColumnsRenamed(rename or {})
 
