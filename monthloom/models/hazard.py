@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, MaxAbsScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, MaxAbsScaler, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
@@ -41,27 +41,36 @@ def offset_risk(df: DataFrame, state: str, by: list[str], month: str = "ym", exc
     return s.where(F.col("__next") == F.col(month) + 1).drop("__next", "rn", "starts")
 
 
-def logistic(features: list[str], c: float, n: int) -> Pipeline:
-    """Imputed, max-scaled, L2 penalty 1 / (c n) on unstandardised coefficients."""
-    filled = [f"{f}__i" for f in features]
+def logistic(features: list[str], c: float, n: int, categories: list[str] = ()) -> Pipeline:
+    """Imputed, max-scaled, L2 penalty 1 / (c n) on unstandardised coefficients; categories one-hot, unseen ones as one more."""
+    filled, codes, hot = [f"{f}__i" for f in features], [f"{f}__c" for f in categories], [f"{f}__h" for f in categories]
+    coded = [StringIndexer(inputCols=list(categories), outputCols=codes, handleInvalid="keep"), OneHotEncoder(inputCols=codes, outputCols=hot, dropLast=False)]
     return Pipeline(
         stages=[
             Imputer(inputCols=features, outputCols=filled),
-            VectorAssembler(inputCols=filled, outputCol="__raw"),
+            *(coded if categories else []),
+            VectorAssembler(inputCols=[*filled, *hot], outputCol="__raw"),
             MaxAbsScaler(inputCol="__raw", outputCol="__x"),
             LogisticRegression(featuresCol="__x", labelCol="event", regParam=1 / (c * max(n, 1)), standardization=False, maxIter=100),
         ]
     )
 
 
-def boosted(features: list[str], rounds: int = 20) -> Pipeline:
-    """Gradient-boosted trees with a capped weight for positives in __w; an approximation of leaf-wise boosting."""
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"),
-            GBTClassifier(featuresCol="__x", labelCol="event", weightCol="__w", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=42),
-        ]
-    )
+def boosted(features: list[str], rounds: int = 20, held_out: str | None = None) -> Pipeline:
+    """Gradient-boosted trees with a capped weight for positives in __w; an approximation of leaf-wise boosting.
+
+    held_out: a boolean column of rows that are not fitted on; rounds stop when their loss no longer falls.
+    """
+    trees = GBTClassifier(featuresCol="__x", labelCol="event", weightCol="__w", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=42)
+    if held_out:
+        trees = trees.setParams(validationIndicatorCol=held_out, validationTol=0.001)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), trees])
+
+
+def boosted_refit(train: DataFrame, features: list[str], held_out: Column, rounds: int = 20):
+    """Rounds chosen on the held-out rows, then a model of as many on all of train."""
+    chosen = boosted(features, rounds, "__held").fit(train.withColumn("__held", held_out)).stages[-1].getNumTrees
+    return boosted(features, max(chosen, 1)).fit(train)
 
 
 def positive_weight(df: DataFrame, cap: float) -> DataFrame:
@@ -158,13 +167,17 @@ def tune(train: DataFrame, valid: DataFrame, features: list[str], grid: list[flo
     return train.sparkSession.createDataFrame(out, "c double, ap double").orderBy(F.desc("ap"), "c")
 
 
-def focal_boost(df: DataFrame, features: list[str], rounds: int = 5, gamma: float = 2.0, alpha: float = 0.5, rate: float = 0.3) -> DataFrame:
+def focal_boost(
+    df: DataFrame, features: list[str], rounds: int = 5, gamma: float = 2.0, alpha: float = 0.5, rate: float = 0.3, weight: str | None = None
+) -> DataFrame:
     """df with pred after boosting regression trees on the focal loss, Newton steps with a Gauss-Newton curvature.
 
     With q the chance given to what happened, the loss is -a (1 - q)^gamma log q, a being alpha for events
-    and 1 - alpha for others. Each round only adds a narrow map, so the rows are never shuffled.
+    and 1 - alpha for others. Each round only adds a narrow map, so the rows are never shuffled. weight: a column of sample
+    weights; rows where it is null are scored, not fitted on.
     """
     y = F.col("event") == 1
+    given = F.col(weight) if weight else F.lit(1.0)
     out = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(df).withColumn("__m", F.lit(0.0))
     tree = DecisionTreeRegressor(featuresCol="__x", labelCol="__t", weightCol="__h", predictionCol="__step", maxDepth=3)
     for _ in range(rounds):
@@ -173,6 +186,7 @@ def focal_boost(df: DataFrame, features: list[str], rounds: int = 5, gamma: floa
         w = F.when(y, alpha).otherwise(1 - alpha) * F.pow(1 - q, F.lit(gamma))
         slope = w * (gamma * q * F.log(q) - (1 - q)) * F.when(y, 1.0).otherwise(-1.0)
         curve = F.greatest(w * q * (1 - q), F.lit(1e-6))
-        step = out.withColumns({"__h": curve, "__t": clip(-slope / curve, -4.0, 4.0)})
-        out = tree.fit(step).transform(step).withColumn("__m", F.col("__m") + rate * F.col("__step")).drop("__h", "__t", "__step")
+        step = out.withColumns({"__h": curve * given, "__t": clip(-slope / curve, -4.0, 4.0)})
+        model = tree.fit(step.where("__h is not null"))
+        out = model.transform(step).withColumn("__m", F.col("__m") + rate * F.col("__step")).drop("__h", "__t", "__step")
     return out.withColumn("pred", sigmoid(F.col("__m"))).drop("__m", "__x")

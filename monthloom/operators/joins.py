@@ -119,6 +119,26 @@ def held_by_parts(listed: DataFrame, holders: DataFrame, by: str, names: str, ap
     return multi.unionByName(direct.join(multi.select(by).distinct(), by, "left_anti"))
 
 
+def product_keys(items: DataFrame, books: DataFrame, item: str = "item", application: str = "application", fallback: Column | None = None) -> DataFrame:
+    """(item, product_key): key of the first book, by its rank (current 0, then the years back), that knows the application.
+
+    items: (item, application, ...), one row per item kept; books: (rank, application, key). Items without one take the
+    fallback text (of name, form and route); those whose text is empty, '|;', are dropped.
+    """
+    known = first_by(books.where(F.col(application).isNotNull()), [application], F.col("rank"), F.col("key")).select(application, "key")
+    one = items.dropDuplicates([item]).join(known, application, "left")
+    return one.select(item, F.coalesce("key", fallback).alias("product_key")).where(F.trim("product_key") != "|;")
+
+
+def makers_by_key(keyed: DataFrame, shares: DataFrame, maker: Column) -> DataFrame:
+    """(product_key, year, makers, applications): book counts by year; for keys that no book has, distinct makers of items, in all years."""
+    others = keyed.join(shares.select("product_key").distinct(), "product_key", "left_anti")
+    proxy = others.groupBy("product_key").agg(F.countDistinct(maker).alias("makers"))
+    years = shares.select("year").distinct()
+    filled = proxy.crossJoin(F.broadcast(years)).select("product_key", "year", "makers", F.col("makers").alias("applications"))  # a few years
+    return shares.select("product_key", "year", "makers", "applications").unionByName(filled)
+
+
 def keep_hits(df: DataFrame, by: list[str], hit: Column) -> DataFrame:
     """Rows with a hit, or all rows of a group that has none."""
     any_hit = F.max(hit.cast("int")).over(Window.partitionBy(*by))

@@ -327,3 +327,37 @@ def _(t):
     dirty = firms.select("k", N.company(F.concat("s_name", F.lit("z, Inc."))).alias("name"))
     best = J.fuzzy_best(dirty, firms.select("choice"), "name", "choice", 85.0)
     return best.join(firms.select("choice", "s_name"), "choice").select("k", F.col("s_name").alias("name"), F.round("score", 6).alias("score"))
+
+
+_BOOKS = """b as (select j as rank, 2024 - j as year, p_partkey % 300 as application, case when p_partkey % 300 % 7 = j then null else upper(trim(p_brand)) || '|' || upper(p_type) end as key, p_partkey as maker from part, (select unnest(range(3)) as j) where p_partkey % 5 <> j)"""
+_KEYED = """k as (select application, arg_min(key, (rank, key)) as key from b where key is not null group by application),
+i as (select p_partkey as item, case when p_partkey % 4 = 0 then null else p_partkey % 400 end as application, case when p_partkey % 9 = 0 then '|;' else upper(p_name) || '|' || upper(p_type) || ';' || p_size % 3 end as fall from part),
+m as (select item, coalesce(key, fall) as product_key from i left join k using (application) where coalesce(key, fall) <> '|;')"""
+
+
+def _books(t):
+    b = t("part").withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(2)))).where(F.col("p_partkey") % 5 != F.col("rank"))
+    a = F.col("p_partkey") % 300
+    key = F.when(a % 7 != F.col("rank"), F.concat_ws("|", F.upper(F.trim("p_brand")), F.upper("p_type")))
+    return b.select("rank", (2024 - F.col("rank")).alias("year"), a.alias("application"), key.alias("key"), F.col("p_partkey").alias("maker"))
+
+
+def _product_keys(t):
+    k = F.col("p_partkey")
+    text = F.concat(F.upper("p_name"), F.lit("|"), F.upper("p_type"), F.lit(";"), (F.col("p_size") % 3).cast("string"))
+    items = t("part").select(k.alias("item"), F.when(k % 4 != 0, k % 400).alias("application"), F.when(k % 9 == 0, "|;").otherwise(text).alias("fall"))
+    return J.product_keys(items, _books(t).where("key is not null"), fallback=F.col("fall"))
+
+
+@query("alg08_product_keys", f"with {_BOOKS}, {_KEYED} select item, product_key from m")
+def _(t):
+    return _product_keys(t)
+
+
+@query("alg08_market_structure", f"""with {_BOOKS}, {_KEYED}, s as (select key as product_key, year, count(distinct maker)::bigint as makers, count(distinct application)::bigint as applications from b where key is not null group by all),
+p as (select product_key, count(distinct item % 50)::bigint as makers from m where product_key not in (select product_key from s) group by all)
+select product_key, year::bigint as year, makers, applications from s union all select product_key, year::bigint, makers, makers from p cross join (select distinct year from s)""")
+def _(t):
+    b = _books(t).where("key is not null")
+    shares = b.groupBy(F.col("key").alias("product_key"), "year").agg(F.countDistinct("maker").alias("makers"), F.countDistinct("application").alias("applications"))
+    return J.makers_by_key(_product_keys(t), shares, F.col("item") % 50)

@@ -207,9 +207,10 @@ def _(t):
 
 @query("ml03_gbt")
 def _(t):
+    """Rounds by the last months before the test block, then a refit on all rows before it."""
     df = H.positive_weight(risk_features(t), 10.0).cache()
-    cut = df.agg(F.percentile("ym", F.lit(0.8))).first()[0]
-    model = H.boosted(FEATURES, 5).fit(df.where(F.col("ym") < cut))
+    held, cut = df.agg(F.percentile("ym", F.array(F.lit(0.65), F.lit(0.8)))).first()[0]
+    model = H.boosted_refit(df.where(F.col("ym") < cut), FEATURES, F.col("ym") >= held, 12)
     return H.scored(model, df.where(F.col("ym") >= cut), ["g", "ym", "event"]).withColumn("pred", F.round("pred", 6))
 
 
@@ -248,8 +249,28 @@ def _(t):
 
 @query("ml04_focal")
 def _(t):
+    """Fitted on a case-control sample, scored on all rows."""
     df = risk_features(t).select("g", "ym", "event", *FEATURES).cache()
-    return H.focal_boost(df, FEATURES, 3).select("g", "ym", "event", F.round("pred", 6).alias("pred"))
+    sample = H.case_control(df.select("g", "ym", "event"), ["g", "ym"], 3).select("g", "ym", "__w")
+    return H.focal_boost(df.join(sample, ["g", "ym"], "left"), FEATURES, 3, weight="__w").select("g", "ym", "event", F.round("pred", 6).alias("pred"))
+
+
+@query("ml01_categories")
+def _(t):
+    """The logistic hazard with a one-hot category."""
+    df = risk_features(t).cache()
+    cut = df.agg(F.percentile("ym", F.lit(0.8))).first()[0]
+    train = df.where(F.col("ym") < cut)
+    model = H.logistic(FEATURES, 1.0, train.count(), ["brand"]).fit(train)
+    return H.scored(model, df.where(F.col("ym") >= cut), ["g", "ym", "event"]).withColumn("pred", F.round("pred", 6))
+
+
+@query("top05_best_setting", """with t as (select unnest(range(1, 50)) / 100.0::double as cut), x as (select cut, sum((score >= cut and event = 1)::int) as tp, sum((score >= cut)::int) as pp, sum(event) as p from sc cross join t group by cut)
+select cut, round(2.0 * tp / (pp + p)::double, 9) as f1 from x where pp + p > 0 order by round(2.0 * tp / (pp + p)::double, 9) desc, cut limit 1""")
+def _(t):
+    from .base import QUERIES
+
+    return QUERIES["met12_f1_sweep"](t.spark, t.dir).where("f1 is not null").orderBy(F.desc("f1"), "cut").limit(1)  # at most 49 rows
 
 
 @query("ml08_tuning")
