@@ -70,6 +70,33 @@ def episode_months(df: DataFrame, by: list[str], study_start: int, study_end: in
     )
 
 
+def group_panel(df: DataFrame, columns: list[str], state: str, peers: str, by: str = "g", month: str = "ym", horizon: int = 6) -> DataFrame:
+    """One build of a rolled-up group panel: history of columns, memory of the state, peers' starts, product with them, label.
+
+    Windows over an entity share one sort; peers (a column of classes) are summed by class and month and joined back, strictly
+    trailing. onset_within is whether the state begins in one of the next ``horizon`` rows.
+    """
+    w = rows([by], [month])
+    x = state_memory(df, state, [by], [month]).select("*", *history(columns, [by], [month]))
+    ahead = F.max("starts").over(w.rowsBetween(1, horizon))
+    x = x.withColumn("onset_within", F.coalesce(ahead, F.lit(0)))
+    classes = x.groupBy(peers, month).agg(F.sum("starts").alias("__s"), F.count("*").alias("__n"))
+    v = rows([peers], [month])
+    rate = F.coalesce(trailing(F.sum, "__s", 6, v), F.lit(0)) / F.greatest(F.coalesce(trailing(F.avg, "__n", 6, v), F.lit(0.0)), F.lit(1.0))
+    x = x.join(classes.select(peers, month, rate.alias("peer_onset_rate")), [peers, month])
+    return x.withColumn("recurrence_x_peers", F.col("recurrence") * (1 + F.col("peer_onset_rate")))
+
+
+def optional_families(spine: DataFrame, families: dict[str, tuple[DataFrame, list[str]]], wanted: list[str]) -> DataFrame:
+    """Left joins of the wanted feature families, each unique on its keys; an unknown name is an error, none wanted leaves the spine."""
+    for name in wanted:
+        if name not in families:
+            raise ValueError(f"unknown feature family {name!r}")
+        table, keys = families[name]
+        spine = spine.join(table, keys, "left")
+    return spine
+
+
 # Names and parts of names by which a feature belongs to a domain.
 SHORTAGE_HISTORY = (
     "same_ingredient_in_shortage", "last_group_episode_duration", "mean_group_episode_duration", "max_group_episode_duration",

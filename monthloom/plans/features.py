@@ -119,3 +119,22 @@ def _(t):
     made = X.composites()
     df = _proxied(t).withColumns({c: made[c] for c in ("market_vulnerability", "quality_signal_count")})
     return df.select("k", *_rounded(X.interactions()))
+
+
+@query("alg07_group_panel", f"""with h as ({_history_sql()}), s as (select *, case when state = 1 and coalesce(lag(state) over (partition by g order by ym), 0) = 0 then 1 else 0 end as st from gs),
+m as (select g, brand, ym, st, coalesce(sum(state) over b, 0)::bigint as months24, coalesce(sum(st) over b, 0)::bigint as starts24, coalesce(max(st) over (partition by g order by ym rows between 1 following and 6 following), 0)::bigint as onset_within from s window b as (partition by g order by ym rows between 24 preceding and 1 preceding)),
+p as (select brand, ym, sum(st) as s, count(*) as n from m group by all), q as (select brand, ym, coalesce(sum(s) over w, 0)::double / greatest(coalesce(avg(n) over w, 0), 1)::double as rate from p window w as (partition by brand order by ym rows between 6 preceding and 1 preceding))
+select h.*, brand, months24, starts24, onset_within, round(rate, 9) as peer_onset_rate, round((starts24 >= 2)::int * (1 + months24 / 24.0::double) * (1 + rate), 9) as recurrence_x_peers from h join m using (g, ym) join q using (brand, ym)""")
+def _(t):
+    x = X.group_panel(t.group_state(), DYNAMIC, "state", "brand")
+    kept = [c for c in x.columns if any(c.startswith(f"{d}_") for d in DYNAMIC)]
+    return x.select("g", "ym", "brand", *kept, "months24", "starts24", "onset_within", *[F.round(c, 9).alias(c) for c in ("peer_onset_rate", "recurrence_x_peers")])
+
+
+@query("join24_optional_families", """select gs.g, gs.ym, b.n as brand_parts, m.qty as month_qty from gs left join (select p_brand as brand, count(*)::bigint as n from part where p_size > 10 group by 1) b using (brand)
+left join (select ym, sum(qty)::bigint as qty from li where l_returnflag = 'R' group by ym) m using (ym)""")
+def _(t):
+    parts = t("part").where("p_size > 10").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("brand_parts"))
+    months = t.lines().where("l_returnflag = 'R'").groupBy("ym").agg(F.sum("qty").alias("month_qty"))
+    families = {"parts": (parts, ["brand"]), "months": (months, ["ym"]), "unused": (months, ["ym"])}
+    return X.optional_families(t.group_state(), families, ["parts", "months"]).select("g", "ym", "brand_parts", "month_qty")

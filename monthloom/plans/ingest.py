@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources import flatten, readers, sinks
+from ..sources import flatten, readers, sheets, sinks
 from ..streaming import events as E
 from .base import query
 
@@ -82,6 +82,22 @@ def _(t):
     return readers.drifting(t.spark, [a, b], {"code": ["the code"], "name": []})
 
 
+@query("src05_spreadsheet", "select n_name || ' & <co>' as name, n_nationkey::varchar as k, ('1899-12-30'::date + (n_nationkey + 40000)::int)::varchar as day from nation where n_nationkey > 1")
+def _(t):
+    path = _folder(t) + ".xlsx"
+    rows = t("nation").orderBy("n_nationkey").select(F.concat("n_name", F.lit(" & <co>")).alias("name"), F.col("n_nationkey").alias("k"), (F.col("n_nationkey") + 40000).alias("day"))
+    sheets.write_sheet(rows, path)
+    df = sheets.spreadsheet(t.spark, path, ["name", "k", "day"], skip=3)  # the header and two rows
+    return df.withColumn("day", sheets.from_serial(F.col("day")).cast("string"))
+
+
+@query("snk04_formatted_sheet", "select r_name as \"Name\", r_regionkey::varchar as \"Key\", null::varchar as \"Other\" from region")
+def _(t):
+    path = _folder(t) + ".xlsx"
+    sheets.write_sheet(t("region").select(F.col("r_regionkey").alias("Key"), F.col("r_name").alias("Name")), path)
+    return sheets.spreadsheet(t.spark, path, ["Name", "Key", "Other"], header=True)
+
+
 @query("src08_ragged", "select n_name as name, n_nationkey::varchar as k from nation where n_nationkey % 5 <> 0")
 def _(t):
     path = _folder(t)
