@@ -24,6 +24,17 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Rows that go to a Python worker at once, at most; each holds a whole text.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, so that neither side of the transfer holds more texts than that."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables that cut lineage, in the shared folder that the session's spark.checkpoint.dir names.
 
@@ -33,6 +44,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        bounded_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
             if not spark.sparkContext.master.startswith("local["):
@@ -75,11 +87,11 @@ def met(left: DataFrame, right: DataFrame, on: list[str], times: str, how: str =
     over a limit are broadcast, so no task meets all their partners. They are at most 8 for each shuffle partition, since
     the limit grows with the sum of times.
     """
-    total = right.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0]
+    total, most = right.agg(F.coalesce(F.sum(times), F.lit(0)), F.coalesce(F.max(times), F.lit(0))).first()
     limit = max(HEAVY, total // (8 * partitions(left.sparkSession)))
-    heavy = right.where(F.col(times) > limit)
-    if heavy.isEmpty():
+    if most <= limit:
         return left.join(right.drop(times), on, how)
+    heavy = right.where(F.col(times) > limit)
     light, few = right.where(F.col(times) <= limit).drop(times), F.broadcast(heavy.drop(times))
     rest = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how)
     return rest if how == "left_anti" else rest.unionByName(left.join(few, on, "inner" if how == "left" else how))

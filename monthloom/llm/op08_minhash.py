@@ -21,6 +21,8 @@ TREES, DEPTH = 16, 8
 DEPTHS = (4, 6, 8)
 #: Rows of a region that are searched in one task; a larger region is searched in so many blocks as it takes.
 CAP = 1024
+#: Shingles of each side of such a block, about: 16 MB.
+BLOCK_SHINGLES = 2_000_000
 #: Neighbours on each side of a row in its region that are compared at once.
 WINDOW = 4
 #: Sets fetched by broadcast ids up to so many (16 bytes each); by shuffle beyond.
@@ -145,12 +147,15 @@ def _blocks(region: DataFrame, parts: DataFrame) -> DataFrame:
     one block, the former are dealt into x, all into y, and each x meets each y.
     """
     placed = region.join(parts, F.col("set_id") == F.col("node"), "left")
-    placed = placed.select("tree", "near", "set_id", F.coalesce("component", "set_id").alias("component"))
-    sizes = placed.groupBy("tree", "near", "component").count()
-    top = sizes.groupBy("tree", "near").agg(F.sum("count").alias("n"), F.max(F.struct("count", "component")).alias("top"))
+    placed = placed.select("tree", "near", "set_id", "size", F.coalesce("component", "set_id").alias("component"))
+    sizes = placed.groupBy("tree", "near", "component").agg(F.count("*").alias("count"), F.sum("size").alias("size"))
+    top = sizes.groupBy("tree", "near").agg(
+        F.sum("count").alias("n"), F.sum("size").alias("w"), F.max(F.struct("count", "component", "size")).alias("top")
+    )
     half = max(1, CAP // 2)
-    xs, ys = F.ceil((F.col("n") - F.col("top.count")) / half).cast("int"), F.ceil(F.col("n") / half).cast("int")
-    one = F.col("n") <= CAP
+    blocks = lambda n, w: F.greatest(F.ceil(n / half), F.ceil(w / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    xs, ys = blocks(F.col("n") - F.col("top.count"), F.col("w") - F.col("top.size")), blocks(F.col("n"), F.col("w"))
+    one = (F.col("n") <= CAP) & (F.col("w") <= 2 * BLOCK_SHINGLES)
     top = top.where("n > top.count").select(
         "tree", "near", F.col("top.component").alias("top"), F.when(one, 1).otherwise(xs).alias("xs"), F.when(one, 1).otherwise(ys).alias("ys")
     )
@@ -207,8 +212,8 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     sets; for this order alone, a region with more than CAP classes is divided by a longer prefix, at the
     full key by a salt that differs by tree. In such a region all classes are also compared with the one
     that has most links so far. Regions that then still hold more than one component are searched whole, in
-    blocks: classes outside the largest component against all, on their full sets. So within a region no
-    link between components is missed. A region costs rows in proportion to its classes, and beyond CAP
+    blocks: classes outside the largest component against all, on their full sets, at most about BLOCK_SHINGLES shingles to a side. So
+    within a region no link between components is missed. A region costs rows in proportion to its classes, and beyond CAP
     also to those times the classes outside the largest component, over CAP / 2.
 
     Null or empty text, or no words: size 0, linked with nothing. Repeated rows share a class. A component
@@ -220,6 +225,7 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     classes = rows.where("set_id is not null").groupBy("set_id").agg(
         F.min("doc_id").alias("least"),
         F.min("signature").alias("signature"),
+        F.max("n_shingles").alias("size"),
         F.count("*").alias("rows"),
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("first"),
     )
@@ -227,11 +233,12 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str, text_col: st
     step = 2 * DEPTH
     keys = classes.select(
         "set_id",
+        "size",
         F.posexplode(F.array(*[F.substring("signature", 1 + step * t, step) for t in range(TREES)])).alias("tree", "key"),
     )
     # the shallowest prefix that keeps a region within CAP; regions of one row are of no use
     near = F.substring("key", 1, 2 * DEPTHS[0])
-    keyed = keys.select("set_id", "tree", "key", near.alias("near"))
+    keyed = keys.select("set_id", "size", "tree", "key", near.alias("near"))
     crowd = keyed.groupBy("tree", "near").count().where("count > 1")
     region = keyed = scratch.cut(keyed.join(crowd, ["tree", "near"]))
     for d, deeper in zip(DEPTHS, [*DEPTHS[1:], None]):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, col, partitions
+from .common import bounded_batches, col, partitions
 from .texthash import _BYTE, _PLACE, chunks, mixed
 
 #: Rounds of parsing; phrases grow about threefold each.
@@ -126,6 +126,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     row (__ahead = 1), so no row is looked for in another task.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(
         col(id_col).alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text")
     ).withColumn("__h", F.xxhash64("text"))
@@ -178,7 +179,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text ends in the first half of the next document (see with_next) in place of its own
     last half. Columns: doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (hex),
     near_edited and near_next. Null text is empty; an empty text has an empty fingerprint of zeros, and
-    two empty ones are alike (1). A single row is its own next. An empty table gives no rows.
+    two empty ones are alike (1). A single row is its own next. Long texts are parsed whole. Repeated rows follow one
+    another, each the next of the one before. Other columns are not used. An empty table gives no rows.
     """
     kind = docs.select(col(id_col)).schema[0].dataType.simpleString()
     schema = (

@@ -23,7 +23,7 @@ RANKED = 50_000
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 500_000
 #: Characters tokenised at once.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 500_000
 
 # Texts of these characters only (as Latin-1 bytes) are in NFC, lower-case character by character, and
 # split where the class of character changes; all other texts go to the tokenizer whole.

@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes handled at once; the arrays that one chunk needs stay near 100 MB.
-CHUNK_BYTES = 1_500_000
+#: Bytes handled at once; the arrays that one chunk needs stay near 35 MB.
+CHUNK_BYTES = 500_000
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _BASE = int(_RNG.integers(1, 1 << 62)) * 2 + 1
