@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, col, word_count
 
+#: Rows of a slice of one source's queue, at most about.
+ROWS_PER_SLICE = 100_000
+
 
 def source_targets(by_source: DataFrame, weights=(5, 2, 1), max_repeats: int = 3) -> DataFrame:
     """Words to take from each source.
@@ -81,8 +86,13 @@ def mix_to_weights(
         F.coalesce(col(source_col), F.lit("")).alias("__src"),
         col(id_col).alias("__id"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(col(id_col).cast("string"), F.lit("")))).alias("__key"),
-    ).withColumn("__slice", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int"))  # 4096 of them
-    slim = scratch.cut(sized.select("__size", "__null", "__src", "__id", "__key", "__slice"))
+    )
+    slim = scratch.cut(sized.select("__size", "__null", "__src", "__id", "__key"))
+    budget, n = slim.agg(F.coalesce(F.sum("__size"), F.lit(0)), F.count("*")).first()
+    # 4096 slices of a source's queue, and so many more that a source of all rows has about ROWS_PER_SLICE in each
+    digits = max(3, math.ceil(math.log(max(n, 1) / ROWS_PER_SLICE, 16)))
+    slice_ = F.conv(F.substring("__key", 1, digits), 16, 10).cast("long")
+    sized, slim = sized.withColumn("__slice", slice_), slim.withColumn("__slice", slice_)
     by_slice = slim.groupBy("__null", "__src", "__slice").agg(F.sum("__size").alias("__words"))
     slices = scratch.cut(
         by_slice.withColumn(
@@ -99,7 +109,6 @@ def mix_to_weights(
         slices.groupBy("__null", "__src").agg(F.sum("__words").alias("source_size")), weights, max_repeats
     )
     slices = scratch.cut(slices.join(targets, ["__null", "__src"]).drop("__words"))
-    budget, n = slim.agg(F.coalesce(F.sum("__size"), F.lit(0)), F.count("*")).first()
     finish = lambda e: (F.lit(e) * F.col("source_size") + F.col("__cum")).cast("double") / F.col("target")
     places = (
         _queued(slim.where("__size > 0"), slices)

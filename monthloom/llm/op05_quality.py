@@ -167,7 +167,11 @@ def fit_quality(
     Rows with crc32(id as text) mod 5 = 0 are never used; those with remainder 1 set the temperature. The
     sample is the first of each class by hash of id, weighted back to the shares of all labels. Texts stay
     on the executors: they return context sums (of fixed size) and pooled vectors. With labels of one class
-    only, or none, the result is a constant score.
+    only, or none, the result is a constant score; so it is with an empty table.
+
+    Null and empty texts are texts without words. Long texts are read whole. Of repeated ids one text counts, the
+    first by hash; an id that is labelled both ways counts on both sides. Null ids and labels are not learnt from. Ties in
+    the sample's order go by id. Other columns are not used.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -180,6 +184,8 @@ def fit_quality(
     sample = scratch.cut(
         docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"))
         .join(F.broadcast(picked[0].unionByName(picked[1])), "id")  # 2 x per_class rows at most
+        .groupBy("id", "y")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .withColumn("fold", _fold(F.col("id")))
         .orderBy("id", "y")
     )
