@@ -39,16 +39,16 @@ def template_weights(df: dict[str, int], n: int) -> tuple[list[tuple], dict[str,
     return rows, idf, math.log(1 + n) + 1
 
 
-def markers(rows: list[tuple], least: float) -> list[str]:
+def markers(rows: list[tuple], idf: dict[str, float], least: float) -> list[str]:
     """Terms of which a piece must hold one to reach the cosine ``least`` with any template.
 
     By Cauchy's inequality the cosine is at most the length of the template's part on common terms. So of each
-    template the weightiest terms are markers, until those left are together shorter than ``least``.
+    template the rarest terms are markers, until those left are together shorter than ``least``.
     """
     out = set()
     for i in {r[0] for r in rows}:
         left = 1.0
-        for w, t in sorted(((r[3], r[2]) for r in rows if r[0] == i), reverse=True):
+        for _, t, w in sorted(((idf[r[2]], r[2], r[3]) for r in rows if r[0] == i), reverse=True):
             if left < least * least - 1e-9:
                 break
             out.add(t)
@@ -93,7 +93,7 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     rows, idf, unseen = template_weights(df, df.get("", 0))
     weights = F.broadcast(spark.createDataFrame(rows, "template int, name string, term string, weight double"))
     idfs = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    marked = F.array(*map(F.lit, markers(rows, least)))
+    marked = F.array(*map(F.lit, markers(rows, idf, least)))
     tagged = F.regexp_extract("text", TAG, 1)
     few = base.select("path", "text_key", "text", words("text").alias("__w"), tagged.alias("tag"), F.element_at(F.split("path", "/"), -1).rlike(FILE_NAMES).alias("named"))
     few = scratch.cut(few.where(F.arrays_overlap("__w", marked) | (F.col("tag") != "")).select("path", "text_key", "text", "tag", "named").distinct())
