@@ -54,10 +54,14 @@ class Scratch:
         self.base = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
         self.made = 0
 
+    def path(self) -> str:
+        """A path of its own for another table."""
+        self.made += 1
+        return f"{self.base}/{self.made - 1}"
+
     def cut(self, df: DataFrame) -> DataFrame:
         """The same rows, read back from a table written once."""
-        path = f"{self.base}/{self.made}"
-        self.made += 1
+        path = self.path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

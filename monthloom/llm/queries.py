@@ -12,6 +12,9 @@ from .op07_license import op7_license
 from .op08_minhash import op8_minhash
 from .op09_fingerprint import op9_fingerprint
 from .op10_pack import op10_pack
+from .op11_periodic import op11_periodic
+from .op12_warc import OP12_SQL, op12_warc
+from .op13_negatives import OP13_SQL, op13_negatives
 
 QUERIES = {
     "op1_mix": op1_mix,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_fingerprint": op9_fingerprint,
     "op10_pack": op10_pack,
+    "op11_periodic": op11_periodic,
+    "op12_warc": op12_warc,
+    "op13_negatives": op13_negatives,
 }
 
-ORACLE_SQL = {"op1_mix": OP1_SQL, "op2_lines": OP2_SQL}
+ORACLE_SQL = {"op1_mix": OP1_SQL, "op2_lines": OP2_SQL, "op12_warc": OP12_SQL, "op13_negatives": OP13_SQL}
