@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, MaxAbsScaler, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numeric import clip, clipped_logit, sigmoid
+from ..functions.numeric import clipped_logit
 from ..operators.metrics import auroc, average_precision
 from ..operators.windows import START, rows, with_spells
+from ..scratch import cut
+from .boosting import Settings, boost, predicted
+from .sampling import least
 
 
 def onset_risk(df: DataFrame, state: str, by: list[str], month: str = "ym") -> DataFrame:
@@ -56,23 +58,6 @@ def logistic(features: list[str], c: float, n: int, categories: list[str] = ())
     )
 
 
-def boosted(features: list[str], rounds: int = 20, held_out: str | None = None) -> Pipeline:
-    """Gradient-boosted trees with a capped weight for positives in __w; an approximation of leaf-wise boosting.
-
-    held_out: a boolean column of rows that are not fitted on; rounds stop when their loss no longer falls.
-    """
-    trees = GBTClassifier(featuresCol="__x", labelCol="event", weightCol="__w", maxIter=rounds, maxDepth=4, stepSize=0.1, seed=42)
-    if held_out:
-        trees = trees.setParams(validationIndicatorCol=held_out, validationTol=0.001)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), trees])
-
-
-def boosted_refit(train: DataFrame, features: list[str], held_out: Column, rounds: int = 20):
-    """Rounds chosen on the held-out rows, then a model of as many on all of train."""
-    chosen = boosted(features, rounds, "__held").fit(train.withColumn("__held", held_out)).stages[-1].getNumTrees
-    return boosted(features, max(chosen, 1)).fit(train)
-
-
 def positive_weight(df: DataFrame, cap: float) -> DataFrame:
     rate = df.agg(F.avg("event").alias("__p"))
     w = F.least(F.greatest((1 - F.col("__p")) / F.greatest("__p", F.lit(1e-9)), F.lit(1.0)), F.lit(cap))
@@ -82,24 +67,16 @@ def positive_weight(df: DataFrame, cap: float) -> DataFrame:
 def case_control(df: DataFrame, ident: list[str], per_case: int, seed: int = 42) -> DataFrame:
     """All events and per_case controls for each, the first by MD5 of their idents, weighted back to all controls.
 
-    Controls are counted by the first three digits of the hash; only those of the digits in which the wanted
-    number is reached are ordered.
+    Controls are counted by the first digits of the hash, more digits where more rows share them; only those of the
+    digits in which the wanted number is reached are ordered.
     """
     key = F.md5(F.concat_ws("/", F.lit(str(seed)), *[F.col(c).cast("string") for c in ident]))
-    rows_ = df.withColumns({"__key": key, "__head": F.substring(key, 1, 3)})
     n = df.agg(F.sum("event").cast("long").alias("p"), F.sum(1 - F.col("event")).cast("long").alias("q")).first()
     p, q = n["p"] or 0, n["q"] or 0
-    want, seen, edge, controls = min(p * per_case, q), 0, "", rows_.where("event = 0")
-    for head, k in sorted(map(tuple, controls.groupBy("__head").count().collect())):  # at most 4096 rows
-        edge = head
-        if seen + k > want:
-            break
-        seen += k
-    last = F.row_number().over(Window.orderBy("__key", *ident))
-    few = controls.where(F.col("__head") == edge).withColumn("__r", last).where(F.col("__r") <= want - seen).drop("__r")
-    picked = controls.where(F.col("__head") < edge).unionByName(few) if want < q else controls
+    want = min(p * per_case, q)
+    picked = least(df.where("event = 0").withColumn("__key", F.conv(F.substring(key, 1, 13), 16, 10).cast("double")), "__key", want, ident) if want < q else df.where("event = 0")
     out = df.where("event = 1").withColumn("__w", F.lit(1.0))
-    return out.unionByName(picked.drop("__key", "__head").withColumn("__w", F.lit(q / max(want, 1))))
+    return out.unionByName(picked.drop("__key").withColumn("__w", F.lit(q / max(want, 1))))
 
 
 def scored(model, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -170,23 +147,29 @@ def tune(train: DataFrame, valid: DataFrame, features: list[str], grid: list[flo
 def focal_boost(
     df: DataFrame, features: list[str], rounds: int = 5, gamma: float = 2.0, alpha: float = 0.5, rate: float = 0.3, weight: str | None = None
 ) -> DataFrame:
-    """df with pred after boosting regression trees on the focal loss, Newton steps with a Gauss-Newton curvature.
+    """df with pred after boosting small trees on the focal loss. weight: a column of sample weights; rows where it is null are scored, not fitted on."""
+    settings = Settings(leaves=8, depth=3, rate=rate, least_rows=1, l1=0.0, l2=0.0, columns=1.0, focal=(alpha, gamma))
+    model = boost(df, features, weight=F.col(weight) if weight else None, rounds=rounds, settings=settings)
+    return predicted(model, df)
+
+
+def test_start(rolling_start: int, block_end: int | None) -> int:
+    """First month to test on: never in or before the block that settings were chosen on."""
+    return rolling_start if block_end is None else max(rolling_start, block_end + 1)
+
+
+def tuned_walk_forward(
+    df: DataFrame, features: list[str], grid: list[float], block: tuple[int, int], rolling_start: int, every: int, keep: list[str], month: str = "ym"
+) -> DataFrame | None:
+    """walk_forward from test_start on, with the penalty that is best on a block of months when fitted on those before it; c and start tell what was chosen.
 
-    With q the chance given to what happened, the loss is -a (1 - q)^gamma log q, a being alpha for events
-    and 1 - alpha for others. Each round only adds a narrow map, so the rows are never shuffled. weight: a column of sample
-    weights; rows where it is null are scored, not fitted on.
+    The default of 1 stands where the block or what lies before it has no event.
     """
-    y = F.col("event") == 1
-    given = F.col(weight) if weight else F.lit(1.0)
-    out = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep").transform(df).withColumn("__m", F.lit(0.0))
-    tree = DecisionTreeRegressor(featuresCol="__x", labelCol="__t", weightCol="__h", predictionCol="__step", maxDepth=3)
-    for _ in range(rounds):
-        p = clip(sigmoid(F.col("__m")), 1e-6, 1 - 1e-6)
-        q = F.when(y, p).otherwise(1 - p)
-        w = F.when(y, alpha).otherwise(1 - alpha) * F.pow(1 - q, F.lit(gamma))
-        slope = w * (gamma * q * F.log(q) - (1 - q)) * F.when(y, 1.0).otherwise(-1.0)
-        curve = F.greatest(w * q * (1 - q), F.lit(1e-6))
-        step = out.withColumns({"__h": curve * given, "__t": clip(-slope / curve, -4.0, 4.0)})
-        model = tree.fit(step.where("__h is not null"))
-        out = model.transform(step).withColumn("__m", F.col("__m") + rate * F.col("__step")).drop("__h", "__t", "__step")
-    return out.withColumn("pred", sigmoid(F.col("__m"))).drop("__m", "__x")
+    df = cut(df)
+    train, valid = df.where(F.col(month) < block[0]), df.where(F.col(month).between(*block))
+    has = lambda d: d.where("event = 1").limit(1).count() > 0
+    c = tune(train, valid, features, grid).first()["c"] if has(train) and has(valid) else 1.0
+    start = test_start(rolling_start, block[1])
+    origins = sorted(r[0] for r in df.where(F.col(month) >= start).select(month).distinct().collect())  # months
+    out = walk_forward(df, features, origins, every, keep, month, c)
+    return out if out is None else out.withColumns({"c": F.lit(c), "start": F.lit(start)})

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import names as N
 from ..functions.fuzzy import indel_ratio, pairs_of_letters, sorted_tokens, token_set_ratio, tokens
+from ..scratch import cut
 from .spine import expand_interval
 from .windows import first_by
 
@@ -58,10 +59,6 @@ def two_tier(left: DataFrame, right: DataFrame, exact: str, loose: str, value: s
     return out.withColumns({value: F.coalesce("__a", "__b"), "tier": tiers}).drop("__a", "__b")
 
 
-#: Names up to this long are compared with each other outright; longer ones must share letters.
-SHORT = 8
-
-
 def _rarest(names: DataFrame, counts: DataFrame, key: str, text: str, floor: float) -> DataFrame:
     """(key, gram): of a name's pairs of letters, the rarest ones, so many that a similar name holds one of its own rarest among them."""
     grams = names.select(key, text, F.explode(pairs_of_letters(F.col(text))).alias("gram")).join(counts, "gram")
@@ -71,31 +68,89 @@ def _rarest(names: DataFrame, counts: DataFrame, key: str, text: str, floor: flo
     return few.select(key, F.explode(F.slice("g", F.lit(1), F.greatest(n - F.greatest(shared, F.lit(1)) + 1, F.lit(1)).cast("int"))).alias("g")).select(key, "g.gram")
 
 
-def fuzzy_best(left: DataFrame, right: DataFrame, name: str, choice: str, cutoff: float, scorer: str = "sort") -> DataFrame:
-    """Best choice by the ratio of sorted tokens (or of token sets), at least cutoff, above 80; ties take the first name.
+def _edits(la: Column, lb: Column, cutoff: float) -> Column:
+    """Letters to insert or delete, at most, between strings of these lengths whose ratio reaches the cutoff; of their parity."""
+    loose, total = 10_000 - round(100 * cutoff), la + lb
+    most = F.floor(loose * total / 10_000).cast("int")
+    return most - (total - most) % 2
+
+
+def _lengths(n: Column, cutoff: float) -> Column:
+    """Lengths that a string of length n can be similar to."""
+    c = round(100 * cutoff)
+    return F.sequence(F.ceil(n * c / (20_000 - c)).cast("int"), F.floor(n * (20_000 - c) / c).cast("int"))
+
+
+def _segments(length: Column, edits: Column) -> Column:
+    """(i, start, size) of edits + 1 even parts of a string, from 0; later parts are the longer ones."""
+    size, more = F.floor(length / (edits + 1)).cast("int"), length % (edits + 1)
+    short = edits + 1 - more
+    start = lambda i: i * size + F.greatest(i - short, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), edits), lambda i: F.struct(i.alias("i"), start(i).alias("start"), (size + (i >= short).cast("int")).alias("size")))
+
 
-    No pair that reaches the cutoff is missed. Of strings whose lengths sum to s, those with ratio c have
-    c * s / 2 letters in common order; leaving the others out breaks at most 2 pairs of neighbours each in one and
-    inserting them 1, so (3 c / 2 - 1) * s - 1 pairs stay common, and s is at least (1 + c / (2 - c)) times
-    the length of either. Of their pairs of letters in any one order, here the rarest first, the first few of both
-    therefore share one. Short names, which need not share any, meet each other. Token sets also meet by a token.
+def similar_pairs(a: DataFrame, b: DataFrame, x: str, y: str, cutoff: float) -> DataFrame:
+    """(x, y) of all pairs of strings whose indel ratio may reach the cutoff (50 or more): none that does is missed.
+
+    Two strings with at most e insertions and deletions between them: of e + 1 parts of the one, an edit spoils one at most,
+    so one part stands in the other, shifted by no more letters than were inserted or deleted before it, and after it. So
+    each y is laid down by its parts for each possible e, and each x looks parts up at these places only.
+    """
+    if cutoff < 50:
+        raise ValueError("a cutoff below 50 would ask for parts of no letters")
+    n = F.length
+    kept = b.select(y).distinct().where(n(y) > 0)
+    kept = kept.select(y, n(y).alias("len"), F.explode(F.array_distinct(F.transform(_lengths(n(y), cutoff), lambda m: _edits(m, n(y), cutoff)))).alias("e"))
+    kept = kept.select(y, "len", "e", F.explode(_segments(F.col("len"), F.col("e"))).alias("p"))
+    kept = kept.select(y, "len", "e", "p.i", F.col(y).substr(F.col("p.start") + 1, F.col("p.size")).alias("part"))
+    tried = a.select(x).distinct().where(n(x) > 0).select(x, F.explode(_lengths(n(x), cutoff)).alias("len"))
+    tried = tried.withColumn("e", _edits(n(x), F.col("len"), cutoff)).withColumn("p", F.explode(_segments(F.col("len"), F.col("e"))))
+    i, gap, e = F.col("p.i"), n(x) - F.col("len"), F.col("e")
+    low, high = F.greatest(-i, gap - (e - i), -F.col("p.start")), F.least(i, gap + (e - i), n(x) - F.col("p.start") - F.col("p.size"))
+    tried = tried.withColumns({"low": low, "high": high}).where("low <= high").withColumn("shift", F.explode(F.sequence("low", "high")))
+    tried = tried.select(x, "len", "e", "p.i", F.col(x).substr(F.col("p.start") + F.col("shift") + 1, F.col("p.size")).alias("part"))
+    return tried.distinct().join(kept, ["len", "e", "i", "part"]).select(x, y).distinct()
+
+
+def _token_prefixes(names: DataFrame, counts: DataFrame, key: str, share: float) -> DataFrame:
+    """(key, token): the rarest tokens, so many that without them less than share of a name's letters is left."""
+    t = names.select(key, F.explode(F.array_distinct(tokens(F.col(key)))).alias("token")).join(counts, "token")
+    held = t.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("g"), (F.sum(F.length("token")) + F.count("*") - 1).alias("size"))
+    # letters and blanks of the tokens from i on
+    rest = lambda i: F.aggregate(F.slice("g", i + 1, F.size("g")), F.lit(-1).cast("long"), lambda s, x: s + F.length(x["token"]) + 1)
+    need = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: rest(i) >= share * F.col("size"))
+    return held.select(key, F.explode(F.transform(need, lambda i: F.get("g", i)["token"])).alias("token"))
+
+
+def fuzzy_best(left: DataFrame, right: DataFrame, name: str, choice: str, cutoff: float, scorer: str = "sort") -> DataFrame:
+    """Best choice by the ratio of sorted tokens (or of token sets), at least cutoff; ties take the first name.
+
+    No pair that reaches the cutoff is missed. Sorted tokens meet by their parts (similar_pairs). Token sets meet in one
+    of two ways. Either the tokens in common are most letters of one side; then they hold one of the rarest tokens of that
+    side, without which too few letters are left. Or both wholes are similar, whatever the order of their tokens: of
+    strings whose lengths sum to s, those with ratio c have c * s / 2 letters in common order; leaving the others out
+    breaks at most 2 pairs of neighbours each in one and inserting them 1, so (3 c / 2 - 1) * s - 1 pairs stay common,
+    and s is at least (1 + c / (2 - c)) times the length of either; so the rarest pairs of letters of both share one.
     """
     c = cutoff / 100
-    floor = (1.5 * c - 1) * (1 + c / (2 - c))
-    a = left.select(name).distinct().withColumn("__a", sorted_tokens(F.col(name)))
-    b = right.select(choice).distinct().withColumn("__b", sorted_tokens(F.col(choice)))
-    texts = a.select(F.col("__a").alias("x")).unionByName(b.select(F.col("__b").alias("x")))
-    counts = texts.select(F.explode(pairs_of_letters(F.col("x"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    met = _rarest(a, counts, name, "__a", floor).join(_rarest(b, counts, choice, "__b", floor), "gram").select(name, choice)
-    brief = lambda d, x: d.where(F.length(x) <= SHORT)
-    near = brief(a, "__a").withColumn("__k", F.explode(F.sequence(F.length("__a") - SHORT, F.length("__a") + SHORT)))
-    met = met.unionByName(near.join(brief(b, "__b").withColumn("__k", F.length("__b")), "__k").select(name, choice))
+    a = cut(left.select(name).distinct().withColumn("__a", sorted_tokens(F.col(name))))
+    b = cut(right.select(choice).distinct().withColumn("__b", sorted_tokens(F.col(choice))))
+    met = similar_pairs(a, b, "__a", "__b", cutoff)
     if scorer == "set":
-        word = lambda d, k: d.select(k, F.explode(F.array_distinct(tokens(F.col(k)))).alias("__t"))
-        met = met.unionByName(word(a, name).join(word(b, choice), "__t").select(name, choice))
-    score = token_set_ratio if scorer == "set" else indel_ratio
-    scored = met.distinct().join(a, name).join(b, choice).withColumn("score", score(F.col("__a"), F.col("__b")))
-    best = first_by(scored.where(F.col("score") >= cutoff).drop("__a", "__b"), [name], F.col("score").desc(), F.col(choice))
+        floor = (1.5 * c - 1) * (1 + c / (2 - c))
+        texts = a.select(F.col("__a").alias("x")).unionByName(b.select(F.col("__b").alias("x")))
+        counts = texts.select(F.explode(pairs_of_letters(F.col("x"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+        grams = lambda d, k: _rarest(d.select(k).distinct(), counts, k, k, floor)
+        met = met.unionByName(grams(a.withColumnRenamed("__a", "__x").select("__x"), "__x").withColumnRenamed("__x", "__a").join(grams(b, "__b"), "gram").select("__a", "__b"))
+        words = cut(texts.select(F.explode(F.array_distinct(tokens(F.col("x")))).alias("token")).groupBy("token").agg(F.count("*").alias("n")))
+        every = lambda d, k: d.select(k, F.explode(F.array_distinct(tokens(F.col(k)))).alias("token"))
+        for one, two in ((("__a", a), ("__b", b)), (("__b", b), ("__a", a))):
+            few = _token_prefixes(one[1].select(one[0]).distinct(), words, one[0], c / (2 - c))
+            met = met.unionByName(few.join(every(two[1].select(two[0]).distinct(), two[0]), "token").select("__a", "__b"))
+    score = token_set_ratio(F.col("__a"), F.col("__b")) if scorer == "set" else indel_ratio(F.col("__a"), F.col("__b"), cutoff)
+    scored = met.distinct().withColumn("score", score).where(F.col("score") >= cutoff)
+    scored = scored.join(a, "__a").join(b, "__b")
+    best = first_by(scored.drop("__a", "__b"), [name], F.col("score").desc(), F.col(choice))
     return left.join(best, name, "left")
 
 
@@ -177,41 +232,46 @@ def match_names(names: DataFrame, panel: DataFrame, aliases: DataFrame | None =
     low = F.regexp_replace(F.lower(F.trim(F.col(name))), r"\s+", " ")
     n = names.select(name).where(F.col(name).isNotNull()).distinct()
     plain = N.squeeze(F.regexp_replace(low, r"\([^)]*\)", ""))
-    n = n.withColumns({"__low": low, "__plain": plain, "__base": N.base_name(N.squeeze(F.col(name)))})
-    forms = panel.select(F.lower(F.trim(F.col(target))).alias("__key"), F.col(target).alias("target"), F.col(form).alias("form")).distinct()
-    keys = forms.select("__key").distinct()
-    base = F.col("__base")
-    hit = lambda no, key, extra=None: n.select(name, key.alias("__key")).join(keys, "__key").select(name, "__key", F.lit(no).alias("pass_no"))
-    found = hit(2, F.col("__plain")).unionByName(hit(3, F.col("__low"))).unionByName(hit(4, base))
-    found = found.unionByName(hit(5, F.when(base.contains("/"), F.regexp_replace(base, r"\s*/\s*", " and "))))
-    if aliases is not None:
-        short = lambda c: F.trim(F.regexp_replace(c, r"\s+\d+\s*(mg|mcg|ml|%)\b.*$", ""))
-        tries = F.array("__low", "__plain", short(F.col("__low")), short(F.col("__plain")))
-        tried = n.select(name, F.posexplode(tries).alias("__try", "alias")).join(aliases.select("alias", F.col("target").alias("__key")), "alias")
-        first = first_by(tried, [name], F.col("__try")).select(name, "__key")
-        found = found.unionByName(first.join(keys, "__key").select(name, "__key", F.lit(1).alias("pass_no")))
-    # every run of words that begins a target
-    words = F.split("__key", " ")
-    heads = keys.select("__key", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))).alias("__base"))
-    begun = n.where(F.length(base) >= 4).select(name, "__base").join(heads, "__base").where(F.col("__base").contains(" and ") | ~F.col("__key").contains(" and "))
-    found = found.unionByName(begun.select(name, "__key", F.lit(6).alias("pass_no")))
+    n = cut(n.withColumns({"low": low, "plain": plain, "base": N.base_name(N.squeeze(F.col(name)))}))
+    forms = panel.select(F.lower(F.trim(F.col(target))).alias("key"), F.col(target).alias("target"), F.col(form).alias("form")).distinct()
+    keys = cut(forms.select("key").distinct())
+    # what a name may look up: (kind of entry, text, pass, order within the pass)
+    probe = lambda kind, text, no, at=0: F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(no).alias("pass_no"), F.lit(at).alias("at"))
+    base, at_dose = F.col("base"), r"\s+\d+\s*(mg|mcg|ml|%)\b.*$"
     bare = F.trim(F.regexp_replace(base, r"\s+(" + "|".join(N.SALT_TAILS) + r")\s*$", ""))
-    found = found.unionByName(hit(7, F.when(bare != base, bare)))
-    salted = F.transform(F.array(*map(F.lit, N.ADDED_SALTS)), lambda x: F.concat(base, F.lit(" "), x))
-    tried = n.select(name, F.posexplode(salted).alias("__try", "__key")).join(keys, "__key")
-    found = found.unionByName(first_by(tried, [name], F.col("__try")).select(name, "__key", F.lit(8).alias("pass_no")))
-    held = keys.select("__key", _words(F.col("__key"), ",()").alias("__theirs"))
-    own = n.select(name, _words(F.when(base != "", base).otherwise(F.col("__low")), ",/()-").alias("__own")).where(F.size("__own") > 0)
-    rare = F.array_except("__own", F.array(*map(F.lit, COMMON_WORDS)))
-    pairs = own.select(name, "__own", F.explode(F.when(F.size(rare) > 0, rare).otherwise(F.col("__own"))).alias("__t"))
-    pairs = pairs.join(held.withColumn("__t", F.explode("__theirs")), "__t").select(name, "__key", "__own", "__theirs").distinct()
-    share = F.size(F.array_intersect("__own", "__theirs")) / F.greatest(F.size("__own"), F.size("__theirs"))
-    top = F.max("__share").over(Window.partitionBy(name))
-    pairs = pairs.withColumn("__share", share).withColumn("__top", top)
-    enough = F.col("__top") >= F.when(F.size("__own") >= 2, 0.67).otherwise(1.0)
-    found = found.unionByName(pairs.where((F.col("__share") == F.col("__top")) & enough).select(name, "__key", F.lit(9).alias("pass_no")))
-    first = F.min("pass_no").over(Window.partitionBy(name))
-    hits = found.withColumn("__f", first).where("pass_no = __f").select(name, "__key", "pass_no").distinct().join(forms, "__key")
-    hints = n.select(name, N.form_hints(F.col("__low")).alias("__hints"))
-    hits = hits.join(hints, name)
+    tries = [
+        *[probe("alias", x, 1, i) for i, x in enumerate((F.col("low"), F.col("plain"), F.trim(F.regexp_replace("low", at_dose, "")), F.trim(F.regexp_replace("plain", at_dose, ""))))],
+        probe("key", F.col("plain"), 2),
+        probe("key", F.col("low"), 3),
+        probe("key", base, 4),
+        probe("key", F.when(base.contains("/"), F.regexp_replace(base, r"\s*/\s*", " and ")), 5),
+        probe("head", F.when(F.length(base) >= 4, base), 6),
+        probe("key", F.when(bare != base, bare), 7),
+        *[probe("key", F.concat(base, F.lit(f" {salt}")), 8, i) for i, salt in enumerate(N.ADDED_SALTS)],
+    ]
+    own = _words(F.when(base != "", base).otherwise(F.col("low")), ",/()-")
+    rare = F.array_except("own", F.array(*map(F.lit, COMMON_WORDS)))
+    words = F.transform(F.when(F.size(rare) > 0, rare).otherwise(F.col("own")), lambda w: F.struct(F.lit("word").alias("kind"), w.alias("text"), F.lit(9).alias("pass_no"), F.lit(0).alias("at")))
+    asked = n.withColumn("own", own).select(name, "base", "own", F.explode(F.concat(F.array(*tries), words)).alias("x")).select(name, "base", "own", "x.*").where(F.col("text").isNotNull())
+    # what can be found: keys, every run of words that begins one, their words, and aliases with or without a key
+    theirs, parts = _words(F.col("key"), ",()"), F.split("key", " ")
+    entry = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: entry("head", F.array_join(F.slice(parts, F.lit(1), i), " ")))
+    entries = F.concat(F.array(entry("key", F.col("key"))), heads, F.transform(theirs, lambda w: entry("word", w)))
+    index = keys.select("key", theirs.alias("theirs"), F.lit(True).alias("known"), F.explode(entries).alias("x")).select("x.*", "key", "theirs", "known")
+    if aliases is not None:
+        named = aliases.select(F.lit("alias").alias("kind"), F.col("alias").alias("text"), F.col("target").alias("key"), F.lit(None).cast("array<string>").alias("theirs"))
+        index = index.unionByName(named.join(keys.withColumn("known", F.lit(True)), "key", "left"), allowMissingColumns=True)
+    found = asked.join(index, ["kind", "text"])
+    found = found.where((F.col("pass_no") != 6) | base.contains(" and ") | ~F.col("key").contains(" and "))
+    share = F.size(F.array_intersect("own", "theirs")) / F.greatest(F.size("own"), F.size("theirs"))
+    found = found.withColumn("at", F.when(F.col("pass_no") == 9, -share).otherwise(F.col("at")))
+    found = found.where((F.col("pass_no") != 9) | (-F.col("at") >= F.when(F.size("own") >= 2, 0.67).otherwise(1.0)))
+    each = Window.partitionBy(name)
+    # the first alias decides, even if its target is unknown
+    alias = F.min(F.when(F.col("pass_no") == 1, F.col("at"))).over(each)
+    found = found.withColumn("__a", alias).where((F.col("pass_no") != 1) | ((F.col("at") == F.col("__a")) & F.coalesce("known", F.lit(False))))
+    order = F.struct("pass_no", "at")
+    found = found.withColumn("__first", F.min(order).over(each)).where(order == F.col("__first")).select(name, "key", "pass_no")
+    hits = found.join(forms, "key").join(n.select(name, N.form_hints(F.col("low")).alias("__hints")), name)
     return keep_hits(hits, [name], F.exists("__hints", lambda h: F.upper(F.col("form")).contains(h))).select(name, "target", "form", "pass_no").distinct()

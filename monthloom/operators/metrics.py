@@ -1,7 +1,8 @@
 """Exact ranking and calibration metrics.
 
-Everything is reduced to (group, score) cells first. Sums along the score run within ranges of scores, which
-many tasks share, and over the ranges' totals, which are few; so no task orders all scores of a large group.
+Everything is reduced to (group, score) cells first, which are written once. Sums along the score run within ranges of
+scores, which many tasks share, and over the ranges' totals, which are few; so no task orders all scores of a large group.
+All metrics of a group come from one such pass: what lies above a score is the group's total without what lies below.
 """
 
 from __future__ import annotations
@@ -10,55 +11,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import cut
+
 
 def cells(df: DataFrame, by: list[str], score: str = "score", event: str = "event") -> DataFrame:
     return df.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(event).cast("long").alias("pos"))
 
 
-#: Ranges of scores along which sums run.
-RANGES = 64
-
-
-def before(c: DataFrame, by: list[str], value: str, descending: bool = False, score: str = "score") -> DataFrame:
-    """c with before: the sum of value over cells of the group with a lower (descending: higher) score."""
-    edges = c.agg(F.percentile_approx(score, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(1000)).alias("__edges"))
-    at = F.size(F.filter("__edges", lambda e: e < F.col(score)))  # equal scores are in one range
-    c = c.join(F.broadcast(edges), F.lit(True)).withColumn("__range", -at if descending else at).drop("__edges")
-    order = F.desc(score) if descending else F.asc(score)
-    within = Window.partitionBy(*by, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = c.groupBy(*by, "__range").agg(F.sum(value).alias("__t"))
-    totals = totals.select(*by, "__range", F.coalesce(F.sum("__t").over(upto), F.lit(0)).alias("__t"))
-    c = c.withColumn("before", F.coalesce(F.sum(value).over(within), F.lit(0))).join(totals, [*by, "__range"])
-    return c.withColumn("before", F.col("before") + F.col("__t")).drop("__t", "__range")
+#: Cells in a range of scores, about, and ranges at most.
+RANGE_CELLS, MOST_RANGES = 250_000, 512
+
+
+def running(c: DataFrame, by: list[str], values: list[str], score: str = "score") -> DataFrame:
+    """c with below_x, the sum of x over cells of the group with a lower score, and all_x, the group's sum, for each value x."""
+    c = cut(c)
+    most = c.count() // RANGE_CELLS + 1
+    before = Window.unboundedPreceding, -1
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    if most == 1:
+        w = Window.partitionBy(*by).orderBy(score).rowsBetween(*before)
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return c.withColumns({f"below_{x}": zero(F.sum(x).over(w)) for x in values} | {f"all_{x}": F.sum(x).over(whole) for x in values})
+    ranges = min(most, MOST_RANGES)
+    edges = c.agg(F.percentile_approx(score, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10 * ranges))).first()[0] or []
+    place = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < F.col(score)))  # equal scores are in one range
+    c = c.withColumn("__range", place)
+    w = Window.partitionBy(*by).orderBy("__range")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = c.groupBy(*by, "__range").agg(*[F.sum(x).alias(f"__{x}") for x in values])
+    sums = {f"__b_{x}": zero(F.sum(f"__{x}").over(w.rowsBetween(*before))) for x in values} | {f"all_{x}": F.sum(f"__{x}").over(whole) for x in values}
+    totals = totals.withColumns(sums).drop(*[f"__{x}" for x in values])
+    w = Window.partitionBy(*by, "__range").orderBy(score).rowsBetween(*before)
+    c = c.withColumns({f"below_{x}": zero(F.sum(x).over(w)) for x in values})
+    same = [c[b].eqNullSafe(totals[b]) for b in (*by, "__range")]
+    out = c.join(totals, same).drop(*[totals[b] for b in (*by, "__range")])
+    return out.withColumns({f"below_{x}": F.col(f"below_{x}") + F.col(f"__b_{x}") for x in values}).drop("__range", *[f"__b_{x}" for x in values])
+
+
+def ranked(c: DataFrame, by: list[str]) -> DataFrame:
+    """Cells (by, score, n, pos) with what the metrics below need; n and pos may be weighted."""
+    return running(c.withColumn("neg", F.col("n") - F.col("pos")), by, ["pos", "neg"])
+
+
+def ranking(r: DataFrame, by: list[str]) -> DataFrame:
+    """(by, positives, negatives, auroc, ap, lift, brier) of ranked cells.
+
+    auroc counts ties half and is null for a single class; ap, the step-wise average precision, is null without
+    positives; lift is ap over the rate of positives.
+    """
+    pos, neg = F.col("pos"), F.col("neg")
+    at_least = lambda x: F.col(f"all_{x}") - F.col(f"below_{x}")
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
+    out = r.groupBy(*by).agg(
+        F.sum("pos").alias("positives"),
+        F.sum("neg").alias("negatives"),
+        F.sum(2 * pos * F.col("below_neg") + pos * neg).alias("__u2"),
+        F.sum(F.when(pos > 0, pos * at_least("pos") / (at_least("pos") + at_least("neg"))).otherwise(0.0)).alias("__s"),
+        F.sum(pos * (1 - s) * (1 - s) + neg * s * s).alias("__loss"),
+    )
+    p, q = F.col("positives"), F.col("negatives")
+    ap = F.when(p > 0, F.col("__s") / p)
+    auroc_ = F.when((p > 0) & (q > 0), F.col("__u2") / (2 * p * q))
+    return out.select(*by, "positives", "negatives", auroc_.alias("auroc"), ap.alias("ap"), (ap / (p / (p + q))).alias("lift"), (F.col("__loss") / (p + q)).alias("brier"))
 
 
 def auroc(df: DataFrame, by: list[str]) -> DataFrame:
     """Mid-rank AUROC per group, null for a single class."""
-    return auroc_of(cells(df, by), by)
-
-
-def auroc_of(c: DataFrame, by: list[str]) -> DataFrame:
-    """auroc of cells (by, score, n, pos); n and pos may be weighted."""
-    c = before(c.withColumn("neg", F.col("n") - F.col("pos")), by, "neg").groupBy(*by).agg(
-        F.sum("pos").alias("p"),
-        F.sum("neg").alias("q"),
-        F.sum(2 * F.col("pos") * F.col("before") + F.col("pos") * F.col("neg")).alias("u2"),
-    )
-    return c.select(*by, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u2") / (2 * F.col("p") * F.col("q"))).alias("auroc"))
+    return ranking(ranked(cells(df, by), by), by).select(*by, "auroc")
 
 
 def average_precision(df: DataFrame, by: list[str]) -> DataFrame:
     """Step-wise average precision per group, null without positives."""
-    return precision_of(cells(df, by), by)
-
-
-def precision_of(c: DataFrame, by: list[str]) -> DataFrame:
-    """average_precision of cells (by, score, n, pos)."""
-    c = before(c, by, "pos", True).withColumnRenamed("before", "cp")
-    c = before(c, by, "n", True).withColumns({"cp": F.col("cp") + F.col("pos"), "cn": F.col("before") + F.col("n")})
-    c = c.where("cn > 0").groupBy(*by).agg(F.sum(F.col("pos") * F.col("cp") / F.col("cn")).alias("s"), F.sum("pos").alias("p"))
-    return c.select(*by, F.when(F.col("p") > 0, F.col("s") / F.col("p")).alias("ap"))
+    return ranking(ranked(cells(df, by), by), by).select(*by, "ap")
 
 
 def brier(by: list[str]) -> tuple[Column, ...]:
@@ -66,24 +90,55 @@ def brier(by: list[str]) -> tuple[Column, ...]:
     return (F.avg(e * e).alias("brier"),)
 
 
-def quantile_bins(df: DataFrame, bins: int = 10, score: str = "score") -> DataFrame:
-    """Adds bin: place between the distinct quantile edges of the score, the last bin closed."""
-    cuts = F.percentile(score, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
-    edges = df.agg(F.array_distinct(cuts).alias("__e"))  # one row of bins + 1 numbers
-    inner = F.filter("__e", lambda x: (x > F.element_at("__e", 1)) & (x < F.element_at("__e", -1)))
-    at = F.size(F.filter(inner, lambda x: x <= F.col(score)))
-    return df.join(F.broadcast(edges), F.lit(True)).withColumn("bin", at.cast("int")).drop("__e")
+def quantile_edges(r: DataFrame, by: list[str], bins: int) -> DataFrame:
+    """(by, edges): the distinct quantiles i / bins of each group's scores, interpolated between neighbours, ascending.
+
+    r: ranked cells with whole-numbered n. A quantile lies between the rows of two ranks; a cell says which of these it
+    holds, so no more than two rows per quantile meet, and none but the ranked cells are read.
+    """
+    total = F.col("all_pos") + F.col("all_neg")
+    below = F.col("below_pos") + F.col("below_neg")
+    rank = lambda i: F.floor(((total - 1) * F.floor(i / 2) + i % 2 * (bins - 1)) / bins)
+    here = lambda i: (rank(i) >= below) & (rank(i) < below + F.col("n"))
+    hits = r.where("n > 0").withColumn("__i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(2 * bins + 1)), here)))
+    # entry 2 i is the value at the rank below quantile i, entry 2 i + 1 that at the rank above
+    held = hits.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("__i", "score"))).alias("__v"), F.max(total).alias("__n"))
+    part = lambda i: ((F.col("__n") - 1) * i % bins) / bins
+    value = lambda i: F.col("__v")[2 * i] + (F.col("__v")[2 * i + 1] - F.col("__v")[2 * i]) * part(i)
+    return held.select(*by, F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(bins)), value))).alias("edges"))
+
+
+def bin_of(edges: str, score: str = "score") -> Column:
+    """Place of a score between edges, the last bin closed."""
+    inner = F.filter(edges, lambda x: (x > F.element_at(edges, 1)) & (x < F.element_at(edges, -1)))
+    return F.size(F.filter(inner, lambda x: x <= F.col(score))).cast("int")
+
+
+def binned(r: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
+    """(by, bin, n, mean_score, rate): quantile bins of ranked cells."""
+    edges = quantile_edges(r, by, bins)
+    same = F.lit(True)
+    for b in by:
+        same = same & r[b].eqNullSafe(edges[b])
+    out = r.join(F.broadcast(edges) if not by else edges, same).drop(*[edges[b] for b in by])
+    n = F.sum("n")
+    return out.groupBy(*by, bin_of("edges").alias("bin")).agg(
+        n.alias("n"), (F.sum(F.col("n") * F.col("score")) / n).alias("mean_score"), (F.sum("pos") / n).alias("rate")
+    )
 
 
 def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
-    return quantile_bins(df, bins).groupBy("bin").agg(
-        F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.avg("event").alias("rate")
-    )
+    return binned(ranked(cells(df, []), []), [], bins)
+
+
+def ece_of(r: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
+    """(by, ece): mean distance of rate and mean score over quantile bins, by their rows."""
+    gap = F.col("n") * F.abs(F.col("mean_score") - F.col("rate"))
+    return binned(r, by, bins).groupBy(*by).agg((F.sum(gap) / F.sum("n")).alias("ece"))
 
 
 def ece(df: DataFrame, bins: int = 10) -> DataFrame:
-    c = calibration(df, bins)
-    return c.agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("rate"))) / F.sum("n")).alias("ece"))
+    return ece_of(ranked(cells(df, []), []), [], bins)
 
 
 def budget(df: DataFrame, by: list[str], ks: list[int], ident: str) -> DataFrame:
@@ -102,52 +157,118 @@ def harrell_c(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     Cells are dealt to the event times at or before their own, which are as few as there are periods; within a time,
     later subjects with less risk are a running sum.
     """
-    c = df.groupBy(F.col(time).alias("t"), F.col(risk).alias("score")).agg(F.count("*").alias("n"), F.sum(event).cast("long").alias("e"))
-    times = c.where("e > 0").agg(F.collect_set("t").alias("__times"))  # one row
-    at = c.join(F.broadcast(times), F.lit(True)).withColumn("at", F.explode(F.filter("__times", lambda x: x <= F.col("t"))))
+    c = cut(df.groupBy(F.col(time).alias("t"), F.col(risk).alias("score")).agg(F.count("*").alias("n"), F.sum(event).cast("long").alias("e")))
+    times = [r[0] for r in c.where("e > 0").select("t").distinct().collect()]  # periods
+    at = c.withColumn("at", F.explode(F.filter(F.array(*map(F.lit, sorted(times))) if times else F.array().cast("array<long>"), lambda x: x <= F.col("t"))))
     later = F.col("t") > F.col("at")
     at = at.groupBy("at", "score").agg(F.sum(F.when(later, F.col("n")).otherwise(0)).alias("later"), F.sum(F.when(later, 0).otherwise(F.col("e"))).alias("e"))
-    totals = at.groupBy("at").agg(F.sum("later").alias("all"))
-    x = before(at, ["at"], "later").join(F.broadcast(totals), "at")  # one row per period
-    won = F.col("e") * (2 * F.col("before") + F.col("later"))
-    return x.agg((F.sum(won) / (2 * F.sum(F.col("e") * F.col("all")))).alias("c_index"), F.sum(F.col("e") * F.col("all")).alias("pairs"))
+    x = running(at, ["at"], ["later"])
+    won, pairs = F.col("e") * (2 * F.col("below_later") + F.col("later")), F.sum(F.col("e") * F.col("all_later"))
+    return x.agg((F.sum(won) / (2 * pairs)).alias("c_index"), pairs.alias("pairs"))
+
+
+def digest(*parts: Column | str) -> Column:
+    """MD5 of values joined by slashes."""
+    return F.md5(F.concat_ws("/", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]))
+
+
+def numbered(df: DataFrame, key: str, name: str = "place") -> DataFrame:
+    """(key, place) of the distinct keys, from 0 in the order of their MD5s.
+
+    Keys are counted by the first three digits of the hash, at most 4096 numbers, and ordered within these.
+    """
+    d = cut(df.select(key).distinct().withColumn("__h", F.md5(F.col(key).cast("string"))).withColumn("__head", F.substring("__h", 1, 3)))
+    before, n = [], 0
+    for head, k in sorted(map(tuple, d.groupBy("__head").count().collect())):
+        before.append((head, n))
+        n += k
+    start = F.broadcast(d.sparkSession.createDataFrame(before, "__head string, __n long"))
+    place = F.row_number().over(Window.partitionBy("__head").orderBy("__h", key)) - 1
+    return d.join(start, "__head").select(key, (F.col("__n") + place).cast("long").alias(name))
+
+
+def draws(df: DataFrame, cluster: str, replicates: int, seed: int = 42) -> DataFrame:
+    """(replicate, cluster, w): how often each replicate draws a cluster, as many draws as clusters, with replacement.
+
+    Draw i of a replicate takes the cluster whose place is an MD5 of seed, replicate and i modulo their number, so the
+    counts are multinomial and any engine can repeat them.
+    """
+    places = cut(numbered(df, cluster))
+    n = places.count()
+    made = df.sparkSession.range(replicates * n).select((F.col("id") % n).alias("__i"), F.expr(f"id div {max(n, 1)}").alias("replicate"))
+    at = F.conv(F.substring(digest(str(seed), F.col("replicate"), F.col("__i")), 1, 15), 16, 10).cast("long") % n
+    w = made.groupBy("replicate", at.alias("place")).agg(F.count("*").alias("w"))
+    return w.join(places, "place").select("replicate", cluster, "w")
+
+
+def stacked(df: DataFrame, keep: list[str], models: list[str]) -> DataFrame:
+    """(keep, model, score): a row for each model's column."""
+    one = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).cast("double").alias("score")) for m in models])
+    return df.select(*keep, F.explode(one).alias("__x")).select(*keep, "__x.*")
+
+
+METRICS = ("auroc", "ap", "brier", "ece", "precision_at_k")
+
+
+def _five(c: DataFrame, top: DataFrame, by: list[str]) -> DataFrame:
+    r = cut(ranked(c, by))
+    return ranking(r, by).join(ece_of(r, by), by).join(top, by)
+
+
+def monthly_precision(rows: DataFrame, weights: DataFrame, cluster: str, month: str, ident: str, k: int) -> DataFrame:
+    """(replicate, model, precision_at_k): events among the first k of each month, over what is reviewed in all months.
+
+    A row stands in a replicate as often as its cluster is drawn. The first 4 k rows of a month nearly always suffice;
+    where the replicate draws too few of them, the month is gone through whole.
+    """
+    order = Window.partitionBy("model", month).orderBy(F.desc("score"), ident)
+    rows = cut(rows.select(cluster, month, ident, "event", "model", "score"))
+    first = cut(rows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= 4 * k))
+    by = ["replicate", "model", month]
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), ident).rowsBetween(Window.unboundedPreceding, -1)
 
+    def taken(some: DataFrame) -> DataFrame:
+        d = some.withColumn("__t", F.greatest(F.lit(0), F.least(F.col("w"), k - F.coalesce(F.sum("w").over(w), F.lit(0)))))
+        return d.groupBy(*by).agg(F.sum("__t").alias("reviewed"), F.sum(F.col("__t") * F.col("event")).alias("hits"))
 
-def poisson_weight(key: Column) -> Column:
-    """Poisson(1) number of a text, by inversion of the first 32 bits of its MD5."""
-    u = (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
-    return sum(((u > s).cast("int") for s in POISSON), F.lit(0))
+    got = cut(taken(first.join(weights, cluster)))
+    long = rows.groupBy("model", month).count().where(F.col("count") > 4 * k).drop("count")
+    full = got.where(F.col("reviewed") >= k)
+    if long.limit(1).count():
+        open_ = weights.select("replicate").distinct().join(F.broadcast(long), F.lit(True)).join(full, by, "left_anti")
+        again = taken(rows.join(F.broadcast(long), ["model", month]).join(weights, cluster).join(open_, by))
+        got = got.join(open_, by, "left_anti").unionByName(again)
+    return got.groupBy("replicate", "model").agg((F.sum("hits") / F.sum("reviewed")).alias("precision_at_k"))
 
 
-#: Chances of at most 0, 1, 2 ... under Poisson(1).
-POISSON = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183,
-    0.9999167588507119, 0.9999897508033253,
-)
+def points(df: DataFrame, cluster: str, month: str, ident: str, models: list[str], k: int = 100) -> DataFrame:
+    """(model, METRICS) on all rows."""
+    long = cut(stacked(df, [cluster, month, ident, "event"], models))
+    order = Window.partitionBy("model", month).orderBy(F.desc("score"), ident)
+    top = long.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)
+    return _five(cells(long, ["model"]), top.groupBy("model").agg(F.avg("event").alias("precision_at_k")), ["model"])
 
 
-def bootstrap(df: DataFrame, cluster: str, models: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """(replicate, model, auroc, ap, brier) under resampling of clusters with Poisson weights, which are the same for all models.
+def bootstrap(df: DataFrame, cluster: str, month: str, ident: str, models: list[str], replicates: int = 1000, seed: int = 42, k: int = 100) -> DataFrame:
+    """(replicate, model, METRICS) under draws of whole clusters, which are the same for all models; replicates of a single class are left out.
 
     Rows are reduced to (cluster, model, score) cells before they are repeated.
     """
-    long = df.select(cluster, "event", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])).alias("x"))
-    c = cells(long.select(cluster, "event", "x.*"), [cluster, "model"])
-    weight = poisson_weight(F.concat_ws("/", F.lit(str(seed)), F.col(cluster).cast("string"), F.col("replicate").cast("string")))
-    reps = c.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight).where("w > 0")
+    weights = cut(draws(df, cluster, replicates, seed))
+    long = cut(stacked(df, [cluster, month, ident, "event"], models))
     by = ["replicate", "model"]
-    r = reps.groupBy(*by, "score").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos"))
-    s = F.col("score")
-    loss = r.groupBy(*by).agg((F.sum(F.col("pos") * (1 - s) * (1 - s) + (F.col("n") - F.col("pos")) * s * s) / F.sum("n")).alias("brier"))
-    return loss.join(auroc_of(r, by), by).join(precision_of(r, by), by)
+    reps = cells(long, [cluster, "model"]).join(weights, cluster)
+    c = reps.groupBy(*by, "score").agg(F.sum(F.col("w") * F.col("n")).alias("n"), F.sum(F.col("w") * F.col("pos")).alias("pos"))
+    out = _five(c, monthly_precision(long, weights, cluster, month, ident, k), by)
+    return out.where("positives > 0 and negatives > 0").select(*by, *METRICS)
 
 
-def intervals(boot: DataFrame, reference: str, metrics: tuple[str, ...] = ("auroc", "ap", "brier")) -> DataFrame:
+def intervals(boot: DataFrame, reference: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """(model, metric, lo, hi, diff_lo, diff_hi): 2.5 % and 97.5 % points of the replicates and of paired differences to the reference."""
     cols = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("x")
     long = boot.select("replicate", "model", cols).select("replicate", "model", "x.*")
     base = long.where(F.col("model") == reference).select("replicate", "metric", F.col("v").alias("base"))
-    q = lambda c, p: F.percentile(c, F.lit(p))
+    q = lambda c, p: F.percentile(c, F.lit(p))  # noqa: E731  a number for each replicate
     d = F.col("v") - F.col("base")
     return long.join(base, ["replicate", "metric"]).groupBy("model", "metric").agg(
         q("v", 0.025).alias("lo"), q("v", 0.975).alias("hi"), q(d, 0.025).alias("diff_lo"), q(d, 0.975).alias("diff_hi")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..models import boosting as B
 from ..models import hazard as H
+from ..models import sampling as P
+from ..models import shapley as S
+from ..operators import features
 from ..operators import metrics as M
 from ..operators import windows as W
+from ..scratch import cut
 from .base import query
 
 
@@ -43,13 +50,13 @@ select {0} case when sum(event) > 0 and sum(1 - event) > 0 then sum(case when ev
 
 @query("met01_auroc", _AUROC.format("", "1", "sc", ""))
 def _(t):
-    return M.auroc(t.scored().withColumn("all", F.lit(1)), ["all"]).select("auroc")
+    return M.auroc(t.scored(), [])
 
 
 @query("met02_average_precision", """with c as (select score, sum(event)::double as pos, count(*)::double as n from sc group by score), r as (select *, sum(pos) over w as cp, sum(n) over w as cn from c window w as (order by score desc))
 select round(sum(pos * cp / cn) / sum(pos), 9) as ap from r""")
 def _(t):
-    return M.average_precision(t.scored().withColumn("all", F.lit(1)), ["all"]).select(F.round("ap", 9).alias("ap"))
+    return M.average_precision(t.scored(), []).select(F.round("ap", 9).alias("ap"))
 
 
 @query("met03_brier", "select round(avg(pow(greatest(0.0, least(1.0, score)) - event, 2)), 9) as brier, count(*)::bigint as n from sc")
@@ -110,10 +117,9 @@ def _(t):
     from .base import QUERIES
 
     label = QUERIES["met10_horizon6"](t.spark, t.dir).select("g", "ym", F.col("within6").alias("event"))
-    s = t.scored().drop("event").join(label, ["g", "ym"]).withColumn("all", F.lit(1))
-    p = s.groupBy("all").agg(F.avg("event").alias("p"))
-    out = M.auroc(s, ["all"]).join(M.average_precision(s, ["all"]), "all").join(p, "all")
-    return out.select(F.round("auroc", 9).alias("auroc"), F.round("ap", 9).alias("ap"), F.round(F.col("ap") / F.col("p"), 6).alias("lift"))
+    s = t.scored().drop("event").join(label, ["g", "ym"])
+    out = M.ranking(M.ranked(M.cells(s, []), []), [])
+    return out.select(F.round("auroc", 9).alias("auroc"), F.round("ap", 9).alias("ap"), F.round("lift", 6).alias("lift"))
 
 
 @query("met11_subgroup", _AUROC.format("brand,", "brand", "(select *, string_split(g, ' | ')[1] as brand from sc)", "group by brand"))
@@ -133,42 +139,49 @@ def _(t):
 @query("rpt03_lift", """with c as (select score, sum(event)::double as pos, count(*)::double as n from sc group by score), r as (select *, sum(pos) over w as cp, sum(n) over w as cn from c window w as (order by score desc))
 select round((sum(pos * cp / cn) / sum(pos)) / (sum(pos) / sum(n)), 6) as lift from r""")
 def _(t):
-    s = t.scored().withColumn("all", F.lit(1))
-    p = s.groupBy("all").agg(F.avg("event").alias("p"))
-    return M.average_precision(s, ["all"]).join(p, "all").select(F.round(F.col("ap") / F.col("p"), 6).alias("lift"))
-
-
-_W = "(" + " + ".join(f"(u > {x!r}::double)::int" for x in M.POISSON) + ")"
-_MODELS = """m as (select g, event, 'a' as model, score from sc union all select g, event, 'b', (1 + (round(score * 64)::bigint * 7) % 37)::double / 64 from sc),
-c as (select g, model, score, count(*) as n, sum(event) as pos from m group by all)"""
-_CELLS = "{0}, w as (select {1} score, n, pos, n - pos as neg from {2}), x as (select *, coalesce(sum(neg) over a, 0) as below, sum(pos) over d as cp, sum(n) over d as cn from w window a as (partition by {3} order by score rows between unbounded preceding and 1 preceding), d as (partition by {3} order by score desc rows between unbounded preceding and current row)), t as (select {3}, sum(pos * (1 - score) * (1 - score) + neg * score * score)::double / sum(n)::double as brier, case when sum(pos) > 0 and sum(neg) > 0 then sum(2 * pos * below + pos * neg)::double / (2 * sum(pos) * sum(neg))::double end as auroc, case when sum(pos) > 0 then sum(pos * cp::double / cn) / sum(pos) end as ap from x group by {3})"
-_BOOT = "with " + _CELLS.format(_MODELS + f", r as (select *, {_W} as k from (select c.*, i, (('0x' || substr(md5('42/' || g || '/' || i), 1, 8))::bigint + 0.5)::double / 4294967296.0::double as u from c, (select unnest(range(100)) as i))), s as (select i, model, score, sum(k * n) as n, sum(k * pos) as pos from r where k > 0 group by all)", "i, model,", "s", "i, model")
-_POINT = "with " + _CELLS.format(_MODELS + ", s as (select model, score, sum(n) as n, sum(pos) as pos from c group by all)", "model,", "s", "model")
-_LONG = "l as (select {0}, unnest(['auroc', 'ap', 'brier']) as metric, unnest([auroc, ap, brier]) as v from t)"
+    return M.ranking(M.ranked(M.cells(t.scored(), []), []), []).select(F.round("lift", 6).alias("lift"))
+
+
+#: Two models' scores, the places of the groups by hash, and how often each of 1,000 replicates draws a group.
+_DRAWN = """m as (select g, ym, g || '/' || ym as id, event, 'a' as model, score from sc union all select g, ym, g || '/' || ym, event, 'b', (1 + (round(score * 64)::bigint * 7) % 37)::double / 64 from sc),
+pl as (select g, row_number() over (order by md5(g), g) - 1 as place from (select distinct g from sc)), nn as (select count(*) as n from pl),
+wt as (select i, g, w from (select i, ('0x' || substr(md5('42/' || i || '/' || j), 1, 15))::bigint % n as place, count(*) as w from nn, (select unnest(range(1000)) as i), (select unnest(range((select n from nn))) as j) group by all) join pl using (place))"""
+_FIVE = """s as (select {0}, score, sum(w) as n, sum(w * event) as pos from v group by all),
+x as (select *, coalesce(sum(n - pos) over a, 0) as below, sum(pos) over d as cp, sum(n) over d as cn from s window a as (partition by {0} order by score rows between unbounded preceding and 1 preceding), d as (partition by {0} order by score desc rows between unbounded preceding and current row)),
+k as (select {0}, sum(pos * (1 - score) * (1 - score) + (n - pos) * score * score)::double / sum(n)::double as brier, sum(2 * pos * below + pos * (n - pos))::double / (2 * sum(pos) * sum(n - pos))::double as auroc, sum(pos * cp::double / cn) / sum(pos) as ap from x group by {0} having sum(pos) > 0 and sum(n - pos) > 0),
+l0 as (select {0}, list(score order by score) as l from (select {0}, score, unnest(range(n::bigint)) as u from s) group by {0}),
+e0 as (select {0}, list_sort(list_distinct(list_transform(range(11), lambda q: l[(len(l) - 1) * q // 10 + 1] + (l[((len(l) - 1) * q + 9) // 10 + 1] - l[(len(l) - 1) * q // 10 + 1]) * ((len(l) - 1) * q % 10)::double / 10))) as e from l0),
+b0 as (select {0}, len(list_filter(e[2:-2], lambda x: x <= score)) as bin, sum(n) as n, sum(n * score) / sum(n) as mean_score, sum(pos)::double / sum(n) as rate from s join e0 using ({0}) group by all),
+e1 as (select {0}, sum(n * abs(mean_score - rate)) / sum(n) as ece from b0 group by {0}),
+t0 as (select {0}, event, greatest(0, least(w, 100 - coalesce(sum(w) over (partition by {0}, ym order by score desc, id rows between unbounded preceding and 1 preceding), 0))) as t from v),
+t1 as (select {0}, sum(t * event)::double / sum(t)::double as precision_at_k from t0 group by {0}),
+l as (select {0}, unnest(['auroc', 'ap', 'brier', 'ece', 'precision_at_k']) as metric, unnest([auroc, ap, brier, ece, precision_at_k]) as v from k join e1 using ({0}) join t1 using ({0}))"""
+_BOOT = f"with {_DRAWN}, v as (select m.*, i, w from m join wt using (g)), {_FIVE.format('i, model')}"
 
 
 def _two_models(t):
     other = (1 + (F.round(F.col("score") * 64).cast("long") * 7) % 37).cast("double") / 64
-    return t.scored().select("g", "event", F.col("score").alias("a"), other.alias("b"))
+    ident = F.concat_ws("/", "g", F.col("ym").cast("string"))
+    return cut(t.scored().select("g", "ym", ident.alias("id"), "event", F.col("score").alias("a"), other.alias("b")))
 
 
-@query("met08_bootstrap", _BOOT + ", " + _LONG.format("i, model") + """, j as (select l.*, l.v - o.v as d from l join l o on o.i = l.i and o.metric = l.metric and o.model = 'a')
+@query("met08_bootstrap", _BOOT + """, j as (select l.*, l.v - o.v as d from l join l o on o.i = l.i and o.metric = l.metric and o.model = 'a')
 select model, metric, round(quantile_cont(v, 0.025), 6) as lo, round(quantile_cont(v, 0.975), 6) as hi, round(quantile_cont(d, 0.025), 6) as diff_lo, round(quantile_cont(d, 0.975), 6) as diff_hi from j group by all""")
 def _(t):
-    out = M.intervals(M.bootstrap(_two_models(t), "g", ["a", "b"], 100), "a")
+    out = M.intervals(M.bootstrap(_two_models(t), "g", "ym", "id", ["a", "b"]), "a")
     return out.select("model", "metric", *[F.round(c, 6).alias(c) for c in ("lo", "hi", "diff_lo", "diff_hi")])
 
 
-@query("rpt01_performance_row", _BOOT + ", " + _LONG.format("i, model") + ", q as (select model, metric, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from l group by all), p as (" + _POINT + ", " + _LONG.format("model") + """ select * from l)
-select model, metric, printf('%.3f (%.3f-%.3f)', round(v, 3), round(lo, 3), round(hi, 3)) as cell from p join q using (model, metric)""")
+@query("rpt01_performance_row", "with " + _BOOT[5:] + ", q as (select model, metric, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi from l group by all), p as (with v as (select *, 1::bigint as w from m), " + _FIVE.format("model") + """ select * from l),
+h as (select model, count(*)::bigint as n, sum(event)::bigint as events from m group by model)
+select model, n, events, metric, printf('%.3f (%.3f-%.3f)', round(p.v, 3), round(lo, 3), round(hi, 3)) as cell from p join q using (model, metric) join h using (model)""")
 def _(t):
     df = _two_models(t)
-    ci = M.intervals(M.bootstrap(df, "g", ["a", "b"], 100), "a")
-    long = df.select("event", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in "ab"])).alias("x")).select("event", "x.*")
-    e = F.col("score") - F.col("event")
-    point = M.auroc(long, ["model"]).join(M.average_precision(long, ["model"]), "model").join(long.groupBy("model").agg(F.avg(e * e).alias("brier")), "model")
-    point = point.unpivot("model", ["auroc", "ap", "brier"], "metric", "v").join(ci, ["model", "metric"])
-    return point.select("model", "metric", F.format_string("%.3f (%.3f-%.3f)", *[F.round(c, 3) for c in ("v", "lo", "hi")]).alias("cell"))
+    ci = M.intervals(M.bootstrap(df, "g", "ym", "id", ["a", "b"]), "a")
+    point = M.points(df, "g", "ym", "id", ["a", "b"])
+    point = point.withColumns({"n": F.col("positives") + F.col("negatives"), "events": F.col("positives")})
+    point = point.unpivot(["model", "n", "events"], list(M.METRICS), "metric", "v").join(ci, ["model", "metric"])
+    return point.select("model", "n", "events", "metric", F.format_string("%.3f (%.3f-%.3f)", *[F.round(c, 3) for c in ("v", "lo", "hi")]).alias("cell"))
 
 
 FEATURES = ["lag1", "mean6", "ret6", "since", "suppliers"]
@@ -192,7 +205,7 @@ def risk_features(t):
 
 @query("ml01_logistic_walkforward")
 def _(t):
-    df = risk_features(t).cache()
+    df = cut(risk_features(t))
     last = df.agg(F.max("ym")).first()[0]
     out = H.walk_forward(df, FEATURES, list(range(last - 11, last + 1)), 6, ["g", "ym", "event"])
     return out.withColumn("pred", F.round("pred", 6))
@@ -200,18 +213,64 @@ def _(t):
 
 @query("ml02_time_only")
 def _(t):
-    df = risk_features(t).withColumn("clock", F.col("clock").cast("double")).cache()
+    df = cut(risk_features(t).withColumn("clock", F.col("clock").cast("double")))
     last = df.agg(F.max("ym")).first()[0]
     return H.walk_forward(df, ["clock"], list(range(last - 5, last + 1)), 6, ["g", "ym", "event"]).withColumn("pred", F.round("pred", 6))
 
 
+#: Of the boosted trees here, whose tables have some thousand rows; the defaults of Settings are for large ones.
+SMALL = B.Settings(leaves=8, depth=3, rate=0.2, least_rows=10, bins=63)
+
+
+def _positive_weight(df, cap):
+    """Weight of the events: controls for each, from 1 to cap."""
+    rate = max(df.agg(F.avg("event")).first()[0] or 0.0, 1e-6)
+    return F.when(F.col("event") == 1, min(max((1 - rate) / rate, 1.0), cap)).otherwise(1.0)
+
+
+def _before_last(df, test=0.8, held=0.65):
+    """First months of the recent rows to choose rounds on and of the rows to test on."""
+    return df.agg(F.percentile("ym", F.array(F.lit(held), F.lit(test)))).first()[0]
+
+
 @query("ml03_gbt")
 def _(t):
-    """Rounds by the last months before the test block, then a refit on all rows before it."""
-    df = H.positive_weight(risk_features(t), 10.0).cache()
-    held, cut = df.agg(F.percentile("ym", F.array(F.lit(0.65), F.lit(0.8)))).first()[0]
-    model = H.boosted_refit(df.where(F.col("ym") < cut), FEATURES, F.col("ym") >= held, 12)
-    return H.scored(model, df.where(F.col("ym") >= cut), ["g", "ym", "event"]).withColumn("pred", F.round("pred", 6))
+    """Leaf-wise trees with a native category; rounds by average precision on the last months before the test, then a refit on all rows before it."""
+    df = cut(risk_features(t))
+    held, first = _before_last(df)
+    train = df.where(F.col("ym") < first)
+    model = B.boost_and_refit(train, FEATURES, ["brand"], F.col("ym") >= held, rounds=25, patience=6, weight=_positive_weight(train, 20.0), settings=SMALL)
+    return B.predicted(model, df.where(F.col("ym") >= first)).select("g", "ym", "event", F.round("pred", 6).alias("pred"), F.lit(len(model.trees)).alias("rounds"))
+
+
+def _shown_model(t):
+    df = cut(risk_features(t).withColumn("clock", F.col("clock").cast("double")))
+    return df, B.boost(df, [*FEATURES, "clock"], ["brand"], weight=_positive_weight(df, 20.0), rounds=8, settings=SMALL)
+
+
+@query("ml10_shapley_features")
+def _(t):
+    """Mean size of the Shapley values of a boosted model over all rows, by feature."""
+    df, model = _shown_model(t)
+    return S.importance(model, df).select("feature", F.round("mean_abs", 6).alias("mean_abs"))
+
+
+@query("ml10_shapley_rows")
+def _(t):
+    """Each row's Shapley values, which add up to its margin."""
+    df, model = _shown_model(t)
+    out = S.with_attributions(model, B.predicted(model, df))
+    names = [*model.bins.names, "base"]
+    return out.select("g", "ym", "spell", F.round("pred", 6).alias("pred"), *[F.round(F.col("attributions")[i], 6).alias(f"phi_{n}") for i, n in enumerate(names)])
+
+
+@query("ml10_shapley_domains")
+def _(t):
+    """The same by domain of the features' names."""
+    df, model = _shown_model(t)
+    named = {"lag1": "qty_lag_1", "mean6": "prescriptions_mean_6m", "ret6": "recall_count_6m", "since": "months_since_warning", "suppliers": "n_manufacturers", "clock": "time_index", "brand": "therapeutic_class"}
+    family = F.create_map(*[F.lit(x) for f, n in named.items() for x in (f, features.feature_family(n))])[F.col("feature")]
+    return S.domains(S.importance(model, df), family).select("family", F.round("mean_abs", 6).alias("mean_abs"))
 
 
 @query("ml07_validation_block", """with m as (select ym, sum(event) as e from sc group by ym), c as (select ym, row_number() over w as months, sum(e) over w as events from m window w as (order by ym desc rows between unbounded preceding and current row))
@@ -226,18 +285,18 @@ def _(t):
 
 @query("ml09_platt")
 def _(t):
-    s = t.scored().cache()
-    cut = s.agg(F.percentile("ym", F.lit(0.5))).first()[0]
-    return H.platt(s.where(F.col("ym") < cut), s.where(F.col("ym") >= cut)).withColumn("calibrated", F.round("calibrated", 6))
+    s = cut(t.scored())
+    first = s.agg(F.percentile("ym", F.lit(0.5))).first()[0]
+    return H.platt(s.where(F.col("ym") < first), s.where(F.col("ym") >= first)).withColumn("calibrated", F.round("calibrated", 6))
 
 
 @query("ml11_permutation")
 def _(t):
-    df = risk_features(t).select("g", "ym", "event", *FEATURES).cache()
-    cut = df.agg(F.percentile("ym", F.lit(0.7))).first()[0]
-    train = df.where(F.col("ym") < cut)
+    df = cut(risk_features(t).select("g", "ym", "event", *FEATURES))
+    first = df.agg(F.percentile("ym", F.lit(0.7))).first()[0]
+    train = df.where(F.col("ym") < first)
     model = H.logistic(FEATURES, 1.0, train.count()).fit(train)
-    return H.permutation_importance(model, df.where(F.col("ym") >= cut), FEATURES)
+    return H.permutation_importance(model, df.where(F.col("ym") >= first), FEATURES)
 
 
 @query("ml12_case_control", """with n as (select sum(event)::bigint as p, sum(1 - event)::bigint as q from sc), w as (select q, least(2 * p, q) as want from n),
@@ -249,20 +308,23 @@ def _(t):
 
 @query("ml04_focal")
 def _(t):
-    """Fitted on a case-control sample, scored on all rows."""
-    df = risk_features(t).select("g", "ym", "event", *FEATURES).cache()
+    """Focal loss on a case-control sample with inverse weights; rounds by the later rows' average precision, all rows scored."""
+    df = cut(risk_features(t).select("g", "brand", "ym", "event", *FEATURES))
+    held, _ = _before_last(df)
     sample = H.case_control(df.select("g", "ym", "event"), ["g", "ym"], 3).select("g", "ym", "__w")
-    return H.focal_boost(df.join(sample, ["g", "ym"], "left"), FEATURES, 3, weight="__w").select("g", "ym", "event", F.round("pred", 6).alias("pred"))
+    settings = replace(SMALL, focal=(0.95, 2.0))
+    model = B.boost_and_refit(df.join(sample, ["g", "ym"], "left"), FEATURES, ["brand"], F.col("ym") >= held, rounds=20, patience=6, weight=F.col("__w"), settings=settings)
+    return B.predicted(model, df).select("g", "ym", "event", F.round("pred", 6).alias("pred"))
 
 
 @query("ml01_categories")
 def _(t):
     """The logistic hazard with a one-hot category."""
-    df = risk_features(t).cache()
-    cut = df.agg(F.percentile("ym", F.lit(0.8))).first()[0]
-    train = df.where(F.col("ym") < cut)
+    df = cut(risk_features(t))
+    first = df.agg(F.percentile("ym", F.lit(0.8))).first()[0]
+    train = df.where(F.col("ym") < first)
     model = H.logistic(FEATURES, 1.0, train.count(), ["brand"]).fit(train)
-    return H.scored(model, df.where(F.col("ym") >= cut), ["g", "ym", "event"]).withColumn("pred", F.round("pred", 6))
+    return H.scored(model, df.where(F.col("ym") >= first), ["g", "ym", "event"]).withColumn("pred", F.round("pred", 6))
 
 
 @query("top05_best_setting", """with t as (select unnest(range(1, 50)) / 100.0::double as cut), x as (select cut, sum((score >= cut and event = 1)::int) as tp, sum((score >= cut)::int) as pp, sum(event) as p from sc cross join t group by cut)
@@ -275,6 +337,82 @@ def _(t):
 
 @query("ml08_tuning")
 def _(t):
-    df = risk_features(t).select("ym", "event", *FEATURES).cache()
-    cut = df.agg(F.percentile("ym", F.lit(0.7))).first()[0]
-    return H.tune(df.where(F.col("ym") < cut), df.where(F.col("ym") >= cut), FEATURES, [0.01, 0.1, 1.0])
+    df = cut(risk_features(t).select("ym", "event", *FEATURES))
+    first = df.agg(F.percentile("ym", F.lit(0.7))).first()[0]
+    return H.tune(df.where(F.col("ym") < first), df.where(F.col("ym") >= first), FEATURES, [0.01, 0.1, 1.0])
+
+
+@query("ml08_tuned_walkforward")
+def _(t):
+    """The best penalty of a block of six months, then tests that start after it though an earlier start is asked for."""
+    df = cut(risk_features(t))
+    first = int(df.agg(F.percentile("ym", F.lit(0.6))).first()[0])
+    out = H.tuned_walk_forward(df, FEATURES, [0.1, 0.3, 0.7, 1.0, 3.0], (first, first + 5), first + 2, 6, ["g", "ym", "event"])
+    return out.select("g", "ym", "event", F.round("pred", 6).alias("pred"), "c", "start")
+
+
+def onset_features(t):
+    """At-risk months with trailing features and whether an onset follows within six months."""
+    from .base import QUERIES
+
+    w = W.rows(["g"], ["ym"])
+    label = QUERIES["met10_horizon6"](t.spark, t.dir).select("g", "ym", F.col("within6").cast("long").alias("event"))
+    df = t.group_state().withColumns(
+        {
+            "lag1": W.lag0("qty", 1, w).cast("double"),
+            "mean6": F.coalesce(W.trailing(F.avg, "qty", 6, w), F.lit(0.0)),
+            "ret6": F.coalesce(W.trailing(F.sum, "ret", 6, w), F.lit(0)).cast("double"),
+            "few": (F.col("suppliers") <= 3).cast("double"),
+        }
+    )
+    return label.join(df.select("g", "brand", "ym", "lag1", "mean6", "ret6", "few"), ["g", "ym"])
+
+
+_ONSET = ["lag1", "mean6", "ret6", "few"]
+_RISK = {"few": 2.0, "ret6": 1.5}
+
+
+@query("ml13_weighted_sample", """with o as (select g, min(ym) as onset from sc where event = 1 group by g), l as (select max(ym) as last from gs),
+y as (select sc.g, sc.ym, (onset is not null and onset - sc.ym between 0 and 5)::bigint as event from sc cross join l left join o using (g) where sc.ym + 6 <= last),
+f as (select g, ym, suppliers, coalesce(sum(ret) over (partition by g order by ym rows between 6 preceding and 1 preceding), 0)::double as ret6 from gs),
+n as (select y.*, greatest(0.35::double, exp(-ln(2::double) * ((select max(ym) from y) - y.ym) / 12)) as recent, 1 + 2.0::double * (suppliers <= 3)::int + 1.5::double * ret6 as risk, (('0x' || substr(md5('42/' || g || '/' || y.ym), 1, 13))::bigint + 0.5::double) / 4503599627370496::double as u from y join f using (g, ym)),
+k as (select count(*) * 4 // 5 as k, sum(event) as p from n),
+s as (select *, row_number() over (partition by event order by -ln(u) / greatest(case when event = 1 then recent else risk * recent end, 1e-6), g, ym) as r from n)
+select g, ym, event from s, k where case when event = 1 then p < k or r <= k else r <= k - p end""")
+def _(t):
+    """Four rows of five: all events and controls by risk and recency; if the events alone are more, some of them by recency."""
+    df = cut(onset_features(t))
+    last, n = df.agg(F.max("ym"), F.count("*")).first()
+    return P.training_sample(df, n * 4 // 5, "event", F.lit(last) - F.col("ym"), P.risk_weight(_RISK), ["g", "ym"]).select("g", "ym", "event")
+
+
+def _fit_logistic(train, _):
+    model = H.logistic(_ONSET, 1.0, train.count()).fit(train)
+    return lambda test: H.scored(model, test, test.columns).withColumnRenamed("pred", "score")
+
+
+def _fit_boosted(train, held):
+    both = train.withColumn("__held", F.lit(False))
+    if held is not None:
+        both = both.unionByName(held.withColumn("__held", F.lit(True)))
+    model = B.boost(both, _ONSET, ["brand"], held=None if held is None else F.col("__held"), rounds=5, patience=5, settings=SMALL)
+    return lambda test: B.predicted(model, test, "score")
+
+
+def _backtest(t):
+    df = cut(onset_features(t))
+    last = df.agg(F.max("ym")).first()[0]
+    models = {"logistic": (_fit_logistic, 400), "boosted": (_fit_boosted, 400)}
+    return P.backtest(df, models, list(range(last - 2, last + 1)), "event", P.risk_weight(_RISK), ["g"])
+
+
+@query("ml13_backtest")
+def _(t):
+    """Predictions of the last months by models fitted on what was known six months before."""
+    return _backtest(t).select("model", "g", "ym", "event", F.round("score", 6).alias("score"))
+
+
+@query("ml13_backtest_summary")
+def _(t):
+    out = P.backtest_metrics(_backtest(t), "g")
+    return out.select("model", *[F.round(c, 6).alias(c) for c in out.columns if c != "model"])
