@@ -14,8 +14,11 @@ from .common import Scratch, col, connected_components, met, partitions
 
 #: Random sign bits in each order's key.
 BITS = 32
-#: Orders are as many as meet a pair at the threshold with this probability (see passes), at most so many.
-RECALL, MOST_PASSES = 0.99, 64
+#: Orders are as many as meet a pair at the threshold with this probability (see passes). A label that asks for more than
+#: MANY_PASSES is compared whole instead, if that takes no more comparisons.
+RECALL, MANY_PASSES = 0.99, 64
+#: Share of a label's vectors whose surroundings are thinner than those that its orders are chosen for.
+DENSE = 0.98
 #: A row is compared with at least so many rows after it in each order, at most with twice as many.
 WINDOW = 512
 #: Rows of an order that one task compares (with WINDOW rows of the next).
@@ -31,18 +34,34 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def passes(n: int, mean_cosine: float, threshold: float, window: int) -> int:
-    """Orders for a label of n vectors with this mean cosine.
+def passes(n: int, mean_cosine: float, bits: float, threshold: float, window: int) -> int:
+    """Orders for a label of n vectors with this mean cosine, most of which need no more than these bits.
 
     A pair at the threshold meets in an order if its keys agree in as many bits as leave a window of rows. A bit
-    agrees with 1 - angle / pi, for other pairs at the mean cosine. One order is enough where a window holds all.
+    agrees with 1 - angle / pi, for other pairs at the mean cosine; where vectors cluster more bits are needed, as many
+    as measured. One order is enough where a window holds all.
     """
     if n <= window:
         return 1
     agree = lambda c: 1 - math.acos(min(1.0, max(-1.0, c))) / math.pi
     others = min(agree(mean_cosine), 0.95)
-    once = agree(threshold) ** (math.log(n / window) / -math.log(others))
-    return min(MOST_PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-once))) if once < 1 else 1
+    once = agree(threshold) ** min(BITS, max(bits, math.log(n / window) / -math.log(others)))
+    return math.ceil(math.log(1 - RECALL) / math.log1p(-once)) if once < 1 else 1
+
+
+def _needed_bits(window: int):
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(label, dim, bits, n): bits of one more than rows a window apart have in common, over an order's sorted batches."""
+        for df in batches:
+            near, far = df.iloc[:-window], df.iloc[window:]
+            same = (near["label"].to_numpy() == far["label"].to_numpy()) & (near["dim"].to_numpy() == far["dim"].to_numpy())
+            if same.any():
+                differ = (near["h"].to_numpy() ^ far["h"].to_numpy())[same]
+                bits = np.minimum(BITS, BITS - np.floor(np.log2(np.maximum(differ, 0.5))).astype("i4"))
+                out = pd.DataFrame({"label": near["label"].to_numpy()[same], "dim": near["dim"].to_numpy()[same], "bits": bits, "n": 1})
+                yield out.groupby(["label", "dim", "bits"], as_index=False).sum()
+
+    return measure
 
 
 def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,6 +128,27 @@ def _linker(threshold: float, window: int):
     return link
 
 
+def _whole(threshold: float):
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        """Edges that join what is linked between two parts of a label."""
+        one, two = (group[group["part"] == group[c].iloc[0]] for c in ("lo", "hi"))
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": []}).astype(object)
+        a, b = np.nonzero(_unit(one["vector"]) @ _unit(two["vector"]).T >= threshold)
+        nodes = np.concatenate([one["node"], two["node"]])
+        root = _roots(len(nodes), a, b + len(one))
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[own], "b": nodes[root[own]]})
+
+    return link
+
+
+def _by_two_parts(rows: DataFrame) -> DataFrame:
+    """rows (part, parts, ...) once for each other part, with lo and hi, the pair of parts that meets in a task."""
+    spread = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+
+
 def _counter(threshold: float):
     def count(group: pd.DataFrame) -> pd.DataFrame:
         """Links of each node between two parts of a component, each weighted by the copies of the other vector."""
@@ -142,10 +182,10 @@ def near_vectors(
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Rows with equal label and vector are one class with so many copies. Each class gets keys of random sign
-    bits, as many as ``passes`` says for the size and mean cosine of its label (both measured over all vectors);
-    every pass sorts all classes by (label, key), cuts the order into blocks and compares each class with the
-    WINDOW or more that follow it, block edges included. At most MOST_PASSES: beyond them (labels of over some
-    hundred million vectors, or whose vectors are nearly all alike) recall is below RECALL. Blocks report only the edges
+    bits, as many as ``passes`` says for the size, mean cosine and density of its label (all measured, the last in one
+    order); every pass sorts all classes by (label, key), cuts the order into blocks and compares each class with the
+    WINDOW or more that follow it, block edges included. Where so many orders are asked for that comparing all of a label
+    takes no more comparisons, all are compared, by pairs of parts. Blocks report only the edges
     of a spanning forest, so a dense group costs no more rows than it has members. Components of the union
     of all passes are then counted exactly: every two members of a component are compared, a large one by
     pairs of parts in separate tasks, which also finds links that no window held.
@@ -181,13 +221,19 @@ def near_vectors(
     sums = sums.groupBy("label", "dim", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
     kinds = sums.groupBy("label", "dim").agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("x"))
     window = WINDOW
-    turns = F.udf(lambda n, x: passes(n, x / n / n, threshold, window), "int")  # once per label, not per row
-    kinds = scratch.cut(kinds.select("label", "dim", "n", turns("n", "x").alias("turns")))
-    keys = met(classes.select("node", "label", "dim", "vector"), kinds, ["label", "dim"], "n").mapInPandas(
-        _keys, "node binary, turn int, label string, dim int, h long"
-    )
-    keys = keys.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    keys = scratch.cut(keys.withColumn("m", F.monotonically_increasing_id()))
+    ordered = lambda d: d.mapInPandas(_keys, "node binary, turn int, label string, dim int, h long").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    # how dense it is around the vectors, by the rows of one order
+    bits = ordered(classes.select("node", "label", "dim", "vector", F.lit(1).alias("turns"))).select("label", "dim", "h")
+    bits = bits.mapInPandas(_needed_bits(window), "label string, dim int, bits int, n long").groupBy("label", "dim").agg(F.percentile("bits", F.lit(DENSE), F.col("n")).alias("bits"))
+    turns = F.udf(lambda n, x, b: passes(n, x / n / n, b, threshold, window), "int")  # once per label, not per row
+    kinds = kinds.join(bits, ["label", "dim"], "left").select("label", "dim", "n", turns("n", "x", F.coalesce("bits", F.lit(0.0))).alias("turns"))
+    whole = (F.col("turns") > MANY_PASSES) & (F.col("n") <= F.col("turns") * 3 * window)
+    kinds = kinds.withColumn("parts", F.when(whole, F.ceil(F.col("n") / PART)).otherwise(0).cast("int"))
+    kinds = scratch.cut(kinds.withColumn("turns", F.when(whole, 0).otherwise(F.col("turns"))))
+    dealt = scratch.cut(met(classes.select("node", "label", "dim", "vector"), kinds, ["label", "dim"], "n"))
+    keys = scratch.cut(ordered(dealt.where("turns > 0").drop("parts")).withColumn("m", F.monotonically_increasing_id()))
+    between = _by_two_parts(dealt.where("parts > 0").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    between = between.groupBy("label", "dim", "lo", "hi").applyInPandas(_whole(threshold), "a binary, b binary")
     part, index = F.shiftright("m", 33), F.col("m").bitwiseAND((1 << 33) - 1)
     sizes = {r[0]: r[1] for r in keys.groupBy(part.alias("part")).count().collect()}  # one row per partition
     starts, total = [], 0
@@ -207,15 +253,13 @@ def near_vectors(
         "vector",
         F.explode(F.when(ahead, F.array(block, block - 1)).otherwise(F.array(block))).alias("block"),
     )
-    edges = scratch.cut(dealt.groupBy("block").applyInPandas(_linker(threshold, window), "a binary, b binary").distinct())
+    edges = scratch.cut(dealt.groupBy("block").applyInPandas(_linker(threshold, window), "a binary, b binary").unionByName(between).distinct())
     scratch.drop(keys)
     parts = scratch.cut(connected_components(edges, scratch))
     sized = parts.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     members = parts.join(sized, "component").join(classes.select("node", "vector", "copies"), "node")
     members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    spread = members.select("component", "node", "vector", "copies", "part", F.explode(others).alias("other"))
-    spread = spread.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    spread = _by_two_parts(members.select("component", "node", "vector", "copies", "part", "parts"))
     counted = spread.groupBy("component", "lo", "hi").applyInPandas(_counter(threshold), "node binary, links long")
     links = counted.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.select("node", "least", "copies").join(parts, "node", "left").withColumn(

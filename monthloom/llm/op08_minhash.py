@@ -64,13 +64,13 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
             )
 
     return docs.select(col(id_col).alias("doc_id"), col(text_col).cast("binary").alias("text"), row_key(id_col, text_col).alias("text_key")).mapInArrow(
-        run, f"doc_id {kind}, text_key long, n_shingles long, set_id binary, signature binary"
+        run, f"doc_id {kind}, text_key string, n_shingles long, set_id binary, signature binary"
     )
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """A hash of id and text: what tells rows apart that share an id."""
-    return F.xxhash64(F.coalesce(col(id_col).cast("string"), F.lit("")), col(id_col).isNull(), F.coalesce(col(text_col), F.lit("")))
+    """128 bits of id and text: what tells rows apart that share an id."""
+    return F.md5(F.concat_ws("/", col(id_col).isNull().cast("string"), F.char_length(col(id_col).cast("string")).cast("string"), col(id_col).cast("string"), col(text_col)))
 
 
 def _sets(docs: DataFrame, text_col: str, width: int, wanted: DataFrame) -> DataFrame:

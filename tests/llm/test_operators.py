@@ -82,17 +82,18 @@ def test_lines(docs, none):
     assert o2.drop_boilerplate(none).count() == 0
 
 
-def test_lines_of_short_pages(spark):
-    """Boilerplate goes from pages that hold little else; a copied text stays."""
+@pytest.mark.parametrize("spare", [False, True])
+def test_lines_of_short_pages(spark, spare):
+    """Boilerplate goes from pages that hold little or nothing else; a copied text stays where that is asked for."""
     menu, foot = "home, contact, privacy and imprint " * 3, "all of this is the same on each page " * 3
     rows = [(i, f"{menu}\nbody {i}: {words(40, 700 + i)}\n{foot}", f"s{i}") for i in range(10)]
     rows += [(20 + i, "a story\n\nthat was copied", f"s{i}") for i in range(10)]
     rows += [(40, f"{menu}\nx\n\n{foot}", "s1"), (41, f"{menu}\n{foot}", "s1"), (42, f"{menu}\n{foot}", "s1"), (43, f"{menu}\na story", "s2"), (44, foot, None)]
-    got = o2.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    got = o2.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), spare_copies=spare).collect()
     boiler = {menu, foot, "a story", "that was copied"}
     for r in got:
         xs = r["text"].split("\n")
-        kept = xs if 20 <= r["doc_id"] < 30 else [x for x in xs if x not in boiler]
+        kept = xs if spare and 20 <= r["doc_id"] < 30 else [x for x in xs if x not in boiler]
         assert r["kept_text"] == "\n".join(kept)
         assert r["n_lines"] == len([x for x in xs if x]) and r["n_removed"] == len([x for x in xs if x]) - len([x for x in kept if x])
     assert len(got) == len(rows)

@@ -249,3 +249,45 @@ def test_negative_edges(spark):
     assert hard_negatives(df.limit(0), lambda i: i % 100 == 0).count() == 0
     assert hard_negatives(df, lambda i: i < 0).count() == 0
     assert hard_negatives(df.where("vec_id = 0"), lambda i: i == 0).count() == 0
+
+
+def clustered(seed, clusters, size, inside, planted, d=64):
+    """Vectors around cluster centres with this mutual cosine, and pairs at 0.935 to 0.95 among them."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(r.standard_normal((clusters, d)))
+    x = unit(np.sqrt(inside) * np.repeat(centre, size, 0) + np.sqrt(1 - inside) * unit(r.standard_normal((clusters * size, d))))
+    pairs = r.choice(len(x), planted, replace=False)
+    cosine = r.uniform(0.935, 0.95, planted)[:, None]
+    side = r.standard_normal((planted, d))
+    side = unit(side - (side * x[pairs]).sum(1, keepdims=True) * x[pairs])
+    twin = cosine * x[pairs] + np.sqrt(1 - cosine**2) * side
+    return np.concatenate([x, twin]), [(int(p), len(x) + i) for i, p in enumerate(pairs)]
+
+
+@pytest.mark.parametrize("clusters,size,inside", [(4, 3000, 0.85), (1, 6000, 0.6), (20, 400, 0.9)])
+def test_recall_in_clusters(spark, clusters, size, inside):
+    from monthloom.llm.op03_vectors import near_vectors
+
+    x, pairs = clustered(clusters, clusters, size, inside, 300)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    found = {r["vec_id"]: r["component_id"] for r in near_vectors(df).collect()}
+    assert sum(found[a] == found[b] for a, b in pairs) / len(pairs) >= 0.95
+
+
+def test_whole_labels_equal_brute_force(spark, monkeypatch):
+    """A label that asks for too many orders is compared whole: no link is lost at all."""
+    from monthloom.llm import op03_vectors as o3
+
+    monkeypatch.setattr(o3, "MANY_PASSES", 0)
+    monkeypatch.setattr(o3, "PART", 100)
+    x, _ = clustered(5, 3, 150, 0.9, 60, 8)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in o3.near_vectors(spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    link = (x @ x.T >= 0.93) & (np.arange(len(x))[:, None] % 2 == np.arange(len(x)) % 2) & ~np.eye(len(x), dtype=bool)
+    least = np.arange(len(x))
+    while True:
+        now = np.minimum(least, np.where(link, least[None, :], len(x)).min(1))
+        if (now == least).all():
+            break
+        least = now
+    assert got == {i: (int(link[i].sum()), int(least[i])) for i in range(len(x))} and link.sum() > 500
