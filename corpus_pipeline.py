@@ -55,7 +55,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
 
     def stage(rows: DataFrame) -> DataFrame:
-        cut = drop_boilerplate(rows)
+        cut = drop_boilerplate(rows, spare_copies=True)
         return cut.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")})
 
     return _carried(docs, stage)
