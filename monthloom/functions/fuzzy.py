@@ -29,6 +29,23 @@ def lcs(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def ratio(a: str, b: str) -> float:
+    """indel_ratio of one pair."""
+    return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def set_ratio(a: str, b: str) -> float:
+    """token_set_ratio of one pair."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both = " ".join(sorted(x & y))
+    one, two = (" ".join([both, *rest] if both else rest) for rest in (sorted(x - y), sorted(y - x)))
+    if both and both in (one, two):
+        return 100.0
+    return max(ratio(one, two), ratio(both, one), ratio(both, two)) if both else ratio(one, two)
+
+
 #: Letters that one machine word holds, and different ones that a batch's tables are laid out for.
 WORD, SYMBOLS = 64, 256
 

@@ -154,6 +154,16 @@ def fuzzy_best(left: DataFrame, right: DataFrame, name: str, choice: str, cutoff
     return left.join(best, name, "left")
 
 
+def match_firms(firms: DataFrame, labels: DataFrame, firm: str, labeler: str, code: str, order: Column, cutoff: float = 85.0) -> DataFrame:
+    """firms with the code of the labeler whose normalised name is nearest; a code is represented by its first labeler.
+
+    Empty names match nothing. Of codes with one name the least is taken, of equally near names the first.
+    """
+    first = first_by(labels, [code], order).where(F.col(labeler) != "").groupBy(labeler).agg(F.min(code).alias(code))
+    best = fuzzy_best(firms.where(F.col(firm) != "").select(firm).distinct(), first, firm, labeler, cutoff).where(F.col(labeler).isNotNull())
+    return firms.join(best, firm).join(first, labeler)
+
+
 def resolve(names: DataFrame, passes: list[DataFrame], key: str, target: str) -> DataFrame:
     """Targets of the first pass that finds any; passes hold (key, target). Ties within a pass are all kept."""
     found = None

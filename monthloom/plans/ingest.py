@@ -74,6 +74,43 @@ def _(t):
     return t.spark.createDataFrame([(first, kept and new)], "n long, kept boolean")
 
 
+@query("snk05_fresh_by_inputs", "select count(*)::bigint as n, count(distinct l_orderkey)::bigint as orders from li")
+def _(t):
+    """Orders summed from a copy of the lines: kept while the copy is as it was, built anew after it has grown."""
+    lines, path = _folder(t), _folder(t)
+    half = F.col("l_linenumber") <= 2
+    build = lambda: t.spark.read.parquet(lines).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    t.lines().where(half).select("l_orderkey").write.parquet(lines)
+    first = sinks.cached_from(t.spark, path, build, [lines]).agg(F.sum("n")).first()[0]
+    kept = sinks.cached_from(t.spark, path, lambda: build().where("n < 0"), [lines]).agg(F.sum("n")).first()[0]
+    t.lines().where(~half).select("l_orderkey").write.mode("append").parquet(lines)
+    if first != kept:
+        raise ValueError("built anew though no input changed")
+    return sinks.cached_from(t.spark, path, build, [lines]).agg(F.sum("n").alias("n"), F.count("*").alias("orders"))
+
+
+@query("src11_newest_file", "select n_nationkey as k, n_name as name from nation")
+def _(t):
+    """The first candidate that is there, else the newest file of a pattern."""
+    base = _folder(t)
+    t("region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")).coalesce(1).write.parquet(f"{base}/a")
+    t("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")).coalesce(1).write.parquet(f"{base}/b")
+    return t.spark.read.parquet(readers.found(t.spark, [f"{base}/c/part-*.parquet"], f"{base}/*/part-*.parquet"))
+
+
+@query("src17_event_versions", """with e as (select user_id as k, event_type as version, count(*)::bigint as n, list(distinct (json_extract(props, '$.k')::bigint % 5)::varchar order by (json_extract(props, '$.k')::bigint % 5)::varchar) as items from events group by all)
+select k, version, array_to_string(items, ' | ') as items, items[1] as first, n::varchar as value from e""")
+def _(t):
+    """Objects of users with an array and a map of versions, made from the events, written as JSON lines and flattened."""
+    path = _folder(t)
+    each = t("events").groupBy(F.col("user_id").alias("k"), "event_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_set((F.get_json_object("props", "$.k").cast("long") % 5).cast("string"))).alias("items"))
+    whole = each.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("event_type", F.struct("n", "items")))).alias("v"))
+    whole.select(F.to_json(F.struct("k", "v")).alias("value")).write.text(path)
+    df = flatten.parsed(t.spark.read.text(path), "value", "k long, v map<string, struct<n: long, items: array<string>>>").select("j.k", "j.v")
+    df = df.select("k", F.explode("v").alias("version", "x"))
+    return df.select("k", "version", flatten.joined(F.col("x.items")).alias("items"), flatten.first(F.col("x.items")).alias("first"), F.col("x.n").cast("string").alias("value"))
+
+
 @query("src04_drifting_headers", "select n_nationkey::varchar as code, n_name as name from nation union all select r_regionkey::varchar, r_name from region")
 def _(t):
     a, b = _folder(t), _folder(t)

@@ -215,6 +215,58 @@ def _(t):
     return t.spark.createDataFrame([(f,) for f in kept], "f string")
 
 
+#: Names of the parts' columns, as the code of a part stands in texts; what is asked of them are the rules above.
+_CODE_TEXTS = """case p_partkey % 9 when 0 then 'NDC ' || p_partkey || '-' || p_size || '-1' when 1 then p_partkey || '-' || p_size when 2 then lpad(p_partkey::varchar, 11, '0') when 3 then lpad(p_partkey::varchar, 10, '0')
+when 4 then p_name || ' (ndc ' || p_partkey || '\u2013' || p_size || ' 05)' when 5 then p_partkey::varchar when 6 then p_name when 7 then lpad(p_partkey::varchar, 9, '1') else p_partkey || '-' || p_size || '-' || p_size % 9 || '-7' end"""
+_PADDED = "case when length({0}) >= {1} then {0} else lpad({0}, {1}, '0') end"
+
+
+def _code_sql() -> str:
+    pad = lambda x, n: _PADDED.format(x, n)
+    rule = r"(?i)ndc\s*([0-9]{1,5})[\-\x{2010}-\x{2015}\s]+([0-9]{1,4})[\-\x{2010}-\x{2015}\s]+([0-9]{1,2})"
+    found = " || '-' || ".join(f"regexp_extract(plain, '{rule}', {i})" for i in (1, 2, 3))
+    whole = "substr(p[1], 1, 5)", "substr(p[1], 6, 4)", "substr(p[1], 10, 2)"
+    three = lambda a, b, c: f"{pad(a, 5)} || '-' || {pad(b, 4)} || '-' || {pad(c, 2)}"
+    return f"""with s as (select p_partkey as k, {_CODE_TEXTS} as s from part),
+e as (select *, regexp_replace(s, '[\u2013\u2014\u2212]', '-', 'g') as plain, string_split(nullif(regexp_replace(s, '[^\\d\\-]', '', 'g'), ''), '-') as p from s)
+select k, case when regexp_matches(plain, '{rule}') then {found} end as in_text, case len(p) when 3 then {three("p[1]", "p[2]", "p[3]")} when 2 then {pad("p[1]", 5)} || '-' || {pad("p[2]", 4)} || '-00' when 1 then case when length(p[1]) in (10, 11) then {three(*whole)} end end as strict_package,
+case when len(p) >= 2 then {pad("p[1]", 5)} || '-' || {pad("p[2]", 4)} when len(p) = 1 and length(p[1]) >= 9 then {whole[0]} || '-' || {whole[1]} end as strict_product, {pad("string_split(s, '-')[1]", 5)} as labeler from e"""
+
+
+@query("fn_codes_of_parts", _code_sql())
+def _(t):
+    """Codes as they stand in texts: found after the letters, by the strict rules, and their labeler."""
+    k, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    texts = [F.concat(F.lit("NDC "), k, F.lit("-"), size, F.lit("-1")), F.concat_ws("-", k, size), F.lpad(k, 11, "0"), F.lpad(k, 10, "0"), F.concat("p_name", F.lit(" (ndc "), k, F.lit("\u2013"), size, F.lit(" 05)")),
+             k, F.col("p_name"), F.lpad(k, 9, "1"), F.concat_ws("-", k, size, (F.col("p_size") % 9).cast("string"), F.lit("7"))]
+    s = F.element_at(F.array(*texts), (F.col("p_partkey") % 9 + 1).cast("int"))
+    return t("part").select(F.col("p_partkey").alias("k"), C.code_in_text(s).alias("in_text"), C.strict_package_code(s).alias("strict_package"), C.strict_product_code(s).alias("strict_product"), C.labeler(s).alias("labeler"))
+
+
+_NAMED_SQL = f"select f, family, h, p_partkey, p_size from part join (select *, row_number() over () - 1 as i from ({_literal(_FAMILY_ROWS, 'f, family, h')})) on i = p_partkey % {len(_FAMILY_ROWS)}"
+
+
+def _named(t):
+    """A long table of features: a name and a value for each part."""
+    return t("part").select(F.element_at(F.array(*[F.lit(r[0]) for r in _FAMILY_ROWS]), (F.col("p_partkey") % len(_FAMILY_ROWS) + 1).cast("int")).alias("f"), "p_partkey", "p_size")
+
+
+@query("fn_family_totals", f"select family, count(distinct f)::bigint as features, count(*)::bigint as n, sum(p_size)::bigint as total, max(h::bigint) as history from ({_NAMED_SQL}) group by family")
+def _(t):
+    """Values by the domain of their feature's name; the rules run once for each distinct name."""
+    df = _named(t)
+    rules = df.select("f").distinct().select("f", F.udf(X.feature_family, "string")("f").alias("family"), F.udf(lambda f: int(X.is_history(f)), "int")("f").alias("h"))
+    return df.join(rules, "f").groupBy("family").agg(F.countDistinct("f").alias("features"), F.count("*").alias("n"), F.sum("p_size").alias("total"), F.max("h").alias("history"))
+
+
+@query("flt12_scenario_values", f"select f, p_partkey as k, p_size as v from ({_NAMED_SQL}) where h = '0' and not contains(f, 'symphony')")
+def _(t):
+    """Values of the features that a scenario keeps, chosen among the names that the table holds."""
+    df = _named(t)
+    kept = X.scenario_features([r[0] for r in df.select("f").distinct().collect()], "without_licensed_prescription_or_shortage_history")  # a table's columns
+    return df.where(F.col("f").isin(kept)).select("f", F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
+
+
 # --- resolution -----------------------------------------------------------------------------------------------
 
 #: Panel names end in these, source names in those; both from the words of part names.
@@ -307,7 +359,20 @@ def _typo(c):
     return F.concat(F.substring(c, 1, 2), F.substring(c, 4, 1), F.substring(c, 3, 1), F.substring(c, 5, 100))
 
 
-@query("join16_fuzzy_top1")
+def _best_sql(left: str, right: str) -> str:
+    """CTEs up to best (name, choice, score): of all pairs of sorted tokens, by the common subsequence's table row for row."""
+    tokens = "array_to_string(list_sort(list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')), ' ')"
+    return f"""recursive nm as ({left}), ch as ({right}), pairs as (select name, choice, {tokens.format("name")} as x, {tokens.format("choice")} as y from nm cross join ch),
+steps as (select name, choice, x, y, 0 as i, list_transform(range(len(x) + 1), lambda j: 0) as held from pairs
+union all select name, choice, x, y, i + 1, list_prepend(0, list_transform(range(1, len(cand) + 1), lambda j: list_max(cand[1:j]))) from (select *, list_transform(range(1, len(x) + 1), lambda j: greatest(held[j + 1], held[j] + (x[j] = y[i + 1])::int)) as cand from steps where i < len(y))),
+scored as (select name, choice, 200.0::double * held[len(x) + 1] / (len(x) + len(y)) as score from steps where i = len(y)),
+best as (select name, choice, score from scored where score >= 85 qualify row_number() over (partition by name order by score desc, choice) = 1)"""
+
+
+_TYPO_SQL = "substr({0}, 1, 2) || substr({0}, 4, 1) || substr({0}, 3, 1) || substr({0}, 5)"
+
+
+@query("join16_fuzzy_top1", "with " + _best_sql("select " + _TYPO_SQL.format("r") + " as name from (select array_to_string(list_reverse(string_split(p_name, ' ')), ' ') as r from (select distinct p_name from part))", "select distinct p_name as choice from part") + " select name, choice, round(score, 6) as score from nm left join best using (name)")
 def _(t):
     names = t("part").select(F.col("p_name").alias("choice")).distinct()
     dirty = names.select(_typo(F.concat_ws(" ", F.reverse(F.split("choice", " ")))).alias("name"))
@@ -329,6 +394,17 @@ def _(t):
     return best.join(firms.select("choice", "s_name"), "choice").select("k", F.col("s_name").alias("name"), F.round("score", 6).alias("score"))
 
 
+@query("alg04_first_labelers", "with " + _best_sql("select distinct " + _TYPO_SQL.format("p_name") + " as name from part", "select distinct p_name as choice from (select p_name from part qualify row_number() over (partition by p_partkey % 1000 order by p_partkey) = 1)") + """,
+codes as (select p_name as choice, min(code) as code from (select p_name, p_partkey % 1000 as code from part qualify row_number() over (partition by p_partkey % 1000 order by p_partkey) = 1) group by 1),
+firms as (select distinct p_partkey % 500 as recall, """ + _TYPO_SQL.format("p_name") + """ as name from part)
+select recall, code, count(*)::bigint as names from firms join best using (name) join codes using (choice) group by all""")
+def _(t):
+    """Recalling firms matched to the first labeler of each code, by their normalised names."""
+    firms = t("part").select((F.col("p_partkey") % 500).alias("recall"), N.company(F.concat(_typo(F.col("p_name")), F.lit(" Corporation"))).alias("firm")).distinct()
+    labels = t("part").select((F.col("p_partkey") % 1000).alias("code"), "p_partkey", N.company(F.concat("p_name", F.lit(", Inc."))).alias("labeler"))
+    return J.match_firms(firms, labels, "firm", "labeler", "code", F.col("p_partkey")).groupBy("recall", "code").agg(F.count("*").alias("names"))
+
+
 _BOOKS = """b as (select j as rank, 2024 - j as year, p_partkey % 300 as application, case when p_partkey % 300 % 7 = j then null else upper(trim(p_brand)) || '|' || upper(p_type) end as key, p_partkey as maker from part, (select unnest(range(3)) as j) where p_partkey % 5 <> j)"""
 _KEYED = """k as (select application, arg_min(key, (rank, key)) as key from b where key is not null group by application),
 i as (select p_partkey as item, case when p_partkey % 4 = 0 then null else p_partkey % 400 end as application, case when p_partkey % 9 = 0 then '|;' else upper(p_name) || '|' || upper(p_type) || ';' || p_size % 3 end as fall from part),

@@ -48,10 +48,11 @@ def _(t):
     return w.where("s <= 23976 and e >= 23960")
 
 
-@query("flt07_anti_filter", "select c_custkey as k from customer where c_custkey not in (select o_custkey from orders)")
+@query("flt07_anti_filter", "select p_partkey as k from part where p_partkey not in (select l_partkey from lineitem where l_quantity = 1)")
 def _(t):
-    k = F.col("c_custkey")
-    return J.without(t("customer").select(k.alias("o_custkey")), t("orders"), ["o_custkey"]).withColumnRenamed("o_custkey", "k")
+    """Parts that were never sold singly."""
+    single = t("lineitem").where("l_quantity = 1").select(F.col("l_partkey").alias("p_partkey"))
+    return J.without(t("part").select("p_partkey"), single, ["p_partkey"]).withColumnRenamed("p_partkey", "k")
 
 
 @query("flt08_active_only", "select part, ym, ret from dn where part in (select part from pm group by part having max(ret) > 1)")

@@ -45,10 +45,18 @@ def fetch(url: str, tries: int = 4, wait: float = 2.0, opened=urlopen) -> tuple[
     raise ValueError("no tries")
 
 
+#: A link of a Link header: an address in angle brackets and parameters, whose values may be quoted.
+LINK = re.compile(r"""<([^>]*)>((?:\s*;\s*[\w*-]+\s*(?:=\s*(?:"[^"]*"|'[^']*'|[^\s;,"']*))?)*)""")
+PARAMETER = re.compile(r""";\s*([\w*-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s;,"']*)))?""")
+
+
 def next_page(link: str | None) -> str | None:
-    """Address that a Link header gives for the next page."""
-    found = (re.search(r"<(.+?)>", part) for part in (link or "").split(",") if re.search(r"""rel=["']next["']""", part))
-    return next((m.group(1) for m in found if m), None)
+    """Address of the first link of the relation next; addresses and quoted values may hold commas."""
+    for address, more in LINK.findall(link or ""):
+        for name, *values in PARAMETER.findall(more):
+            if name.lower() == "rel" and "next" in "".join(values).lower().split():
+                return address
+    return None
 
 
 class PagedReader(DataSourceReader):

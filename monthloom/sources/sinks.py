@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +37,24 @@ def cached(spark: SparkSession, path: str, build, stamp: str) -> DataFrame:
         table(build(), path)
         spark.createDataFrame([(stamp,)], "value string").coalesce(1).write.mode("overwrite").text(key)
     return spark.read.parquet(path)
+
+
+def inputs_stamp(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of the path, length and time of every file below the paths (or patterns), as their store tells them; nothing is read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        store = path.getFileSystem(conf)
+        for top in store.globStatus(path) or []:
+            files = store.listFiles(top.getPath(), True)
+            while files.hasNext():
+                f = files.next()
+                if not f.getPath().getName().startswith(("_", ".")):
+                    seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.md5(json.dumps(sorted(seen)).encode()).hexdigest()
+
+
+def cached_from(spark: SparkSession, path: str, build, inputs: list[str]) -> DataFrame:
+    """The table at path as long as no input is newer, gone or added, else built and written anew."""
+    return cached(spark, path, build, inputs_stamp(spark, inputs))
