@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import START, lag0, rows, trailing, with_spells
+from ..scratch import cut
+from .windows import START, horizon_any, lag0, rows, trailing, with_spell_memory, with_spells
 
 
 def history(columns: list[str], by: list[str], order: list[str]) -> list[Column]:
@@ -87,6 +88,88 @@ def group_panel(df: DataFrame, columns: list[str], state: str, peers: str, by: s
     return x.withColumn("recurrence_x_peers", F.col("recurrence") * (1 + F.col("peer_onset_rate")))
 
 
+def composition(members: DataFrame, by: list[str], entity: str, labeler: str, application: str) -> DataFrame:
+    """(by, ...): how a group's entities of a month are composed.
+
+    Shares of the entities with each row flag, distinct labelers and applications, the share of entities that the largest of
+    each holds, and mean and spread of supplier counts and concentration. A null labeler or application is one of its own.
+    """
+    flags = row_flags()
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("UNKNOWN"))
+    m = members.withColumns({f"__{n}": c for n, c in flags.items()} | {"__labeler": known(labeler), "__application": known(application)})
+    spread = {"api_country_hhi": "api_country_hhi", "n_api_suppliers": "api_suppliers", "n_manufacturers": "manufacturers"}
+    out = m.groupBy(*by).agg(
+        F.countDistinct(entity).alias("__n"),
+        F.countDistinct("__labeler").alias("n_labelers_group"),
+        F.countDistinct("__application").alias("n_application_numbers_group"),
+        *[F.avg(f"__{n}").alias(f"share_{n}_ndcs") for n in flags],
+        *[F.avg(c).alias(f"mean_{n}_group") for c, n in spread.items()],
+        *[F.stddev_samp(c).alias(f"std_{n}_group") for c, n in spread.items()],
+    )
+    for c in ("labeler", "application"):
+        held = m.groupBy(*by, f"__{c}").agg(F.countDistinct(entity).alias("k")).groupBy(*by).agg(F.max("k").alias("__k"))
+        out = out.join(held, by).withColumn(f"dominant_{c}_share_ndcs", F.col("__k") / F.col("__n")).drop("__k")
+    return out.drop("__n")
+
+
+def roll_up(members: DataFrame, by: list[str], entity: str, state: str, sums: list[str], medians: list[str], largest: list[str], firsts: list[str]) -> DataFrame:
+    """(by, n_ndcs, state, ...): the entities of a group and month as one row; firsts take the entity of the least key."""
+    return members.groupBy(*by).agg(
+        F.countDistinct(entity).alias("n_ndcs"),
+        F.max(state).alias(state),
+        *[F.sum(c).alias(c) for c in sums],
+        *[F.percentile(c, F.lit(0.5)).alias(c) for c in medians],  # over the entities of one group and month
+        *[F.max(c).alias(c) for c in largest],
+        *[F.min_by(c, entity).alias(c) for c in firsts],
+    )
+
+
+def peer_pressure(df: DataFrame, classes: list[str], state: str, starts: str, month: str) -> DataFrame:
+    """df with, for each class column, peers' starts over the past 6 months and burden over 3, per group of the class; strictly trailing."""
+    for c in classes:
+        monthly = df.groupBy(c, month).agg(F.sum(starts).alias("__o"), F.sum(state).alias("__b"), F.count("*").alias("__g"))
+        w = rows([c], [month])
+        share = lambda top, agg, n: F.coalesce(trailing(agg, top, n, w) / F.greatest(trailing(F.avg, "__g", n, w), F.lit(1.0)), F.lit(0.0))  # noqa: E731, B023
+        rates = {f"{c}_peer_onset_rate_6m": share("__o", F.sum, 6), f"{c}_peer_shortage_burden_3m": share("__b", F.avg, 3)}
+        df = df.join(monthly.select(c, month, *[x.alias(n) for n, x in rates.items()]), [c, month], "left")
+    return df
+
+
+def build_groups(
+    members: DataFrame, group: str, month: str, entity: str, labeler: str, application: str, state: str, sums: list[str], medians: list[str], largest: list[str],
+    classes: list[str], dynamic: list[str], horizon: int = 6,
+) -> DataFrame:
+    """The group panel from its members in one chain: roll-up, composition, engineered columns, history, peers, interactions, leads.
+
+    members: one row per entity and month. classes: columns that are constant in a group, therapeutic_class, route and
+    dosage_form among them. dynamic: columns that history looks back on. Leads are null where a month of the horizon lies beyond
+    the group's last row. The chain is written once between, so that the wide windows are planned apart.
+    """
+    by, w = [group, month], rows([group], [month])
+    x = roll_up(members, by, entity, state, sums, medians, largest, classes).join(composition(members, by, entity, labeler, application), by)
+    made = composites()
+    x = cut(x.select("*", *[c.alias(n) for n, c in made.items()]))
+    filled = x.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in dynamic})
+    x = x.join(filled.select(*by, *history(dynamic, [group], [month])), by)
+    memory = with_spell_memory(x.select(*by, state), state, [group], [month])
+    past = state_memory(x.select(*by, state), state, [group], [month]).select(*by, F.col("months12").alias("shortage_months_past_12m"), F.col("months24").alias("shortage_months_past_24m"), F.col("starts24").alias("shortage_starts_past_24m"), F.col("recurrence").alias("recurrence_pressure"))
+    memory = memory.select(
+        *by,
+        "starts",
+        F.col("spell_last").alias("last_group_episode_duration"),
+        F.col("spell_mean").alias("mean_group_episode_duration"),
+        F.col("since_onset").alias("months_since_group_onset"),
+        F.col("since_resolution").alias("months_since_group_resolution"),
+        F.col("rebound").alias("recent_resolution_rebound"),
+        (0.6 * F.col("spell_last") + 0.4 * F.col("spell_mean")).alias("episode_duration_memory"),
+    )
+    x = cut(x.join(memory, by).join(past, by))
+    x = peer_pressure(x, classes, state, "starts", month)
+    x = x.select("*", *[c.alias(n) for n, c in interactions().items()])
+    leads = [F.lead("starts", h).over(w).alias(f"onset_t{h}") for h in range(1, horizon + 1)]
+    return x.select("*", *leads, horizon_any("starts", horizon, w).alias(f"onset_any{horizon}"))
+
+
 def optional_families(spine: DataFrame, families: dict[str, tuple[DataFrame, list[str]]], wanted: list[str]) -> DataFrame:
     """Left joins of the wanted feature families, each unique on its keys; an unknown name is an error, none wanted leaves the spine."""
     for name in wanted:
