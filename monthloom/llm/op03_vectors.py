@@ -49,17 +49,29 @@ def passes(n: int, mean_cosine: float, bits: float, threshold: float, window: in
     return math.ceil(math.log(1 - RECALL) / math.log1p(-once)) if once < 1 else 1
 
 
-def _needed_bits(window: int):
+def _first_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Vectors with their keys in the first order."""
+    for df in batches:
+        for keys in _keys(iter([df.assign(turns=1)])):
+            yield keys[["label", "dim", "h"]].assign(vector=df["vector"].loc[keys.index])
+
+
+def _needed_bits(window: int, threshold: float):
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(label, dim, bits, n): bits of one more than rows a window apart have in common, over an order's sorted batches."""
+        """(label, dim, bits, n): bits of one more than rows a window apart have in common, over an order's sorted batches.
+
+        Rows that are linked with the row a window ahead lie in a group of near copies, whose members meet whatever the
+        order; they ask for no more bits.
+        """
         for df in batches:
-            near, far = df.iloc[:-window], df.iloc[window:]
-            same = (near["label"].to_numpy() == far["label"].to_numpy()) & (near["dim"].to_numpy() == far["dim"].to_numpy())
-            if same.any():
-                differ = (near["h"].to_numpy() ^ far["h"].to_numpy())[same]
+            near, far = df.iloc[:-window].reset_index(drop=True), df.iloc[window:].reset_index(drop=True)
+            same = (near["label"] == far["label"]) & (near["dim"] == far["dim"])
+            for (label, d), at in near[same].groupby(["label", "dim"]).groups.items():
+                apart = (_unit(near["vector"].loc[at]) * _unit(far["vector"].loc[at])).sum(axis=1) < threshold
+                differ = (near["h"].loc[at].to_numpy() ^ far["h"].loc[at].to_numpy())[apart]
                 bits = np.minimum(BITS, BITS - np.floor(np.log2(np.maximum(differ, 0.5))).astype("i4"))
-                out = pd.DataFrame({"label": near["label"].to_numpy()[same], "dim": near["dim"].to_numpy()[same], "bits": bits, "n": 1})
-                yield out.groupby(["label", "dim", "bits"], as_index=False).sum()
+                kinds, n = np.unique(np.concatenate([bits, np.zeros((~apart).sum(), "i4")]), return_counts=True)
+                yield pd.DataFrame({"label": label, "dim": np.int32(d), "bits": kinds.astype("i4"), "n": n.astype("i8")})
 
     return measure
 
@@ -223,8 +235,9 @@ def near_vectors(
     window = WINDOW
     ordered = lambda d: d.mapInPandas(_keys, "node binary, turn int, label string, dim int, h long").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     # how dense it is around the vectors, by the rows of one order
-    bits = ordered(classes.select("node", "label", "dim", "vector", F.lit(1).alias("turns"))).select("label", "dim", "h")
-    bits = bits.mapInPandas(_needed_bits(window), "label string, dim int, bits int, n long").groupBy("label", "dim").agg(F.percentile("bits", F.lit(DENSE), F.col("n")).alias("bits"))
+    first = classes.select("node", "label", "dim", "vector").mapInPandas(_first_keys, f"label string, dim int, h long, vector {classes.schema['vector'].dataType.simpleString()}")
+    first = first.repartitionByRange(partitions(spark), "label", "dim", "h").sortWithinPartitions("label", "dim", "h")
+    bits = first.mapInPandas(_needed_bits(window, threshold), "label string, dim int, bits int, n long").groupBy("label", "dim").agg(F.percentile("bits", F.lit(DENSE), F.col("n")).alias("bits"))
     turns = F.udf(lambda n, x, b: passes(n, x / n / n, b, threshold, window), "int")  # once per label, not per row
     kinds = kinds.join(bits, ["label", "dim"], "left").select("label", "dim", "n", turns("n", "x", F.coalesce("bits", F.lit(0.0))).alias("turns"))
     whole = (F.col("turns") > MANY_PASSES) & (F.col("n") <= F.col("turns") * 3 * window)
