@@ -386,9 +386,12 @@ def _(t):
     return P.training_sample(df, n * 4 // 5, "event", F.lit(last) - F.col("ym"), P.risk_weight(_RISK), ["g", "ym"]).select("g", "ym", "event")
 
 
-def _fit_logistic(train, _):
-    model = H.logistic(_ONSET, 1.0, train.count()).fit(train)
-    return lambda test: H.scored(model, test, test.columns).withColumnRenamed("pred", "score")
+def _logistic_on(columns):
+    def fit(train, _):
+        model = H.logistic(columns, 1.0, train.count()).fit(train)
+        return lambda test: H.scored(model, test, test.columns).withColumnRenamed("pred", "score")
+
+    return fit
 
 
 def _fit_boosted(train, held):
@@ -402,7 +405,7 @@ def _fit_boosted(train, held):
 def _backtest(t):
     df = cut(onset_features(t))
     last = df.agg(F.max("ym")).first()[0]
-    models = {"logistic": (_fit_logistic, 400), "boosted": (_fit_boosted, 400)}
+    models = {"logistic": (_logistic_on(_ONSET), 400), "boosted": (_fit_boosted, 400)}
     return P.backtest(df, models, list(range(last - 2, last + 1)), "event", P.risk_weight(_RISK), ["g"])
 
 
@@ -416,3 +419,16 @@ def _(t):
 def _(t):
     out = P.backtest_metrics(_backtest(t), "g")
     return out.select("model", *[F.round(c, 6).alias(c) for c in out.columns if c != "model"])
+
+
+@query("ml13_ablation")
+def _(t):
+    """The backtest with and without the supplier columns: what they add to each measure."""
+    df = cut(onset_features(t))
+    last = df.agg(F.max("ym")).first()[0]
+    models = {"all": (_logistic_on(_ONSET), 400), "without": (_logistic_on([c for c in _ONSET if c != "few"]), 400)}
+    out = P.backtest_metrics(P.backtest(df, models, list(range(last - 5, last + 1)), "event", P.risk_weight(_RISK), ["g"]), "g")
+    names = [c for c in out.columns if c != "model"]
+    pick = lambda m: out.where(F.col("model") == m).select(*[F.col(c).alias(f"{c}_{m}") for c in names])
+    both = pick("all").crossJoin(F.broadcast(pick("without")))  # a row each
+    return both.select(*[F.round(F.col(f"{c}_all") - F.col(f"{c}_without"), 6).alias(f"{c}_gain") for c in names])
