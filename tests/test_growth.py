@@ -37,3 +37,9 @@ def test_lists_are_joined_once(spark, tmp_path, monkeypatch, step):
     compared(spark, tmp_path, "join19_multi_ingredient")
     ways = duckdb.sql(f"select count(distinct (p_partkey % 3 = 0, p_name)) from '{tmp_path}/part.parquet'").fetchall()[0][0]
     assert step < 1000 or seen[0].count() == ways
+
+
+def test_long_keys(spark, tmp_path):
+    """Part keys of six digits and more, of which a package code keeps five, as its SQL form does."""
+    made(tmp_path, part=f"select * replace (p_partkey + 999 * (p_partkey % 3) * (p_partkey % 1000) as p_partkey) from '{DIR}/part.parquet'")
+    assert compared(spark, tmp_path, "fn_package_code")["k"].max() >= 100_000
