@@ -112,6 +112,16 @@ def similar_pairs(a: DataFrame, b: DataFrame, x: str, y: str, cutoff: float) ->
     return tried.distinct().join(kept, ["len", "e", "i", "part"]).select(x, y).distinct()
 
 
+def one_letter_apart(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
+    """(x, y) of all pairs of strings that are equal or differ by one letter that one of them has more."""
+    fewer = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.left(c, i - 1), c.substr(i + 1, F.length(c)))))
+    one = a.where(F.length(x) > 0).select(x).distinct()
+    two = b.where(F.length(y) > 0).select(y).distinct()
+    forms = lambda d, c: d.select(c, F.explode(F.concat(F.array(c), fewer(F.col(c)))).alias("form"))
+    met = forms(one, x).join(two.withColumn("form", F.col(y)), "form")
+    return met.unionByName(one.withColumn("form", F.col(x)).join(two.select(y, F.explode(fewer(F.col(y))).alias("form")), "form")).select(x, y)
+
+
 def _token_prefixes(names: DataFrame, counts: DataFrame, key: str, share: float) -> DataFrame:
     """(key, token): the rarest tokens, so many that without them less than share of a name's letters is left."""
     t = names.select(key, F.explode(F.array_distinct(tokens(F.col(key)))).alias("token")).join(counts, "token")
@@ -125,8 +135,8 @@ def _token_prefixes(names: DataFrame, counts: DataFrame, key: str, share: float)
 def fuzzy_best(left: DataFrame, right: DataFrame, name: str, choice: str, cutoff: float, scorer: str = "sort") -> DataFrame:
     """Best choice by the ratio of sorted tokens (or of token sets), at least cutoff; ties take the first name.
 
-    No pair that reaches the cutoff is missed. Sorted tokens meet by their parts (similar_pairs). Token sets meet in one
-    of two ways. Either the tokens in common are most letters of one side; then they hold one of the rarest tokens of that
+    No pair that could be the best is missed. Sorted tokens meet where they are one_letter_apart; only names that these pairs
+    leave open meet by their parts (similar_pairs). Token sets meet in one of two ways. Either the tokens in common are most letters of one side; then they hold one of the rarest tokens of that
     side, without which too few letters are left. Or both wholes are similar, whatever the order of their tokens: of
     strings whose lengths sum to s, those with ratio c have c * s / 2 letters in common order; leaving the others out
     breaks at most 2 pairs of neighbours each in one and inserting them 1, so (3 c / 2 - 1) * s - 1 pairs stay common,
@@ -135,7 +145,13 @@ def fuzzy_best(left: DataFrame, right: DataFrame, name: str, choice: str, cutoff
     c = cutoff / 100
     a = cut(left.select(name).distinct().withColumn("__a", sorted_tokens(F.col(name))))
     b = cut(right.select(choice).distinct().withColumn("__b", sorted_tokens(F.col(choice))))
-    met = similar_pairs(a, b, "__a", "__b", cutoff)
+    la, lb = F.length("__a"), F.length("__b")
+    near, open_ = None, a
+    if scorer == "sort":
+        near = cut(one_letter_apart(a, b, "__a", "__b")).withColumn("score", 200.0 * F.least(la, lb) / (la + lb))
+        # of strings two letters or more apart, no ratio is over la / (la + 1): a better one leaves nothing to find
+        open_ = a.join(near.where(F.abs(la - lb) * (la + 1) < la + lb).select("__a").distinct(), "__a", "left_anti")
+    met = similar_pairs(open_, b, "__a", "__b", cutoff)
     if scorer == "set":
         floor = (1.5 * c - 1) * (1 + c / (2 - c))
         texts = a.select(F.col("__a").alias("x")).unionByName(b.select(F.col("__b").alias("x")))
@@ -148,10 +164,11 @@ def fuzzy_best(left: DataFrame, right: DataFrame, name: str, choice: str, cutoff
             few = _token_prefixes(one[1].select(one[0]).distinct(), words, one[0], c / (2 - c))
             met = met.unionByName(few.join(every(two[1].select(two[0]).distinct(), two[0]), "token").select("__a", "__b"))
     score = token_set_ratio(F.col("__a"), F.col("__b")) if scorer == "set" else indel_ratio(F.col("__a"), F.col("__b"), cutoff)
-    scored = met.distinct().withColumn("score", score).where(F.col("score") >= cutoff)
-    scored = scored.join(a, "__a").join(b, "__b")
-    best = first_by(scored.drop("__a", "__b"), [name], F.col("score").desc(), F.col(choice))
-    return left.join(best, name, "left")
+    scored = met.distinct().withColumn("score", score)
+    scored = scored.unionByName(near) if near is not None else scored
+    firsts = b.groupBy("__b").agg(F.min(choice).alias(choice))
+    best = first_by(scored.where(F.col("score") >= cutoff).join(firsts, "__b").drop("__b"), ["__a"], F.col("score").desc(), F.col(choice))
+    return left.join(a.join(best, "__a").drop("__a"), name, "left")
 
 
 def match_firms(firms: DataFrame, labels: DataFrame, firm: str, labeler: str, code: str, order: Column, cutoff: float = 85.0) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from monthloom.functions.fuzzy import ratio
 from monthloom.operators import joins as J
 
 from .test_entry import DIR, same
@@ -43,3 +44,24 @@ def test_long_keys(spark, tmp_path):
     """Part keys of six digits and more, of which a package code keeps five, as its SQL form does."""
     made(tmp_path, part=f"select * replace (p_partkey + 999 * (p_partkey % 3) * (p_partkey % 1000) as p_partkey) from '{DIR}/part.parquet'")
     assert compared(spark, tmp_path, "fn_package_code")["k"].max() >= 100_000
+
+
+def test_firms_one_letter_apart(spark, tmp_path, monkeypatch):
+    """Names that share their word and most digits: those with a firm one letter away are not compared with all others; two suppliers have each name."""
+    made(tmp_path, supplier=f"select p.* replace ((s_suppkey + i * 1000)::bigint as s_suppkey, 'Supplier#' || lpad((s_suppkey + i // 2 * 1000)::varchar, 9, '0') as s_name) from '{DIR}/supplier.parquet' p, range(4) r(i)")
+    seen, plain = [], J.similar_pairs
+    monkeypatch.setattr(J, "similar_pairs", lambda a, *rest: seen.append(a) or plain(a, *rest))
+    compared(spark, tmp_path, "alg04_firm_matching")
+    assert seen[0].count() == 0
+
+
+def test_best_is_not_always_the_nearest(spark):
+    """One letter away leaves a short name open, as a longer choice two letters away may be as good."""
+    df = lambda words, c: spark.createDataFrame([(w,) for w in words], f"{c} string")
+    left, right = ["abcdefgh", "abcdefghi", "ab", "zz", "", None], ["abcdefgh", "abcdefg", "bcdefghij", "abcdefghixy", "a", "abcd", "", None, "ABCDEFG"]
+    got = {r["name"]: (r["choice"], r["score"]) for r in J.fuzzy_best(df(left, "name"), df(right, "choice"), "name", "choice", 60.0).collect()}
+    want = {}
+    for x in left:
+        all_ = [(-ratio(x, y.lower()), y) for y in right if x and y and ratio(x, y.lower()) >= 60.0]
+        want[x] = (min(all_)[1], -min(all_)[0]) if all_ else (None, None)
+    assert got == want
