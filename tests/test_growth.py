@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from monthloom.functions.fuzzy import ratio
+from monthloom.operators import features as X
 from monthloom.operators import joins as J
 
 from .test_entry import DIR, same
@@ -65,3 +66,22 @@ def test_best_is_not_always_the_nearest(spark):
         all_ = [(-ratio(x, y.lower()), y) for y in right if x and y and ratio(x, y.lower()) >= 60.0]
         want[x] = (min(all_)[1], -min(all_)[0]) if all_ else (None, None)
     assert got == want
+
+
+def test_members_are_made_once(spark, monkeypatch):
+    """A group's members, many rows for each of its months, are worked out once for all that the chain takes from them."""
+    made_rows, plain = spark.sparkContext.accumulator(0), X.build_groups
+    rows = []
+
+    def counted(frames):
+        for x in frames:
+            made_rows.add(len(x))
+            yield x
+
+    def build(members, *rest):
+        rows.append(members.count())
+        return plain(members.mapInPandas(counted, members.schema), *rest)
+
+    monkeypatch.setattr(X, "build_groups", build)
+    assert entry.queries()["alg07_group_chain"](spark, DIR).count() > 0
+    assert made_rows.value == rows[0] > 0
