@@ -4,12 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from monthloom.functions import codes as C
 
 from .test_entry import DIR, same
 
 READS = {
     "flt12_feature_scenario": "part",
     "fn_feature_family": "part",
+    "fn_application": "part",
 }
 
 
@@ -23,3 +25,9 @@ def test_reads_a_table(spark, name):
     got, want = df.toPandas(), con.execute(entry.oracle_sql()[name]).df()
     assert len(got) == len(want) > 0
     same(got, want)
+
+
+def test_application_cases(spark):
+    rows = [("ANDA076432", "076432", "ANDA"), ("nda 21", "000021", "NDA"), ("BLA1234567", "234567", "BLA"), ("part", None, None)]
+    got = spark.createDataFrame([(r[0],) for r in rows], "s string").select("s", C.application_number(F.col("s")), C.application_type(F.col("s")))
+    assert [tuple(r) for r in got.collect()] == rows
