@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from monthloom.functions import codes as C
+from monthloom.functions import names as N
 
 from .test_entry import DIR, same
 
@@ -12,6 +13,7 @@ READS = {
     "flt12_feature_scenario": "part",
     "fn_feature_family": "part",
     "fn_application": "part",
+    "fn_first_class": "part",
 }
 
 
@@ -31,3 +33,9 @@ def test_application_cases(spark):
     rows = [("ANDA076432", "076432", "ANDA"), ("nda 21", "000021", "NDA"), ("BLA1234567", "234567", "BLA"), ("part", None, None)]
     got = spark.createDataFrame([(r[0],) for r in rows], "s string").select("s", C.application_number(F.col("s")), C.application_type(F.col("s")))
     assert [tuple(r) for r in got.collect()] == rows
+
+
+def test_first_class_cases(spark):
+    rows = [("A [MoA], B [EPC], C [EPC]", "B [EPC]"), ("A [X], B [MoA]", "B [MoA]"), ("A, B", "A"), ("", None)]
+    got = spark.createDataFrame([(r[0],) for r in rows], "s string").select("s", N.first_class(F.col("s"), "[EPC]", "[MoA]"))
+    assert [tuple(r) for r in got.collect()] == rows
