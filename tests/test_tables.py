@@ -14,6 +14,7 @@ READS = {
     "fn_feature_family": "part",
     "fn_application": "part",
     "fn_first_class": "part",
+    "snk06_empty_typed": "orders",
 }
 
 
