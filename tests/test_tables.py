@@ -15,6 +15,7 @@ READS = {
     "fn_application": "part",
     "fn_first_class": "part",
     "snk06_empty_typed": "orders",
+    "spn01_month_list": "lineitem",
 }
 
 
