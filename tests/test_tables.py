@@ -2,10 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from monthloom.functions import codes as C
 from monthloom.functions import names as N
+from monthloom.plans import matching
 
 from .test_entry import DIR, same
 
@@ -16,6 +18,7 @@ READS = {
     "fn_first_class": "part",
     "snk06_empty_typed": "orders",
     "spn01_month_list": "lineitem",
+    "fn_code_cases": "part",
 }
 
 
@@ -41,3 +44,8 @@ def test_first_class_cases(spark):
     rows = [("A [MoA], B [EPC], C [EPC]", "B [EPC]"), ("A [X], B [MoA]", "B [MoA]"), ("A, B", "A"), ("", None)]
     got = spark.createDataFrame([(r[0],) for r in rows], "s string").select("s", N.first_class(F.col("s"), "[EPC]", "[MoA]"))
     assert [tuple(r) for r in got.collect()] == rows
+
+
+def test_code_cases(spark):
+    rows = spark.createDataFrame([(r[0],) for r in matching.CODE_ROWS], "s string")
+    assert [tuple(r) for r in matching.code_rules(rows, F.col("s")).collect()] == [tuple(r) for r in matching.CODE_ROWS]
