@@ -55,19 +55,23 @@ def repeated_starts(text: np.ndarray, least: int, whose: np.ndarray | None = Non
     unknown[[0, n]] = False
     low, high = np.array([0]), np.array([n - 1])
     for _ in range(least):
+        one = low == high
+        to = lf[low[one]]  # an interval of one suffix has one extension
+        to = to[unknown[to + 1]]
+        low, high = low[~one], high[~one]
         many = high - low + 1
         owner = np.repeat(np.arange(len(low)), many)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + low[owner]
-        to = lf[inside]
-        k = np.argsort(to, kind="stable")
-        to, owner, symbol = to[k], owner[k], last[inside[k]]
-        ends = np.ones(len(to), bool)
+        inside = np.arange(len(owner)) + np.repeat(low - np.cumsum(many) + many, many)
+        into = lf[inside]
+        k = np.argsort(into, kind="stable")
+        into, owner, symbol = into[k], owner[k], last[inside[k]]
+        ends = np.ones(len(into), bool)
         ends[:-1] = (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])
         high = np.flatnonzero(ends)
         low = np.append(0, high[:-1] + 1) if len(high) else high
-        low, high = to[low], to[high]
+        low, high = into[low], into[high]
         fresh = unknown[high + 1]
-        low, high = low[fresh], high[fresh]
+        low, high = np.append(low[fresh], to), np.append(high[fresh], to)
         if not len(low):
             break
         unknown[high + 1] = False
@@ -82,6 +86,22 @@ def repeated_starts(text: np.ndarray, least: int, whose: np.ndarray | None = Non
     return out
 
 
+def repeated(flat: np.ndarray, sizes: np.ndarray, least: int, owners: np.ndarray | None = None) -> np.ndarray:
+    """The masks of repeated_in, one after another, for pieces of the given sizes that follow each other in flat, as small numbers."""
+    ends = np.cumsum(sizes + 1)
+    inside = np.ones(ends[-1], bool)
+    inside[ends - 1] = False
+    text = np.empty(ends[-1], np.int64)
+    text[inside] = flat.astype(np.int64) + len(sizes)
+    text[~inside] = np.arange(len(sizes))
+    return repeated_starts(text, least, None if owners is None else np.repeat(owners, sizes + 1))
+
+
+def numbered(flat: np.ndarray) -> np.ndarray:
+    """The symbols as small numbers; bytes are such already."""
+    return flat if flat.dtype == np.uint8 else np.unique(flat, return_inverse=True)[1]
+
+
 def repeated_in(pieces: list[np.ndarray], least: int, owners: np.ndarray | None = None) -> list[np.ndarray]:
     """For each piece, a mask of the places where a string of ``least`` symbols starts that starts elsewhere too.
 
@@ -89,13 +109,4 @@ def repeated_in(pieces: list[np.ndarray], least: int, owners: np.ndarray | None
     another owner. Strings do not cross pieces, which end in marks of their own.
     """
     sizes = np.array([len(p) for p in pieces])
-    ends = np.cumsum(sizes + 1)
-    flat = np.concatenate(pieces)
-    if flat.dtype != np.uint8:
-        flat = np.unique(flat, return_inverse=True)[1]
-    inside = np.ones(ends[-1], bool)
-    inside[ends - 1] = False
-    text = np.empty(ends[-1], np.int64)
-    text[inside] = flat.astype(np.int64) + len(pieces)
-    text[~inside] = np.arange(len(pieces))
-    return np.split(repeated_starts(text, least, None if owners is None else np.repeat(owners, sizes + 1)), ends[:-1])
+    return np.split(repeated(numbered(np.concatenate(pieces)), sizes, least, owners), np.cumsum(sizes + 1)[:-1])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bwt import repeated_in
+from .bwt import numbered, repeated
 from .common import Scratch, col, met
 from .texthash import _BASE, _BASE_INV, _BYTE, chunks, mixed, powers, word_hashes
 
@@ -177,22 +177,47 @@ def _symbols(data: bytes, unit: Unit) -> np.ndarray:
     return np.frombuffer(data, np.uint64 if unit.words else np.uint8)
 
 
-def _runs(mask: np.ndarray) -> tuple[list[int], list[int]]:
-    """First and last places of the mask's runs."""
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the mask's runs, and the places after their last."""
     edge = np.flatnonzero(np.diff(mask.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
-    return edge[::2].tolist(), (edge[1::2] - 1).tolist()
+    return edge[::2], edge[1::2]
 
 
 RANGES = "key long, context long, a array<int>, b array<int>"
 
 
-def _transformed(unit: Unit):
+def _shortened(pieces: list[np.ndarray], before: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces one after another as small numbers, and their sizes; of each, the ``shared`` symbols after
+    ``before`` are one number, the same where these symbols are the same and no other symbol's."""
+    known: dict[bytes, int] = {}
+    marks = [known.setdefault(x[b : b + shared].tobytes(), len(known)) for x, b in zip(pieces, before)]
+    flat = numbered(np.concatenate([half for x, b in zip(pieces, before) for half in (x[:b], x[b + shared - 1 :])])).astype(np.int64)
+    sizes = np.array([len(x) - shared + 1 for x in pieces])
+    flat[np.cumsum(sizes) - sizes + before] = np.array(marks) + flat.max() + 1
+    return flat, sizes
+
+
+def _transformed(unit: Unit, bands: list[tuple[int, int]]):
+    """Ranges of starts of each context's repeated strings.
+
+    All of a key's strings hold the symbols between the last start and the first end that the band allows, so these
+    are compared once, then stand as one symbol in the transform, and strings are shorter by as many.
+    """
+    lows, most = np.array(sorted(low for low, _ in bands)), max(high - low for low, high in bands)
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        pieces = [_symbols(d, unit) for d in group["data"]]
+        off = group["off"].to_numpy()
+        before = off - lows[np.searchsorted(lows, off, "right") - 1]
+        flat, sizes = _shortened([_symbols(d, unit) for d in group["data"]], before, unit.least - most)
         owners = np.unique(group["owner"].to_numpy(), return_inverse=True)[1] if unit.across else None
-        found = [_runs(m) for m in repeated_in(pieces, unit.least, owners)]
-        out = pd.DataFrame({"key": group["key"].to_numpy(), "context": group["context"].to_numpy(), "a": [f[0] for f in found], "b": [f[1] for f in found]})
-        return out[out["a"].str.len() > 0]
+        a, b = _runs(repeated(flat, sizes, most + 1, owners))  # none crosses the mark that ends a piece
+        ends = np.cumsum(sizes + 1)
+        of = np.searchsorted(ends, a, "right")
+        held, first = np.unique(of, return_index=True)
+        base = (ends - sizes - 1)[of]
+        lists = [np.split((x - base).astype(np.int32), first[1:]) if len(of) else [] for x in (a, b - 1)]
+        some = group.iloc[held]
+        return pd.DataFrame({"key": some["key"].to_numpy(), "context": some["context"].to_numpy(), "a": lists[0], "b": lists[1]})
 
     return run
 
@@ -201,20 +226,30 @@ def _transformed(unit: Unit):
 _TAGS = {"key": "long", "context": "long", "off": "long", "contexts": "long", "copies": "long", "owner": "long"}
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """The list that each struct is in, and the structs' fields."""
+    flat = lists.flatten()
+    names = [f.name for f in flat.type]
+    of = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return of, dict(zip(names, flat.flatten()))
+
+
 def _cut_contexts(unit: Unit, is_data: bool):
     """(text, wanted) -> (key, context, off, data): the wanted ranges of symbols; is_data: text is symbols already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = _symbols(text, unit) if is_data else unit.symbols([text])[0]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array([w[c] for w in wanted], "int64") for c, t in _TAGS.items()),
-                        pa.array([x[w["lo"] : w["hi"] + unit.least].tobytes() for w in wanted], "binary"),
-                    ],
-                    names=[*_TAGS, "data"],
-                )
+            texts = batch.column(0).to_pylist()
+            for a, b in chunks(texts):
+                if is_data:
+                    pieces = [_symbols(t, unit) for t in texts[a:b]]
+                    x, first = np.concatenate(pieces), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+                else:
+                    x, _, first = unit.symbols(texts[a:b])
+                of, wanted = _flat(batch.column(1).slice(a, b - a))
+                lo, hi = (first[of] + wanted[c].to_numpy() for c in ("lo", "hi"))
+                data = [x[s:e].tobytes() for s, e in zip(lo.tolist(), (hi + unit.least).tolist())]
+                yield pa.RecordBatch.from_arrays([*(wanted[c].cast("int64") for c in _TAGS), pa.array(data, "binary")], names=[*_TAGS, "data"])
 
     return run
 
@@ -262,8 +297,8 @@ def _decided(docs: DataFrame, rows: DataFrame, unit: Unit, bands: list[tuple[int
     size = few.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     batches = int(max(1, size // BATCH_BYTES))
     batch = F.pmod(F.xxhash64("key"), F.lit(batches)).alias("batch")
-    dealt = few.select("key", "context", "data", "owner", batch).repartition(min(batches, 20_000), "batch")
-    found = scratch.cut(dealt.groupBy("batch").applyInPandas(_transformed(unit), RANGES))
+    dealt = few.select("key", "context", "off", "data", "owner", batch).repartition(min(batches, 20_000), "batch")
+    found = scratch.cut(dealt.groupBy("batch").applyInPandas(_transformed(unit, bands), RANGES))
     parts = [found.select("key", "context", F.explode(F.arrays_zip("a", "b")).alias("r")).select("key", "context", "r.a", "r.b")]
     narrower = [part for band in bands for part in _parts(band)]
     if narrower and not many.isEmpty():
@@ -298,29 +333,46 @@ def repeated_ranges(docs: DataFrame, unit: Unit, scratch: Scratch) -> DataFrame:
     )
 
 
-def _covered(n: int, spans: list | None, least: int) -> np.ndarray:
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, [s["a"] for s in spans or ()], 1)
-    np.add.at(step, [s["b"] + least for s in spans or ()], -1)
-    return np.cumsum(step[:-1]) > 0
+def _covered(sizes: np.ndarray, of: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Mask of texts one after another, each with a place more at its end: what strings cover that start at a to b of text ``of``."""
+    first = np.cumsum(sizes + 1) - sizes - 1
+    step = np.zeros(int((sizes + 1).sum()), np.int32)
+    np.add.at(step, first[of] + a, 1)
+    np.add.at(step, first[of] + b + least, -1)
+    return np.cumsum(step, dtype=np.int32) > 0
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype("i4")), pa.array(values.astype("i4")))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, spans, passages) -> (id, kept, removed spans, words in passages)."""
     for batch in batches:
-        kept, starts, ends, words = [], [], [], []
-        for text, spans, passages in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            gone = _covered(len(text), spans, LEAST)
-            kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-            a, b = _runs(gone)
-            starts.append(a)
-            ends.append([x + 1 for x in b])
-            last = max((s["b"] for s in passages or ()), default=-PASSAGE)
-            words.append(int(_covered(last + PASSAGE, passages, PASSAGE).sum()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(kept, "binary"), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(words, "int64")],
-            names=["doc_id", "kept", "starts", "ends", "n_passage_words"],
-        )
+        texts = batch.column(1).to_pylist()
+        for i, j in chunks(texts):
+            sizes = np.array([len(t) for t in texts[i:j]])
+            of, spans = _flat(batch.column(2).slice(i, j - i))
+            gone = _covered(sizes, of, spans["a"].to_numpy(), spans["b"].to_numpy(), LEAST)
+            ends = np.cumsum(sizes + 1)
+            first = ends - sizes - 1
+            a, b = _runs(gone)  # none crosses the place that ends a text
+            owner = np.searchsorted(ends, a, "right")
+            runs = np.bincount(owner, minlength=len(sizes))
+            stay = ~gone
+            stay[ends - 1] = False
+            offsets = np.append(0, np.cumsum(np.add.reduceat(stay, first, dtype=np.int64))).astype("i4")
+            data = np.frombuffer(b"\0".join([*texts[i:j], b""]), np.uint8)[stay]
+            kept = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            of, passages = _flat(batch.column(3).slice(i, j - i))
+            start, end = passages["a"].to_numpy(), passages["b"].to_numpy()
+            reach = np.zeros(len(sizes), "i8")
+            np.maximum.at(reach, of, end.astype("i8") + PASSAGE)
+            words = np.add.reduceat(_covered(reach, of, start, end, PASSAGE), np.cumsum(reach + 1) - reach - 1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(i, j - i), kept, _lists(runs, a - first[owner]), _lists(runs, b - first[owner]), pa.array(words)],
+                names=["doc_id", "kept", "starts", "ends", "n_passage_words"],
+            )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

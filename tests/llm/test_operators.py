@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from monthloom.llm import bwt, common
+from monthloom.llm import bwt, common, texthash
 from monthloom.llm import op01_mix as o1
 from monthloom.llm import op02_lines as o2
 from monthloom.llm import op03_vectors as o3
@@ -217,6 +218,64 @@ def test_suffix(docs, none, group, heavy, monkeypatch):
     assert o6.remove_repeats(none).count() == 0
 
 
+def contexts_of(texts, unit):
+    """All contexts of texts, as a group that a transform gets."""
+    of, key, context, lo, hi, off = o6.anchors(texts, unit)
+    x, _, first = unit.symbols(texts)
+    data = [x[first[t] + a : first[t] + b + unit.least].tobytes() for t, a, b in zip(of, lo, hi)]
+    return pd.DataFrame({"key": key, "context": context, "off": off, "data": data, "owner": of})
+
+
+@pytest.mark.parametrize("unit", [o6.BYTES, o6.WORDS])
+def test_transform_holds_shared_symbols_once(unit, monkeypatch):
+    """What all strings of a key share is one symbol in the transform; the ranges are those of whole contexts."""
+    r, part = random.Random(5), words(260, 31)
+    texts = [f"{words(r.randint(0, 90), 300 + i)} {part[(a := r.randint(0, 500)) : a + r.randint(380, 900)]} {words(r.randint(0, 90), 400 + i)}".encode() for i in range(12)]
+    group, held, whole = contexts_of(texts, unit), [], bwt.repeated_starts
+    monkeypatch.setattr(bwt, "repeated_starts", lambda text, *rest: held.append(len(text)) or whole(text, *rest))
+    out = o6._transformed(unit, unit.bands)(group)
+    starts = [len(d) // (8 if unit.words else 1) - unit.least + 1 for d in group["data"]]
+    most = max(high - low for low, high in unit.bands)
+    assert held == [sum(n + most + 1 for n in starts)]  # with the mark that ends each; whole contexts: n + least
+    pieces = [np.frombuffer(d, np.uint64 if unit.words else np.uint8) for d in group["data"]]
+    masks = bwt.repeated_in(pieces, unit.least, group["owner"].to_numpy() if unit.across else None)
+    want = Counter((k, c, p) for k, c, m in zip(group["key"], group["context"], masks) for p in np.flatnonzero(m))
+    got = Counter((k, c, p) for k, c, a, b in zip(*(out[x] for x in out)) for x, y in zip(a, b) for p in range(x, y + 1))
+    assert got == want and len(want) > 100
+    # a key is a hash: contexts that share it and all around its symbols, but not these, hold no equal strings
+    one = group.iloc[[0, 0]].reset_index(drop=True)
+    other = pieces[0].copy()
+    other[one["off"][0] + 3] += 1
+    one.loc[1, ["data", "owner"]] = [other.tobytes(), 99]
+    assert len(o6._transformed(unit, unit.bands)(one)) == 0
+    one.loc[1, "data"] = one["data"][0]
+    assert [(a.tolist(), b.tolist()) for a, b in zip(*(o6._transformed(unit, unit.bands)(one)[x] for x in "ab"))] == [([0], [starts[0] - 1])] * 2
+
+
+def test_removal_by_chunks(monkeypatch):
+    """Texts of a batch are handled together, in chunks; null, no and several spans, empty texts, spans up to the end."""
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    texts = [b"", words(300, 41).encode(), b"short", words(200, 42).encode(), b"", words(250, 43).encode(), words(90, 44).encode()]
+    n = [len(t) for t in texts]
+    spans = [None, [(0, 3), (500, 520), (n[1] - 400, n[1] - 400)], [], [(7, 9), (8, 100)], None, [(0, n[5] - 400)], None]
+    passages = [[], [(0, 2), (100, 110)], None, None, None, [(199, 199)], [(1, 1), (0, 0)]]
+    lists = [pa.array([x and [{"a": a, "b": b} for a, b in x] for x in y], kind) for y in (spans, passages)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts), *lists], names=["doc_id", "text", "spans", "passages"])
+    for limit in (1, 2000, 10**6):
+        monkeypatch.setattr(o6, "chunks", lambda t: texthash.chunks(t, limit))
+        got = [tuple(r.values()) for b in o6._removed(iter([batch, batch.slice(0, 0), batch.slice(2)])) for r in b.to_pylist()]
+        want = []
+        for i, t in enumerate(texts):
+            gone, said = np.zeros(len(t) + 2, int), set()
+            for a, b in spans[i] or ():
+                gone[a + 1 : b + 401] = 1
+            for a, b in passages[i] or ():
+                said.update(range(a, b + 51))
+            edge = np.diff(gone)
+            want.append((i, np.frombuffer(t, np.uint8)[gone[1:-1] == 0].tobytes(), np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), len(said)))
+        assert got == want + want[2:]
+
+
 HEADS = {
     "ISC": "ISC License\n\nCopyright (c) 2020, A. Person\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
     "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,",
